@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from joblode.functions.text import nonempty, strip
+from joblode.functions.text import let, nonempty, strip
 
 
 @dataclass(frozen=True)
@@ -65,8 +65,7 @@ def inner(html: Column, css: Css) -> Column:
         return F.substring(text, F.lit(1),
                            F.aggregate(pieces, start, walk, lambda acc: acc["chars"]))
 
-    # One-element array: the rest of the page is found once and then named.
-    return F.get(F.transform(F.array(rest), cut), 0)
+    return let(rest, cut)
 
 
 def short_inner(html: Column, *choices: Css) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(K.SPACES))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A name bound by a one-element array; needed where ``use`` refers to it within
+    the function of an array operation, which would repeat it per item.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def nonempty(text: Column) -> Column:
     """The text, or NULL where it is empty."""
     return F.nullif(text, F.lit(""))

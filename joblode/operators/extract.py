@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from joblode import constants as K
 from joblode.functions.reply import (checked_fields, empty_extraction, no_description,
                                      parse_fields)
-from joblode.functions.text import infer_role, seniority_by_years, strip
+from joblode.functions.text import infer_role, let, seniority_by_years, strip
 from joblode.schemas import EXTRACTION_SCHEMA, STAGED_COLUMNS
 
 
@@ -68,52 +68,69 @@ def _words(text: Column) -> Column:
 
 
 def _named(text: Column, skills: tuple[str, ...]) -> Column:
-    """Skills named in a text, in the order of the list."""
-    return F.filter(F.array(*map(F.lit, skills)),
-                    lambda s: F.contains(text, F.concat(F.lit(" "), s, F.lit(" "))))
+    """Skills named in a text, in the order of the list.
+
+    Skills of one word come from a set intersection with the text's words; only
+    the few of several words are searched for.
+    """
+    phrases = [s for s in skills if " " in s]
+
+    def find(words: Column) -> Column:
+        single = F.array_intersect(F.split(words, " "), F.array(*map(F.lit, skills)))
+        several = F.filter(F.array(*map(F.lit, phrases)).cast("array<string>"),
+                           lambda s: F.contains(words, F.concat(F.lit(" "), s, F.lit(" "))))
+        return F.concat(single, several)
+
+    return let(let(_words(text), find), lambda found: F.array_intersect(
+        F.array(*map(F.lit, skills)), found))
 
 
-def rule_extraction(title: Column, description: Column,
-                    skills: tuple[str, ...] = SKILLS) -> Column:
-    """STRUCT extraction by rules over the whole text, for use without a model.
+def rule_extraction(stubs: DataFrame, skills: tuple[str, ...] = SKILLS) -> DataFrame:
+    """Adds ``_x``, an extraction by rules over the whole text, for use without a model.
 
     Years: the largest lower bound stated. Skills: whole words; those in a
     sentence with a word of option are nice to have, all others required. Past
     experience: what follows the usual phrases. Role and seniority: by title,
     the latter overruled by years.
     """
-    sentences = F.filter(F.split(description, r"[.;\n]+"), lambda s: strip(s) != "")
+    title, text = F.col("title"), F.col("raw_description")
 
     def optional(s: Column) -> Column:
         return F.lower(s).rlike("|".join(K.OPTIONAL_MARKS))
 
-    nice_text = F.array_join(F.filter(sentences, optional), " . ")
-    must_text = F.array_join(F.filter(sentences, lambda s: ~optional(s)), " . ")
-    must = _named(_words(must_text), skills)
-    nice = F.array_except(_named(_words(nice_text), skills), must)
-    years = F.array_max(F.transform(F.regexp_extract_all(F.lower(description), F.lit(_YEARS), 1),
-                                    lambda n: n.cast("int")))
-    past = F.array_distinct(F.regexp_extract_all(description, F.lit("(?i)" + _PAST), 1))
     level = F
     for name in _TITLE_LEVELS:
         level = level.when(_words(title).contains(f" {name.lower()} "), F.lit(name))
     level = level.otherwise(F.lit(K.DEFAULT_SENIORITY))
-    about = F.when(strip(description) != "", strip(description))
+    marked = F.transform(F.split(text, r"[.;\n]+"),
+                         lambda s: F.struct(s.alias("text"), optional(s).alias("optional")))
+    # Projections in steps: what a later step uses more than once is kept as a column.
+    parts = stubs.withColumn("_marked", marked).withColumns({
+        "_must": F.array_join(F.transform(F.filter("_marked", lambda s: ~s["optional"]),
+                                          lambda s: s["text"]), " . "),
+        "_nice": F.array_join(F.transform(F.filter("_marked", lambda s: s["optional"]),
+                                          lambda s: s["text"]), " . "),
+        "_years": F.array_max(F.transform(
+            F.regexp_extract_all(F.lower(text), F.lit(_YEARS), 1), lambda n: n.cast("int"))),
+        "_past": F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + _PAST), 1))})
+    parts = parts.withColumns({"_must": _named(F.col("_must"), skills),
+                               "_nice": _named(F.col("_nice"), skills)})
     full = F.struct(infer_role(title).alias("role"),
-                    seniority_by_years(level, years).alias("seniority"),
-                    about.alias("description"), years.alias("yearsexperience"),
-                    must.alias("skills_must"), nice.alias("skills_nice"),
-                    past.alias("past_experience"))
-    return F.when(no_description(description), empty_extraction().cast(EXTRACTION_SCHEMA)
-                  ).otherwise(full.cast(EXTRACTION_SCHEMA))
+                    seniority_by_years(level, F.col("_years")).alias("seniority"),
+                    F.when(strip(text) != "", strip(text)).alias("description"),
+                    F.col("_years").alias("yearsexperience"), F.col("_must").alias("skills_must"),
+                    F.array_except("_nice", "_must").alias("skills_nice"),
+                    F.col("_past").alias("past_experience"))
+    extraction = F.when(no_description(text), empty_extraction().cast(EXTRACTION_SCHEMA)
+                        ).otherwise(full.cast(EXTRACTION_SCHEMA))
+    return parts.withColumn("_x", extraction).drop("_marked", "_must", "_nice", "_years", "_past")
 
 
 def extract(stubs: DataFrame, model: Callable[[str, str], str] | None = None) -> DataFrame:
     """Stubs with the extraction's columns, by ``model`` or else by rules."""
     if model is not None:
         return check_replies(model_replies(stubs, model))
-    return _with_extraction(
-        stubs.withColumn("_x", rule_extraction(F.col("title"), F.col("raw_description"))))
+    return _with_extraction(rule_extraction(stubs))
 
 
 def job_rows(extracted: DataFrame, source: str = K.DEFAULT_SOURCE) -> DataFrame:

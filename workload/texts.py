@@ -136,10 +136,10 @@ def _sql_text(v: str) -> str:
 
 
 def _sql_list(key: str) -> str:
-    kept = (f"list_filter(CAST(j->'$.{key}' AS JSON[]), v -> v IS NOT NULL AND json_type(v) <> 'NULL' "
+    kept = (f"list_filter(CAST(j->'$.{key}' AS JSON[]), lambda v: v IS NOT NULL AND json_type(v) <> 'NULL' "
             f"AND v::VARCHAR NOT IN ('false', '0', '\"\"', '[]', '{{}}'))")
     return (f"CASE WHEN json_type(j, '$.{key}') = 'ARRAY' THEN array_to_string("
-            f"list_transform({kept}, v -> {_sql_text('v')}), '|') ELSE '' END AS {key}")
+            f"list_transform({kept}, lambda v: {_sql_text('v')}), '|') ELSE '' END AS {key}")
 
 
 def _sql_years(key: str) -> str:
@@ -207,7 +207,7 @@ def _sql_words(text: str) -> str:
 
 
 def _sql_named(text: str) -> str:
-    return f"list_filter({sql_list(E.SKILLS)}, s -> contains({text}, ' ' || s || ' '))"
+    return f"list_filter({sql_list(E.SKILLS)}, lambda s: contains({text}, ' ' || s || ' '))"
 
 
 _LEVEL = " ".join(f"WHEN contains({_sql_words('title')}, ' {n.lower()} ') THEN {q(n)}"
@@ -234,18 +234,18 @@ def _stated(spark, sf):
       || ', with ' || {sql_pick(E.SKILLS, f'doc_id % {len(E.SKILLS)}')} || '. ' || text || chr(10)
       || {sql_pick(E.SKILLS, f'(doc_id + 5) % {len(E.SKILLS)}')} || ' is an Advantage; 2 years too' AS d
     FROM documents),
-  cut AS (SELECT *, list_filter(regexp_split_to_array(d, '[.;\n]+'), s -> {sql_strip('s')} <> '') AS ss
+  cut AS (SELECT *, list_filter(regexp_split_to_array(d, '[.;\n]+'), lambda s: {sql_strip('s')} <> '') AS ss
     FROM stated),
-  sides AS (SELECT *, array_to_string(list_filter(ss, s -> NOT {_MARKED}), ' . ') AS must_text,
-    array_to_string(list_filter(ss, s -> {_MARKED}), ' . ') AS nice_text FROM cut),
+  sides AS (SELECT *, array_to_string(list_filter(ss, lambda s: NOT {_MARKED}), ' . ') AS must_text,
+    array_to_string(list_filter(ss, lambda s: {_MARKED}), ' . ') AS nice_text FROM cut),
   found AS (SELECT *, {_sql_named(_sql_words('must_text'))} AS must,
     {_sql_named(_sql_words('nice_text'))} AS nice,
-    list_max(list_transform(regexp_extract_all(lower(d), '{E._YEARS}', 1), n -> CAST(n AS INTEGER))) AS y,
+    list_max(list_transform(regexp_extract_all(lower(d), '{E._YEARS}', 1), lambda n: CAST(n AS INTEGER))) AS y,
     regexp_extract_all(d, '(?i){E._PAST}', 1) AS past,
     CASE {_LEVEL} ELSE 'Not specified' END AS level FROM sides)
   SELECT doc_id, {sql_role('title')} AS role, {sql_seniority('level', 'y')} AS seniority,
     {sql_strip('d')} AS description, y AS yearsexperience, array_to_string(must, '|') AS skills_must,
-    array_to_string(list_filter(nice, s -> NOT list_contains(must, s)), '|') AS skills_nice,
+    array_to_string(list_filter(nice, lambda s: NOT list_contains(must, s)), '|') AS skills_nice,
     array_to_string(list_sort(list_distinct(past)), '|') AS past_experience FROM found""")
 def _(spark, sf):
     rows = E.extract(_stated(spark, sf)).withColumn("past_experience",
@@ -257,7 +257,7 @@ def _(spark, sf):
 # -- vector texts --------------------------------------------------------------
 
 def sql_listed(name: str) -> str:
-    return (f"coalesce(array_to_string(list_filter({name}, x -> x IS NOT NULL AND x <> ''), ', '), '')")
+    return (f"coalesce(array_to_string(list_filter({name}, lambda x: x IS NOT NULL AND x <> ''), ', '), '')")
 
 
 _NL = "chr(10)"

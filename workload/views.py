@@ -54,7 +54,7 @@ def joined(*names: str) -> list[Column]:
 
 
 def sql_joined(name: str) -> str:
-    return (f"array_to_string(list_transform({name}, x -> coalesce(x, '<null>')), '|') AS {name}")
+    return (f"array_to_string(list_transform({name}, lambda x: coalesce(x, '<null>')), '|') AS {name}")
 
 
 # -- jobs ---------------------------------------------------------------------
