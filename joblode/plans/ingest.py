@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from joblode import constants as K
 from joblode.operators.aggregates import count_jobs_on
@@ -14,7 +15,7 @@ from joblode.operators.embed import Embedder
 from joblode.operators.extract import extract, job_rows
 from joblode.operators.harvest import (ARRIVAL, daily_quota, first_seen, page_rule, read_cards,
                                        read_details)
-from joblode.operators.keys import unknown_rows
+from joblode.operators.keys import BROADCAST_ROWS, first_by, unknown_rows
 from joblode.operators.vectors import build_vectors, missing_vectors
 from joblode.schemas import STUB_SCHEMA
 from joblode.session import staged
@@ -38,7 +39,8 @@ def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: dateti
 
     ``pages`` are result pages with ``keyword, keyword_ord, page, html``,
     ``details`` posting pages with ``id, html``. The quota is applied to the
-    narrow stubs before any posting page is read.
+    narrow stubs before any posting page is read. A stub without a usable page
+    stays, with the description "N/A".
     """
     done = count_jobs_on(jobs, as_of.date()).first()["n"]
     if done >= target:
@@ -46,10 +48,17 @@ def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: dateti
     # Written once: the quota and the join below would parse the pages again.
     stubs = staged(new_stubs(pages, jobs, n_keywords), "stubs")
     kept = daily_quota(stubs, done, target)
-    asked = details.join(kept.select("id"), "id", "left_semi")
-    found = kept.join(read_details(asked, as_of), "id")
-    return found.withColumn("posted_at", found["posted_at"].cast("string")).select(
-        *STUB_SCHEMA.names)
+    ids = kept.select("id")
+    if target - done <= BROADCAST_ROWS:  # no more rows than the quota leaves
+        ids = F.broadcast(ids)
+    read = read_details(details.join(ids, "id", "left_semi"), as_of).withColumn(
+        "posted_at", F.col("posted_at").cast("string"))
+    # A posting page stored twice counts once, one with a description first.
+    usable = (F.col("raw_description") == K.MISSING, F.col("posted_at").isNull(), *read.columns)
+    read = first_by(read, ["id"], usable)
+    return kept.join(read, "id", "left").select(*[
+        (F.coalesce(n, F.lit(K.MISSING)) if n == "raw_description" else F.col(n)).alias(n)
+        for n in STUB_SCHEMA.names])
 
 
 def run_extract(stubs: DataFrame, model: Callable[[str, str], str] | None = None,

@@ -39,10 +39,10 @@ def search_frontier(keywords: DataFrame, offsets: Sequence[int] = (0,),
 def result_pages(pages: DataFrame, keywords: DataFrame, n_keywords: int | None = None) -> DataFrame:
     """Stored result pages ``(url, html)`` with ``keyword, keyword_ord, page`` of their address.
 
-    The seed list is joined on the keyword; it is broadcast if its size is known
+    A keyword may hold ``&``: it ends where the next parameter begins. The seed list is joined on the keyword; it is broadcast if its size is known
     to be small.
     """
-    keyword = nonempty(F.regexp_extract("url", r"[?&]keywords=([^&#]*)", 1))
+    keyword = nonempty(F.regexp_extract("url", r"[?&]keywords=(.*?)(?:&\w+=|#|$)", 1))
     start = F.regexp_extract("url", r"[?&]start=(\d+)", 1).try_cast("int")
     if n_keywords is not None and n_keywords <= BROADCAST_ROWS:
         keywords = F.broadcast(keywords)

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +29,10 @@ VECTOR_BUCKETS = 64
 
 
 def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(layout).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], layout)
+    return spark.read.schema(layout).parquet(path)
 
 
 # -- postings -----------------------------------------------------------------

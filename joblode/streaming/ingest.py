@@ -12,6 +12,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.embed import Embedder
@@ -59,4 +60,6 @@ def _within_quota(batch: DataFrame, jobs: DataFrame, day: date, arrival: Sequenc
 
 def distinct_stream(stream: DataFrame, time_col: str, delay: str = "1 day") -> DataFrame:
     """First arrival of each id, with state kept for ``delay`` of event time only."""
+    if isinstance(stream.schema[time_col].dataType, TimestampNTZType):
+        stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
