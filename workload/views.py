@@ -197,8 +197,13 @@ def result_page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(url.alias("url"), html.alias("html"))
 
 
+_UNESCAPED = "title"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                       ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, {q(_entity)}, {q(_char)})"
+
 STUBS = f"""stubs AS (SELECT CAST(number + 1000000 AS VARCHAR) AS id, trim(
-    replace(replace(title, '&amp;', '&') || ' ' || k, '  ', ' ')) AS title,
+    regexp_replace({_UNESCAPED} || ' ' || k, ' +', ' ', 'g')) AS title,
   CASE WHEN number % 5 = 0 THEN 'N/A' WHEN number % 5 = 1 THEN 'Outer Co'
        ELSE 'Co ' || (number % 7) END AS company,
   CASE WHEN number % 3 = 0 THEN 'N/A' ELSE 'Tel Aviv' END AS location,
