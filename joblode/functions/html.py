@@ -44,26 +44,27 @@ def attribute(tag: Column, name: str) -> Column:
 def inner(html: Column, css: Css) -> Column:
     """What lies inside the first element that fits; NULL if there is none.
 
-    Elements of the same tag may nest: the text after the opening tag is cut
-    before every such tag, and the depth is followed to the closing one.
+    Elements of the same tag may nest: the text after the opening tag is cut at
+    every ``<`` and the depth followed over the pieces to the closing tag.
     """
     rest = F.get(F.split(html, f"(?i){css.opening()}", 2), 1)
 
     def walk(acc: Column, piece: Column) -> Column:
-        step = (F.when(piece.rlike(rf"(?i)^</{css.tag}\b"), F.lit(-1))
-                .when(piece.rlike(rf"(?i)^<{css.tag}\b"), F.lit(1)).otherwise(F.lit(0)))
+        # The first piece (nothing counted yet) is text before any tag.
+        step = (F.when(acc["chars"] < 0, F.lit(0))
+                .when(piece.rlike(rf"(?i)^/{css.tag}\b"), F.lit(-1))
+                .when(piece.rlike(rf"(?i)^{css.tag}\b"), F.lit(1)).otherwise(F.lit(0)))
         depth = acc["depth"] + step
-        more = F.when(depth > 0, F.length(piece)).otherwise(F.lit(0))
+        more = F.when(depth > 0, F.length(piece) + 1).otherwise(F.lit(0))
         return F.when(acc["depth"] > 0, F.struct(depth.alias("depth"),
                                                  (acc["chars"] + more).alias("chars"))
                       ).otherwise(acc)
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("chars"))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(-1).alias("chars"))
 
     def cut(text: Column) -> Column:
-        pieces = F.split(text, rf"(?i)(?=</?{css.tag}\b)")
-        return F.substring(text, F.lit(1),
-                           F.aggregate(pieces, start, walk, lambda acc: acc["chars"]))
+        chars = F.aggregate(F.split(text, "<"), start, walk, lambda acc: acc["chars"])
+        return F.substring(text, F.lit(1), chars)
 
     return let(rest, cut)
 
@@ -86,12 +87,15 @@ def unescape(text: Column) -> Column:
     return text
 
 
+# Stands for a line break while white space is closed up.
+_BREAK = "\x01"
+
+
 def visible_text(html: Column) -> Column:
     """Text as a reader sees it: no scripts, styles or tags, one line per block, stripped."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(text, r"\s+", " ")
+    text = F.regexp_replace(html, r"(?is)<(?:(script|style)\b.*?</\1\s*>|!--.*?-->)", "")
     text = F.regexp_replace(
-        text, r"(?i) ?(?:<br\b[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|section|tr|table)\b[^>]*>) ?",
-        "\n")
-    text = unescape(F.regexp_replace(text, r"<[^>]+>", ""))
-    return strip(F.regexp_replace(F.regexp_replace(text, " +", " "), r" ?\n[ \n]*", "\n"))
+        text, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|section|tr|table))\b[^>]*>", _BREAK)
+    text = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"\s+", " ")
+    text = F.regexp_replace(text, f" ?{_BREAK}[ {_BREAK}]*", "\n")
+    return strip(unescape(text))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblode import constants as K
 from joblode.functions.dates import parse_posted_date
 from joblode.functions.html import Css, attribute, inner, opening_tag, short_inner, visible_text
-from joblode.functions.text import job_id, nonempty, strip, without_query
+from joblode.functions.text import job_id, let, nonempty, without_query
 from joblode.operators.keys import BROADCAST_ROWS, first_by, take_first
 
 # Where a results page and a posting page hold their parts.
@@ -65,19 +65,21 @@ def read_details(pages: DataFrame, as_of) -> DataFrame:
     of text; without one the posting date is not kept either.
     """
     html = F.col("html")
-    texts = [strip(visible_text(inner(html, css))) for css in DESCRIPTIONS]
+
+    def usable(css: Css) -> Column:
+        return let(visible_text(inner(html, css)),
+                   lambda text: F.when(F.length(text) > K.MIN_DESCRIPTION, text))
+
     tag = opening_tag(html, *POSTED_TIME)
     parts = pages.select(
-        "id", *[t.alias(f"d{i}") for i, t in enumerate(texts)],
+        "id", F.coalesce(*map(usable, DESCRIPTIONS)).alias("body"),
         nonempty(attribute(tag, "datetime")).alias("stamp"),
         visible_text(short_inner(html, *POSTED_TIME)).alias("age"),
         visible_text(short_inner(html, *POSTED_SPAN)).alias("note"))
-    body = F.coalesce(*[F.when(F.length(f"d{i}") > K.MIN_DESCRIPTION, F.col(f"d{i}"))
-                        for i in range(len(texts))])
     posted = F.coalesce(parse_posted_date(F.coalesce("stamp", "age"), as_of),
                         parse_posted_date(F.col("note"), as_of))
-    return parts.select("id", F.coalesce(body, F.lit(K.MISSING)).alias("raw_description"),
-                        F.when(body.isNotNull(), posted).alias("posted_at"))
+    return parts.select("id", F.coalesce("body", F.lit(K.MISSING)).alias("raw_description"),
+                        F.when(F.col("body").isNotNull(), posted).alias("posted_at"))
 
 
 def page_rule(cards: DataFrame, max_pages: int = K.MAX_PAGES,

@@ -33,24 +33,37 @@ def where_column(where: Column | Mapping[str, str] | None) -> Column | None:
 def searched(vectors: DataFrame, where: Column | Mapping[str, str] | None) -> DataFrame:
     """Rows that a search looks at."""
     test = where_column(where)
-    vectors = vectors if test is None else vectors.filter(test)
-    return vectors.filter(F.col("embedding").isNotNull())
+    return vectors if test is None else vectors.filter(test)
+
+
+def scored(vectors: DataFrame, query: Sequence[float],
+           where: Column | Mapping[str, str] | None) -> DataFrame:
+    """Those rows with their ``score``, NULL for rows without a vector.
+
+    NULLs are to be dropped after the top-n, where they come last: a filter right
+    here would be pushed down and score every row twice.
+    """
+    return searched(vectors, where).withColumn(
+        "score", F.round(cosine("embedding", query), DIGITS))
 
 
 def cosine(column: str, query: Sequence[float]) -> Column:
-    """Cosine similarity to one vector; 0 if either has no length."""
+    """Cosine similarity to one vector; 0 if either has no length, NULL for NULL."""
     target = list(map(float, query))
 
     def score(arrays):
         import numpy as np
         import pyarrow as pa
-        rows = np.asarray(arrays.flatten(), dtype=np.float64)
-        if len(rows) != len(arrays) * len(target):
+        given = arrays.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.asarray(arrays.drop_null().flatten(), dtype=np.float64)
+        if len(rows) != given.sum() * len(target):
             raise ValueError(f"vectors are not all {len(target)} wide")
-        rows = rows.reshape(len(arrays), len(target))
+        rows = rows.reshape(-1, len(target))
         lengths = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt(np.dot(target, target))
         dots = rows @ np.asarray(target)
-        return pa.array(np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0))
+        scores = np.zeros(len(arrays))
+        scores[given] = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+        return pa.array(scores, mask=~given)
 
     return F.arrow_udf(score, "double")(F.col(column))
 
@@ -71,9 +84,8 @@ def search(vectors: DataFrame, query: Sequence[float] | DataFrame, n_results: in
     """
     if isinstance(query, DataFrame):
         query = query_vector(query)
-    scored = searched(vectors, where).withColumn(
-        "score", F.round(cosine("embedding", query), DIGITS))
-    best = scored.orderBy(F.desc("score"), "vector_id").limit(n_results)
+    best = scored(vectors, query, where).orderBy(F.desc("score"), "vector_id").limit(
+        n_results).filter(F.col("score").isNotNull())
     # At most n_results rows are left to number.
     return best.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("score"), F.col("vector_id"))))
@@ -160,7 +172,8 @@ def search_batch(vectors: DataFrame, queries: DataFrame, n_results: int = 10,
     ranked. Query tables too large to share are split into blocks, and so are the
     vectors; a pair of blocks is one group of a shuffle, of fixed size.
     """
-    found = searched(vectors, where).select("vector_id", "embedding")
+    found = searched(vectors, where).select("vector_id", "embedding").filter(
+        F.col("embedding").isNotNull())
     queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
     id_type = _arrow_type(found.schema["vector_id"].dataType)
     query_type = _arrow_type(queries.schema["query_id"].dataType)

@@ -9,7 +9,7 @@ from joblode import constants as K
 from joblode.functions.jobtext import field_text, full_text, metadata, vector_id
 from joblode.operators.embed import DEFAULT_WIDTH, Embedder, hashing_embedder
 from joblode.operators.keys import unknown_rows
-from joblode.operators.knn import DIGITS, cosine, query_vector, search, searched
+from joblode.operators.knn import query_vector, scored, search
 from joblode.schemas import VECTOR_SCHEMA
 
 # A top-n up to this many rows is broadcast to the postings.
@@ -78,10 +78,10 @@ def semantic_search_jobs(jobs: DataFrame, vectors: DataFrame, query: str, n_resu
     asked = embed(vectors.sparkSession.createDataFrame([(query.strip() or " ",)],
                                                        "document string"))
     if distinct_jobs:
-        scored = searched(vectors, where).select(
-            "job_id", F.round(cosine("embedding", query_vector(asked)), DIGITS).alias("score"))
-        best = scored.groupBy("job_id").agg(F.max("score").alias("score")).orderBy(
-            F.desc("score"), "job_id").limit(n_results)
+        best = (scored(vectors, query_vector(asked), where).groupBy("job_id")
+                .agg(F.max("score").alias("score"))
+                .orderBy(F.desc("score"), "job_id").limit(n_results)
+                .filter(F.col("score").isNotNull()))
         hits = best.withColumn("rank", F.row_number().over(
             Window.orderBy(F.desc("score"), F.col("job_id"))))
     else:

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Call sites of column expressions are not recorded: plans are built faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
@@ -62,3 +64,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores, if the scan alone would leave cores idle.
+
+    For costly per-row work over a few large files. A table of many files has
+    more partitions than the cluster has cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

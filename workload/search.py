@@ -61,9 +61,9 @@ def sql_hashed(texts: str, key: str) -> str:
   {sql_hashed('texts', 'doc_id')} SELECT doc_id, CAST(dim AS INTEGER) AS dim,
     round(CAST(w AS DOUBLE), 6) AS weight FROM unit""")
 def _(spark, sf):
-    made = hashing_embedder(WIDTH)(table(spark, sf, "documents").select(
+    made = hashing_embedder(WIDTH)(table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.col("text").alias("document")))
-    return made.select("doc_id", F.posexplode("embedding").alias("dim", "w")).filter(
+    return made.select("doc_id", F.posexplode_outer("embedding").alias("dim", "w")).filter(
         "w <> 0").select("doc_id", "dim", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
@@ -169,7 +169,7 @@ _FOUND = "j.id, j.title, j.company, j.role, j.location, j.url, j.description, h.
     {_RANK} FROM scored ORDER BY score DESC, vector_id LIMIT 12)
   SELECT {_FOUND} FROM hits h JOIN jobs j ON j.id = h.job_id""")
 def _(spark, sf):
-    all_jobs = jobs(spark, sf)
+    all_jobs = jobs(spark, sf, heavy=True)
     return V.semantic_search_jobs(all_jobs, V.build_vectors(all_jobs), _QUERY, 12)
 
 
@@ -178,7 +178,7 @@ def _(spark, sf):
     ORDER BY score DESC, job_id) AS INTEGER) AS rank FROM best ORDER BY score DESC, job_id LIMIT 12)
   SELECT {_FOUND} FROM hits h JOIN jobs j ON j.id = h.job_id""")
 def _(spark, sf):
-    all_jobs = jobs(spark, sf)
+    all_jobs = jobs(spark, sf, heavy=True)
     return V.semantic_search_jobs(all_jobs, V.build_vectors(all_jobs), _QUERY, 12,
                                   distinct_jobs=True)
 
@@ -200,7 +200,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A table that holds the vectors of some postings, brought up to date."""
     path = scratch(spark, "vectors-table")
-    all_jobs = jobs(spark, sf)
+    all_jobs = jobs(spark, sf, heavy=True)
     some = all_jobs.join(_marked(spark, sf).select(F.col("job_id").alias("id")), "id", "left_semi")
     B.upsert_vectors(spark, path, V.build_vectors(some))
     B.upsert_vectors(spark, path, V.build_vectors(

@@ -78,7 +78,7 @@ def sql_role(title: str) -> str:
 @case("infer_role", f"""SELECT doc_id, {sql_role(sql_pick(TITLES, 'doc_id % 20'))} AS by_title,
   {sql_role('text')} AS by_text FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", X.infer_role(pick(TITLES, F.col("doc_id") % 20)).alias("by_title"),
         X.infer_role(F.col("text")).alias("by_text"))
 
@@ -124,7 +124,7 @@ def _(spark, sf):
 def _(spark, sf):
     nested = F.array(F.array(F.concat(F.lit("  "), "source", F.lit("\n")), F.lit("")),
                      F.array(F.concat("text", F.lit("\xa0"))), F.array("lang", F.lit("\t")))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.posexplode(X.clean_texts(nested)).alias("pos", "cleaned"))
 
 
@@ -195,7 +195,7 @@ def _model(title: str, description: str) -> str:
     CASE WHEN ok THEN replace(title, ' ', '|') ELSE '' END AS skills_must, '' AS skills_nice,
     '' AS past_experience, 'linkedin' AS source FROM asked""")
 def _(spark, sf):
-    stubs = jobs(spark, sf).select("id", "title", "company", "location", "url", "keyword",
+    stubs = jobs(spark, sf, heavy=True).select("id", "title", "company", "location", "url", "keyword",
                                    "posted_at", F.col("description").alias("raw_description"))
     rows = E.job_rows(E.extract(stubs, _model))
     return rows.select("id", "title", "role", "seniority", "description", "yearsexperience",
@@ -224,7 +224,7 @@ def _stated(spark, sf):
                     pick(("FinTech", "Mobile", "web security"), i % 3), F.lit(", with "),
                     pick(E.SKILLS, i % len(E.SKILLS)), F.lit(". "), "text", F.lit("\n"),
                     pick(E.SKILLS, (i + 5) % len(E.SKILLS)), F.lit(" is an Advantage; 2 years too"))
-    return table(spark, sf, "documents").select("doc_id", pick(TITLES, i % 20).alias("title"),
+    return table(spark, sf, "documents", heavy=True).select("doc_id", pick(TITLES, i % 20).alias("title"),
                                                 said.alias("raw_description"))
 
 
@@ -289,7 +289,7 @@ def _(spark, sf):
 
 @case("field_vectors", f"WITH {JOBS}, {VECTOR_TEXTS} SELECT * FROM vector_texts")
 def _(spark, sf):
-    return vector_texts(jobs(spark, sf)).drop("metadata")
+    return vector_texts(jobs(spark, sf, heavy=True)).drop("metadata")
 
 
 _META = [(c, f"coalesce(CAST({c} AS VARCHAR), '')") for c in (*K.METADATA_SCALARS, "posted_at")] + [
@@ -303,7 +303,7 @@ _META = [(c, f"coalesce(CAST({c} AS VARCHAR), '')") for c in (*K.METADATA_SCALAR
   SELECT vector_id, 'type', type FROM vector_texts UNION ALL
   SELECT vector_id, 'field', field FROM vector_texts WHERE field IS NOT NULL""")
 def _(spark, sf):
-    return vector_texts(jobs(spark, sf)).select("vector_id", F.explode("metadata"))
+    return vector_texts(jobs(spark, sf, heavy=True)).select("vector_id", F.explode("metadata"))
 
 
 @case("vector_job_ids", f"""WITH {JOBS}, {VECTOR_TEXTS} SELECT DISTINCT

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from joblode import constants as K
 from joblode.functions.text import seniority_by_years
+from joblode.session import spread
 
 TITLES = ("Front-End Engineer", "Senior Backend Developer", "NLP Data Scientist", "BI Developer",
           "Studios Manager", "Senior QA", "QA Lead", "Engineering Manager", "Head of Product",
@@ -27,12 +28,15 @@ AGES = ("{n} days ago", "{n} hours ago", "{n} weeks ago", "{n} months ago", "yes
         "2024-02-{n}", "לפני {n} ימים", "just now", "{n} minutes ago", "posted 2024-13-45, {n} days")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` for costly work per row."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
 def pick(values: Sequence[str], index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
+    listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return F.get(F.expr(f"array({listed})"), index.cast("int"))
 
 
 def q(text: str) -> str:
@@ -59,8 +63,8 @@ def sql_joined(name: str) -> str:
 
 # -- jobs ---------------------------------------------------------------------
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def jobs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    d = table(spark, sf_dir, "documents", heavy)
     i = F.col("doc_id")
     years = F.when(i % 10 != 0, (i % 15).cast("int"))
     empty = F.array().cast("array<string>")
@@ -167,7 +171,7 @@ CARDS_ON_PAGE = 3
 
 def result_page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A results page per given page: its own HTML, then 3 to 9 cards about its title."""
-    p = table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages", heavy=True)
     i = F.col("page_id")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
 
@@ -219,7 +223,7 @@ STUBS = f"""stubs AS (SELECT CAST(number + 1000000 AS VARCHAR) AS id, trim(
 
 def posting_page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A posting page per document, its text in one of four places or missing."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     i = F.col("doc_id")
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"),
                                F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -270,7 +274,7 @@ REPLY_FIELDS = (
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model replies that carry a document's whole text as description."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     i = F.col("doc_id")
     about = F.to_json(F.struct(F.col("text").alias("description")))
     body = F.concat(F.lit("{"), pick(REPLY_FIELDS, i % len(REPLY_FIELDS)),
