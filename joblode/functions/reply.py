@@ -1,9 +1,9 @@
 """From the raw text of a model's reply to a checked extraction.
 
 All of it is column code. A reply is parsed as a one-element array of maps to
-VARIANT: the brackets make trailing junk an error, the map keeps the last of
-repeated keys and tells a missing key from a null, and VARIANT keeps the type of
-each value.
+VARIANT: the brackets make trailing junk an error, the map tells a missing key
+from a null, and VARIANT keeps the type of each value. The parser leaves repeated
+keys in the map; turned around, the last of them is found first.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from joblode import constants as K
-from joblode.functions.text import infer_role, nonempty, seniority_by_years, strip
+from joblode.functions.text import infer_role, let, nonempty, seniority_by_years, strip
 from joblode.schemas import EXTRACTION_SCHEMA
 
 _LISTS = ("skills_must", "skills_nice", "past_experience")
@@ -31,11 +31,21 @@ def outer_braces(raw: Column) -> Column:
 
 
 def parse_fields(raw: Column) -> Column:
-    """MAP of the reply's fields as VARIANT; NULL unless it is exactly one JSON object."""
+    """STRUCT ``keys, values`` of the reply's fields, last first, with VARIANT values.
+
+    NULL unless the reply is exactly one JSON object.
+    """
     text = outer_braces(unfence(strip(raw)))
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>",
                          {"allowSingleQuotes": "false"})
-    return F.when(F.size(parsed) == 1, F.get(parsed, 0))
+
+    def turned(objects: Column) -> Column:
+        fields = F.get(objects, 0)
+        return F.when(F.size(objects) == 1,
+                      F.struct(F.reverse(F.map_keys(fields)).alias("keys"),
+                               F.reverse(F.map_values(fields)).alias("values")))
+
+    return let(parsed, turned)
 
 
 def _kind(value: Column) -> Column:
@@ -105,10 +115,10 @@ def checked_fields(fields: Column, title: Column, description: Column) -> Column
     list or an object makes the reply unusable.
     """
     def has(key: str) -> Column:
-        return F.map_contains_key(fields, key)
+        return F.array_contains(fields["keys"], key)
 
     def get(key: str) -> Column:
-        return F.try_element_at(fields, F.lit(key))
+        return F.get(fields["values"], (F.array_position(fields["keys"], key) - 1).cast("int"))
 
     def nested(key: str) -> Column:
         kind = _kind(get(key))

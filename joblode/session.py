@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,9 +61,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage and computes ``df`` once, so that a lost executor re-reads
     rows instead of calling a user's model again, and later steps may prune
-    columns of the written table.
+    columns of the written table. The copy stays until the folder is cleaned.
     """
+    return _write_and_read(df, scratch(df.sparkSession, name))
+
+
+@contextmanager
+def stage(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Like :func:`staged`, for a sink: the copy is removed once the sink is done."""
     path = scratch(df.sparkSession, name)
+    try:
+        yield _write_and_read(df, path)
+    finally:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ from joblode.functions.dates import moment
 from joblode.operators.keys import first_by, fits_broadcast, unknown_rows
 from joblode.operators.vectors import replaced
 from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
-from joblode.session import staged
+from joblode.session import stage
 
 _JOBS_LAYOUT = T.StructType([*JOBS_SCHEMA.fields, T.StructField("scraped_on", T.DateType())])
 _VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
@@ -115,14 +115,15 @@ def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
     The batch is staged first, so that extraction and load time are computed
     once and a repeat after a failure sees the same rows.
     """
-    batch = staged(conform_jobs(incoming, as_of, arrival), "jobs")
-    small = fits_broadcast(batch)
-    fresh = new_jobs(batch, read_jobs(spark, path), arrival, small_batch=small)
-    seen = Observation()
-    rows = fresh.select(*JOBS_SCHEMA.names, F.to_date("scraped_at").alias("scraped_on")).observe(
-        seen, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("append").partitionBy("scraped_on").parquet(path)
-    return LoadCounts(sent=batch.count(), inserted=seen.get["n"])
+    with stage(conform_jobs(incoming, as_of, arrival), "jobs") as batch:
+        fresh = new_jobs(batch, read_jobs(spark, path), arrival,
+                         small_batch=fits_broadcast(batch))
+        seen = Observation()
+        rows = fresh.select(*JOBS_SCHEMA.names,
+                            F.to_date("scraped_at").alias("scraped_on")).observe(
+            seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("append").partitionBy("scraped_on").parquet(path)
+        return LoadCounts(sent=batch.count(), inserted=seen.get["n"])
 
 
 # -- vectors ------------------------------------------------------------------
@@ -149,22 +150,24 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *,
     get appended to. The others are merged into a staged table first and then
     overwritten folder by folder, so nothing is read from a place being written.
     """
-    batch = staged(rows.select(*VECTOR_SCHEMA.names).withColumn(
-        "bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")), "vectors")
-    stored = read_vectors(spark, path)
-    ids = batch.select("vector_id")
-    if fits_broadcast(ids, "vector_id"):
-        ids = F.broadcast(ids)
-    clash = stored.select("vector_id", "bucket").join(ids, "vector_id", "left_semi")
-    touched = {r["bucket"]: r["n"] for r in
-               clash.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fresh = batch
-    if touched:
-        hit = F.col("bucket").isin(list(touched))
-        merged = staged(replaced(stored.filter(hit), batch.filter(hit)), "vectors-merged")
-        (merged.hint("rebalance", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-        fresh = batch.filter(~hit)
-    fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
-    sent = batch.count()
+    keyed = rows.select(*VECTOR_SCHEMA.names).withColumn(
+        "bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+    with stage(keyed, "vectors") as batch:
+        stored = read_vectors(spark, path)
+        ids = batch.select("vector_id")
+        if fits_broadcast(ids, "vector_id"):
+            ids = F.broadcast(ids)
+        clash = stored.select("vector_id", "bucket").join(ids, "vector_id", "left_semi")
+        # One row per folder at most.
+        touched = {r["bucket"]: r["n"] for r in
+                   clash.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        fresh = batch
+        if touched:
+            hit = F.col("bucket").isin(list(touched))
+            fresh = batch.filter(~hit)
+            with stage(replaced(stored.filter(hit), batch.filter(hit)), "merged") as merged:
+                (merged.hint("rebalance", "bucket").write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        sent = batch.count()
     return LoadCounts(sent=sent, inserted=sent - sum(touched.values()))

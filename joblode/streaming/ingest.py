@@ -7,7 +7,7 @@ stored and adds nothing, so the tables hold each posting once.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +16,10 @@ from pyspark.sql.types import TimestampNTZType
 
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.embed import Embedder
-from joblode.operators.keys import first_by, take_first, unknown_rows
+from joblode.operators.keys import take_first
 from joblode.plans.ingest import load_vectors
-from joblode.session import staged
-from joblode.sources.tables import insert_jobs, read_jobs
+from joblode.session import stage
+from joblode.sources.tables import insert_jobs, new_jobs, read_jobs
 
 
 def ingest_stream(stream: DataFrame, jobs_path: str, checkpoint: str, *,
@@ -35,10 +35,15 @@ def ingest_stream(stream: DataFrame, jobs_path: str, checkpoint: str, *,
     def load(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         now = as_of()
-        if daily_target is not None:
-            batch = _within_quota(batch, read_jobs(spark, jobs_path), now.date(), arrival,
-                                  daily_target)
-        insert_jobs(spark, jobs_path, batch, as_of=now, arrival=arrival)
+        if daily_target is None:
+            insert_jobs(spark, jobs_path, batch, as_of=now, arrival=arrival)
+        else:
+            jobs = read_jobs(spark, jobs_path)
+            done = count_jobs_on(jobs, now.date()).first()["n"]
+            # Reduced to new ids first, so that a repeated batch uses no room.
+            with stage(new_jobs(batch, jobs, arrival), "quota") as fresh:
+                room = take_first(fresh, (*arrival, "id"), daily_target - done)
+                insert_jobs(spark, jobs_path, room, as_of=now, arrival=arrival)
         if vectors_path is not None:
             load_vectors(spark, jobs_path, vectors_path, embedder)
 
@@ -46,18 +51,6 @@ def ingest_stream(stream: DataFrame, jobs_path: str, checkpoint: str, *,
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _within_quota(batch: DataFrame, jobs: DataFrame, day: date, arrival: Sequence[str],
-                  target: int) -> DataFrame:
-    """New rows of a batch that the day still has room for.
-
-    The batch is reduced to new ids first, so a repeated batch uses no room.
-    """
-    done = count_jobs_on(jobs, day).first()["n"]
-    keyed = first_by(batch.filter(F.col("id").isNotNull()), ["id"], list(arrival) or ["id"])
-    fresh = staged(unknown_rows(keyed, jobs), "quota")
-    return take_first(fresh, (*arrival, "id"), target - done)
-
-
 def distinct_stream(stream: DataFrame, time_col: str, delay: str = "1 day") -> DataFrame:
     """First arrival of each id, with state kept for ``delay`` of event time only."""
     if isinstance(stream.schema[time_col].dataType, TimestampNTZType):
