@@ -170,7 +170,8 @@ _FOUND = "j.id, j.title, j.company, j.role, j.location, j.url, j.description, h.
   SELECT {_FOUND} FROM hits h JOIN jobs j ON j.id = h.job_id""")
 def _(spark, sf):
     all_jobs = jobs(spark, sf, heavy=True)
-    return V.semantic_search_jobs(all_jobs, V.build_vectors(all_jobs), _QUERY, 12)
+    return V.semantic_search_jobs(all_jobs, V.build_vectors(all_jobs), _QUERY, 12,
+                                  hashing_embedder(WIDTH))
 
 
 @case("semantic_search_distinct", f"""{_SEMANTIC}, best AS (SELECT job_id, max(score) AS score
@@ -180,7 +181,7 @@ def _(spark, sf):
 def _(spark, sf):
     all_jobs = jobs(spark, sf, heavy=True)
     return V.semantic_search_jobs(all_jobs, V.build_vectors(all_jobs), _QUERY, 12,
-                                  distinct_jobs=True)
+                                  hashing_embedder(WIDTH), distinct_jobs=True)
 
 
 def _marked(spark, sf):
