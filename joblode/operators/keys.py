@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from joblode.session import staged
+
 # Ids up to this many rows and bytes are broadcast; beyond it both sides shuffle.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
@@ -55,25 +57,24 @@ def rows_with_ids(df: DataFrame, ids: DataFrame | Sequence[str], id_col: str = "
 
 def take_first(df: DataFrame, order: Sequence[str], n: int, *,
                top_rows: int | None = None) -> DataFrame:
-    """The first ``n`` rows by ``order``, whose columns must not be NULL.
+    """The first ``n`` rows by ``order``, which must end in a unique column.
 
     A small ``n`` is a top-n. A large one would bring ``n`` rows to one task, so
-    the cut is then found from counts: per value of the first column, the running
-    count tells which values lie wholly before the cut and which value it falls
-    into; that value alone is cut by the next column. The last column should be
-    unique. Only counts per value and one boundary row per column are gathered.
+    the rows are range-partitioned by ``order`` and written with the number of
+    their partition: whole partitions are kept up to the one that holds the cut,
+    and only that one is sorted. The driver sees one count per partition.
     """
     if n <= 0:
         return df.limit(0)
-    head, *rest = order
-    if n <= (TOP_ROWS if top_rows is None else top_rows) or not rest:
+    if n <= (TOP_ROWS if top_rows is None else top_rows):
         return df.orderBy(*order).limit(n)
-    counts = df.groupBy(head).agg(F.count(F.lit(1)).alias("_n"))
-    running = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(head)))
-    edge = running.filter(F.col("_upto") >= n).orderBy(head).limit(1).first()
-    if edge is None:
-        return df
-    before = df.filter(F.col(head) < F.lit(edge[head]))
-    inside = df.filter(F.col(head) == F.lit(edge[head]))
-    left = n - (edge["_upto"] - edge["_n"])
-    return before.unionByName(take_first(inside, rest, left, top_rows=top_rows))
+    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()),
+                    "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    before = 0
+    for part in sizes:
+        if before + part["n"] >= n:
+            cut = ranged.filter(F.col("_part") == part["_part"]).orderBy(*order).limit(n - before)
+            return ranged.filter(F.col("_part") < part["_part"]).unionByName(cut).drop("_part")
+        before += part["n"]
+    return ranged.drop("_part")

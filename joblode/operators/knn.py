@@ -165,7 +165,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, n_results: int = 10,
                  where: Column | Mapping[str, str] | None = None, *,
                  shared_numbers: int = SHARED_NUMBERS,
                  block_vectors: int = BLOCK_VECTORS) -> DataFrame:
-    """The nearest vectors of every query ``(query_id, embedding)``.
+    """The nearest vectors of every query ``(query_id, embedding)``, ids unique.
 
     Gives ``query_id, vector_id, score, rank``. No pairs are emitted: each task
     keeps the best ``n_results`` per query and only those are shuffled to be

@@ -75,7 +75,7 @@ def load_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
                  embedder: Embedder | None = None) -> LoadCounts:
     """Build vectors for postings that have none; safe to repeat."""
     missing = missing_vectors(read_jobs(spark, jobs_path), read_vectors(spark, vectors_path))
-    return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder))
+    return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
 
 
 @dataclass(frozen=True)

@@ -143,13 +143,17 @@ def job_ids(jobs: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *,
-                   buckets: int = VECTOR_BUCKETS) -> LoadCounts:
+                   buckets: int = VECTOR_BUCKETS, unique: bool = False) -> LoadCounts:
     """Write vectors by id; a vector that is stored already is replaced.
 
-    ``rows`` holds each vector id once. Folders in which nothing is replaced only
+    Pass ``unique`` if ``rows`` holds each vector id once, as the vectors of
+    distinct postings do; otherwise one row per id is kept. A table keeps the
+    number of ``buckets`` it was first written with. Folders in which nothing is replaced only
     get appended to. The others are merged into a staged table first and then
     overwritten folder by folder, so nothing is read from a place being written.
     """
+    if not unique:
+        rows = first_by(rows, ["vector_id"], ["document"])
     keyed = rows.select(*VECTOR_SCHEMA.names).withColumn(
         "bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
     with stage(keyed, "vectors") as batch:

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
 QUICK = ("top_skills", "skill_share", "criteria_search", "posted_date_parse", "harvest_cards", "page_rule",
-         "quota_by_counts", "knn_batch", "transcript_checks")
+         "quota_by_ranges", "knn_batch", "transcript_checks")
 
 
 def test_names():

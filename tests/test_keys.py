@@ -26,7 +26,7 @@ def test_first_by_limits_before_the_shuffle(rows, plan):
 
 
 @pytest.mark.parametrize("n", [-1, 0, 1, 5, 17, 150, 151, 599, 600, 601])
-def test_cut_by_counts_equals_sorted_cut(rows, n):
+def test_cut_by_ranges_equals_sorted_cut(rows, n):
     data, df = rows
     want = sorted(r[4] for r in sorted(data, key=lambda r: r[1:])[:max(n, 0)])
     order = ["a", "b", "c", "n"]

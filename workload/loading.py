@@ -72,10 +72,10 @@ def _(spark, sf):
     return H.daily_quota(H.first_seen(cards(spark, sf)), done_today=12).select("id", "keyword")
 
 
-@case("quota_by_counts", f"""WITH {CARDS}, {_FIRST} SELECT id, keyword FROM first
+@case("quota_by_ranges", f"""WITH {CARDS}, {_FIRST} SELECT id, keyword FROM first
   ORDER BY keyword_ord, page, position, id LIMIT (SELECT count(*) FROM labels)""")
 def _(spark, sf):
-    """A cut as large as a table, found from counts rather than by a top-n."""
+    """A cut as large as a table, found from ranges rather than by a top-n."""
     size = table(spark, sf, "labels").count()
     return take_first(H.first_seen(cards(spark, sf)), (*H.ARRIVAL, "id"), size,
                       top_rows=5).select("id", "keyword")
