@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from joblode import constants as K
 from joblode.functions.reply import (checked_fields, empty_extraction, no_description,
                                      parse_fields)
-from joblode.functions.text import infer_role, let, seniority_by_years, strip
+from joblode.functions.text import contains_any, infer_role, let, seniority_by_years, strip
 from joblode.schemas import EXTRACTION_SCHEMA, STAGED_COLUMNS
 
 
@@ -95,24 +95,23 @@ def rule_extraction(stubs: DataFrame, skills: tuple[str, ...] = SKILLS) -> DataF
     """
     title, text = F.col("title"), F.col("raw_description")
 
-    def optional(s: Column) -> Column:
-        return F.lower(s).rlike("|".join(K.OPTIONAL_MARKS))
-
     level = F
     for name in _TITLE_LEVELS:
-        level = level.when(_words(title).contains(f" {name.lower()} "), F.lit(name))
+        level = level.when(F.col("_title").contains(f" {name.lower()} "), F.lit(name))
     level = level.otherwise(F.lit(K.DEFAULT_SENIORITY))
-    marked = F.transform(F.split(text, r"[.;\n]+"),
-                         lambda s: F.struct(s.alias("text"), optional(s).alias("optional")))
+    marked = F.transform(F.split("_low", r"[.;\n]+"), lambda s: F.struct(
+        s.alias("text"), contains_any(s, K.OPTIONAL_MARKS).alias("optional")))
     # Projections in steps: what a later step uses more than once is kept as a column.
-    parts = stubs.withColumn("_marked", marked).withColumns({
+    parts = stubs.withColumns({"_low": F.lower(text), "_title": _words(title)}).withColumns({
+        "_marked": marked,
+        "_years": F.array_max(F.transform(
+            F.regexp_extract_all("_low", F.lit(_YEARS), 1), lambda n: n.cast("int"))),
+        "_past": F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + _PAST), 1))})
+    parts = parts.withColumns({
         "_must": F.array_join(F.transform(F.filter("_marked", lambda s: ~s["optional"]),
                                           lambda s: s["text"]), " . "),
         "_nice": F.array_join(F.transform(F.filter("_marked", lambda s: s["optional"]),
-                                          lambda s: s["text"]), " . "),
-        "_years": F.array_max(F.transform(
-            F.regexp_extract_all(F.lower(text), F.lit(_YEARS), 1), lambda n: n.cast("int"))),
-        "_past": F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + _PAST), 1))})
+                                          lambda s: s["text"]), " . ")})
     parts = parts.withColumns({"_must": _named(F.col("_must"), skills),
                                "_nice": _named(F.col("_nice"), skills)})
     full = F.struct(infer_role(title).alias("role"),
@@ -123,7 +122,8 @@ def rule_extraction(stubs: DataFrame, skills: tuple[str, ...] = SKILLS) -> DataF
                     F.col("_past").alias("past_experience"))
     extraction = F.when(no_description(text), empty_extraction().cast(EXTRACTION_SCHEMA)
                         ).otherwise(full.cast(EXTRACTION_SCHEMA))
-    return parts.withColumn("_x", extraction).drop("_marked", "_must", "_nice", "_years", "_past")
+    return parts.withColumn("_x", extraction).drop(
+        "_low", "_title", "_marked", "_must", "_nice", "_years", "_past")
 
 
 def extract(stubs: DataFrame, model: Callable[[str, str], str] | None = None) -> DataFrame:

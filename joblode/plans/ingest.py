@@ -27,9 +27,10 @@ def new_stubs(pages: DataFrame, jobs: DataFrame, n_keywords: int | None = None)
     """Stubs on result pages whose job is not stored, one per job, by the page rule.
 
     Cards are counted against the stored ids alone, so keywords need not run one
-    after the other.
+    after the other. The narrow cards are written once: the page rule goes over
+    them twice and would parse the pages again.
     """
-    cards = unknown_rows(read_cards(pages), jobs)
+    cards = staged(unknown_rows(read_cards(pages), jobs), "cards")
     return first_seen(page_rule(cards, n_keywords=n_keywords))
 
 
@@ -45,9 +46,7 @@ def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: dateti
     done = count_jobs_on(jobs, as_of.date()).first()["n"]
     if done >= target:
         return pages.sparkSession.createDataFrame([], STUB_SCHEMA)
-    # Written once: the quota and the join below would parse the pages again.
-    stubs = staged(new_stubs(pages, jobs, n_keywords), "stubs")
-    kept = daily_quota(stubs, done, target)
+    kept = staged(daily_quota(new_stubs(pages, jobs, n_keywords), done, target), "stubs")
     ids = kept.select("id")
     if target - done <= BROADCAST_ROWS:  # no more rows than the quota leaves
         ids = F.broadcast(ids)

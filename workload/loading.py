@@ -165,12 +165,12 @@ def posting_pages(spark, sf):
     number = F.explode(F.sequence(F.col("page_id") * 10 + 1, F.col("page_id") * 10 + 9))
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     rows = p.select(title.alias("title"), number.alias("number"))
-    html = F.concat(F.lit('<div class="show-more-less-html__markup">We need 4+ years of experience in '
+    body = F.concat(F.lit('<div class="show-more-less-html__markup">We need 4+ years of experience in '
                           'SaaS and python. '), "title",
                     F.lit("<br>sql is a bonus</div><time datetime='2024-02-"),
                     F.lpad((F.col("number") % 28 + 1).cast("string"), 2, "0"), F.lit("'>x</time>"))
-    found = rows.filter(F.col("number") % 17 != 0)
-    return R.detail_pages(found.select(
+    html = F.when(F.col("number") % 17 == 0, F.lit("<p>This posting is gone</p>")).otherwise(body)
+    return R.detail_pages(rows.select(
         R.detail_url((F.col("number") + 1000000).cast("string")).alias("url"), html.alias("html")))
 
 

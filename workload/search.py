@@ -153,6 +153,18 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
 
 
+@case("ann_all_cells", _one("", 10))
+def _(spark, sf):
+    """With every cell in reach the pruned search is exact."""
+    all_vectors = vectors(spark, sf)
+    path = scratch(spark, "cells")
+    model = ann.hash_model(all_vectors, bits=4)
+    ann.write_cells(all_vectors, path, model)
+    cells = ann.read_cells(spark, path, all_vectors.schema)
+    return ann.search_cells(cells, model, _asked(spark, sf), 10, flips=4).select(
+        "vector_id", "job_id", "document", "score", "rank")
+
+
 _QUERY = "Senior python backend sql react developer, DevOps in en"
 _SEMANTIC = f"""WITH {JOBS}, {VECTOR_TEXTS}, texts AS (SELECT vector_id, document FROM vector_texts
     UNION ALL SELECT '?', '{_QUERY}'), {sql_hashed('texts', 'vector_id')},
