@@ -46,13 +46,15 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def infer_role(title: Column) -> Column:
     """Role by the words of a title; the first matching group wins."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    rule = F
-    for role, words in K.ROLE_WORDS:
-        rule = rule.when(contains_any(low, words), F.lit(role))
-    product = (low.contains("product") & low.contains("manager")) | contains_any(
-        low, K.PRODUCT_WORDS)
-    return rule.when(product, F.lit(K.PRODUCT_ROLE)).otherwise(F.lit(K.DEFAULT_ROLE))
+    def judge(low: Column) -> Column:
+        rule = F
+        for role, words in K.ROLE_WORDS:
+            rule = rule.when(contains_any(low, words), F.lit(role))
+        product = (low.contains("product") & low.contains("manager")) | contains_any(
+            low, K.PRODUCT_WORDS)
+        return rule.when(product, F.lit(K.PRODUCT_ROLE)).otherwise(F.lit(K.DEFAULT_ROLE))
+
+    return let(F.lower(F.coalesce(title, F.lit(""))), judge)
 
 
 def seniority_by_years(seniority: Column, years: Column) -> Column:
