@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from joblode.operators.keys import first_by, rows_with_ids, take_first, unknown_rows
 
@@ -50,4 +49,3 @@ def test_rows_with_ids(spark, rows):
     _, df = rows
     assert rows_with_ids(df, ["k1"]).select("id").distinct().count() == 1
     assert rows_with_ids(df, []).count() == 0
-    assert F is not None

@@ -13,8 +13,8 @@ from joblode.functions.dates import parse_posted_date
 from joblode.operators import extract as E
 from joblode.operators.vectors import vector_texts
 from workload.registry import case
-from workload.views import (AGES, JOBS, REPLIES, TITLES, joined, jobs, pick, q, replies, sql_joined,
-                            sql_list, sql_pick, table)
+from workload.views import (AGES, JOBS, REPLIES, TITLES, joined, jobs, pick, q, replies, sql_list,
+                            sql_pick, table)
 
 AS_OF = "2024-03-10 02:00:00"
 LISTS = ("skills_must", "skills_nice", "past_experience")
