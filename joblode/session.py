@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,30 +34,28 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-# Folders of local sessions that were given none, by application.
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; it then gets a folder of
-    its own, once.
-    """
+    """The folder all executors see: ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="joblode-")
-    return _LOCAL_DIRS[context.applicationId]
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/joblode/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/joblode/{name}-{uuid.uuid4().hex}"
+    files, place = _file(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file(spark, path)
+    files.delete(place, True)
+
+
+def _file(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +63,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage and computes ``df`` once, so that a lost executor re-reads
     rows instead of calling a user's model again, and later steps may prune
-    columns of the written table. The copy stays until the folder is cleaned.
+    columns of the written table. The copy goes when the driver ends.
     """
     return _write_and_read(df, scratch(df.sparkSession, name))
 
@@ -78,8 +75,7 @@ def stage(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield _write_and_read(df, path)
     finally:
-        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        remove(df.sparkSession, path)
 
 
 def _write_and_read(df: DataFrame, path: str) -> DataFrame:
