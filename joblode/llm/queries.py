@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from joblode.llm import idfiles, packing, tokens  # noqa: F401
+from joblode.llm import (curve, exact, idfiles, licenses, packing, pii, quality,  # noqa: F401
+                         ratio, tokens)
 from joblode.llm.registry import ORACLE, QUERIES  # noqa: F401
