@@ -55,10 +55,12 @@ class ForcedBoundaryBPE:
     """Encoder and decoder of one byte-level tokenizer file.
 
     Its pre-tokenizer must be one of the two public patterns: words with a leading
-    space, or lower-case words with white space dropped.
+    space, or lower-case words with white space dropped. Without ``forced`` words
+    are encoded whole, with the same ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, forced: bool = True):
+        self.forced = forced
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -99,7 +101,8 @@ class ForcedBoundaryBPE:
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word (of the text, not yet in byte letters)."""
         letters = byte_letters()
-        parts = self.fragments("".join([letters[b] for b in word.encode()]))
+        shown = "".join([letters[b] for b in word.encode()])
+        parts = self.fragments(shown) if self.forced else [shown]
         if len(parts) == 1:
             return [t.id for t in self.last.tokenize(parts[0])]
         ids: list[int] = []
@@ -108,8 +111,6 @@ class ForcedBoundaryBPE:
             if (got := self.of_fragment.get(key)) is None:
                 got = [t.id for t in (self.last if key[1] else self.inner).tokenize(part)]
                 if len(part) <= CACHED_CHARS:
-                    if len(self.of_fragment) >= CACHE:
-                        self.of_fragment.clear()
                     self.of_fragment[key] = got
             ids += got
         return ids
@@ -119,8 +120,6 @@ class ForcedBoundaryBPE:
         try:
             return b"".join(map(table.__getitem__, keys))
         except KeyError:
-            if len(table) >= CACHE:
-                table.clear()
             fresh = {k: make(k) for k in set(keys).difference(table)}
             table |= fresh
             made = b"".join(map(table.__getitem__, keys))
@@ -136,13 +135,27 @@ class ForcedBoundaryBPE:
         if self.lowers:
             words = self.words.findall(chunk)
             return self._word(chunk) if words == [chunk] else self._words(words)
-        return self._words(self.words.findall(chunk if chunk[0] == "\n" else " " + chunk))
+        words = self.words.findall(chunk if chunk[0] == "\n" else " " + chunk)
+        if len(words) == 1:
+            return self._word(words[0])
+        # The first word is a chunk as well, kept once for both.
+        head = words[0][1:] if words[0][0] == " " else ""
+        if not head:
+            return self._words(words)
+        if (got := self.of_chunk.get(head)) is None:
+            got = self._word(words[0])
+            if len(head) <= CACHED_CHARS:
+                self.of_chunk[head] = got
+        return got + self._words(words[1:])
 
     def _words(self, words: list[str]) -> bytes:
         return self._join(words, self.of_word, self._word)
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
+        for table in (self.of_word, self.of_chunk, self.of_fragment):
+            if len(table) >= CACHE:
+                table.clear()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -186,9 +199,9 @@ class ForcedBoundaryBPE:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ForcedBoundaryBPE:
+def encoder(path: str, forced: bool = True) -> ForcedBoundaryBPE:
     """One encoder per worker and file."""
-    return ForcedBoundaryBPE(path)
+    return ForcedBoundaryBPE(path, forced)
 
 
 def texts_of(batches: Iterator, column: str = "text") -> Iterator[tuple]:

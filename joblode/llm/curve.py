@@ -16,6 +16,7 @@ on the curve are broken by id, checksum and size; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,8 +48,9 @@ def cells(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     shares = [i / 2**bits for i in range(1, 2**bits)]
     cuts = df.agg(*[F.percentile_approx(d, shares, 10_000).alias(d) for d in dims]).first()
     for d in dims:
-        points = sorted({c for c in cuts[d] or [] if c == c})
-        over = [F.when(F.col(d) >= F.lit(c), 1).otherwise(0) for c in points]
+        # A value that many rows have is a cut point several times: it takes as much of the axis.
+        points = Counter(c for c in cuts[d] or [] if c == c)
+        over = [F.when(F.col(d) >= F.lit(c), n).otherwise(0) for c, n in sorted(points.items())]
         df = df.withColumn(d, reduce(lambda a, b: a + b, over, F.lit(0)))
     return df
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joblode.llm.keep import kept_rows
 from joblode.llm.registry import case, documents
 from joblode.llm.tokens import narrow
 from joblode.session import staged
@@ -77,29 +78,10 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, id_col: str = "doc_i
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns.
-
-    Only ids of dropped rows are shuffled, against ids and whole rows. Where an id stands on several
-    rows, they are told apart by their text; of rows equal in both, the first by all columns stays.
-    """
-    from pyspark.sql import Window
-
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
     groups = exact_groups(docs, digest_all=True, id_col=id_col, text_col=text_col)
-    groups = staged(groups, "exact-groups")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    dropped = groups.filter("NOT kept").select("doc_id").unionByName(repeated)
-    own = docs.withColumn("_id", F.col(id_col).cast("long"))
-    single = own.join(dropped, own["_id"].eqNullSafe(dropped["doc_id"]), "left_anti").drop("_id")
-    if repeated.isEmpty():
-        return single
-    kept = groups.filter("kept").join(repeated.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r")),
-                                      "left_semi").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_h"))
-    order = [F.col(c) if t not in ("map", "variant") else F.lit(0) for c, t in docs.dtypes]
-    first = Window.partitionBy("_id", "_sha").orderBy(*order)
-    several = (own.withColumn("_sha", F.sha2(one_space(F.col(text_col).cast("string")), 256))
-               .join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_h")), "left_semi")
-               .withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_id", "_sha", "_n"))
-    return single.unionByName(several)
+    key = F.sha2(one_space(F.col(text_col).cast("string")), 256)
+    return kept_rows(docs, groups.withColumnRenamed("text_sha256", "key"), key, id_col)
 
 
 OP1_SQL = r"""

@@ -39,7 +39,7 @@ def segments(sorted_docs: DataFrame, path: str, end_id: int, segment: int) -> Da
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, forced=False)
         width = 2 if max(bpe.entries) < 2**16 and end_id < 2**16 else 4
         part, number, before = None, 0, 0
         ids, sizes, docs = [], [0], []

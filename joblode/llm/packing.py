@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int, id_col: str = "
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, forced=False)
         for batch, texts in texts_of(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):

@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,6 +275,40 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return scanned.select("doc_id", "base", "base_sha256", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
+def all_spans(text: str, taken: dict[int, set[int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the spans of one text, given the accepted patterns."""
+    base = base_spans(text)
+    more, after = [], 0
+    for start, kind, end, pattern in proposals(text, base):
+        if pattern in taken.get(kind, ()) and start >= after:
+            more.append((start, kind, end))
+            after = end
+    return sorted(base + more)
+
+
+def redacted(text: str | None, taken: dict[int, set[int]]) -> str | None:
+    """The text with each span replaced by its kind; of spans that overlap, by the first one's."""
+    if not text or not (spans := all_spans(text, taken)):
+        return text
+    parts, after = [], 0
+    for start, kind, end in spans:
+        if start >= after:
+            parts += [text[after:start], f"<{KINDS[kind].upper()}>"]
+        after = max(after, end)
+    return "".join([*parts, text[after:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data replaced in the text; null texts stay null."""
+    taken = {k: set(p) for k, p in accepted(staged(scan(docs, id_col, text_col), "pii-scan")).items()}
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([redacted(t, taken) for t in texts], dtype=object)
+
+    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+
+
 def span_list(spans: str):
     """kind:start:end of each span, joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])

@@ -141,9 +141,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     return Model(float(lasso.intercept), {r: w for r, w in zip(found, weights) if w})
 
 
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """(row, score): each row of ``docs`` as a struct, so that its columns may have any name."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return with_statistics(rows).select("row", model.score().alias("score"))
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score."""
-    return with_statistics(docs, text_col).withColumn(score, model.score()).drop(*STATISTICS)
+    return _scored(docs, model, text_col).select("row.*", F.col("score").alias(score))
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = ACCEPT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+    return _scored(docs, model, text_col).filter(F.col("score") >= least).select("row.*")
 
 
 def quality_labels(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from joblode.llm import (curve, exact, idfiles, licenses, packing, pii, quality,  # noqa: F401
-                         ratio, tokens)
+import corpus_pipeline
+from joblode.llm import (curve, exact, idfiles, licenses, neardup, packing, pii,  # noqa: F401
+                         quality, ratio, tokens)
 from joblode.llm.registry import ORACLE, QUERIES  # noqa: F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

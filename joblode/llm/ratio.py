@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +41,27 @@ def with_words(df: DataFrame, text: Column, name: str = "_words") -> DataFrame:
         F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", SPACE))).drop("_trimmed")
 
 
-def ngrams(words: str, n: int) -> Column:
-    """64-bit hashes of all runs of ``n`` words, in order."""
-    last = F.size(words) - n
-    if n == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(
-        *[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+def with_hashes(df: DataFrame) -> DataFrame:
+    """Adds ``_h1`` and ``_h2``: hashes of all words and of all pairs of words that follow each other."""
+    return df.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_h2", paired("_h1", "_h1", 1))
+
+
+def paired(a: str, b: str, apart: int) -> Column:
+    """Hash of each element of ``a`` with the one of ``b`` that stands ``apart`` places later, while there is one."""
+    count = F.greatest(F.least(F.size(a), F.size(b) - apart), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), count), F.slice(b, F.lit(apart + 1), count), lambda x, y: F.xxhash64(x, y))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; needs text and _words."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; needs text, _words, _h1 and _h2."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     df = docs.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_lines": lines, "_windows": ngrams("_words", WINDOW)})
+        "_lines": lines, "_four": paired("_h2", "_h2", 2)})
+    df = df.withColumn("_windows", paired("_four", "_h1", WINDOW - 1))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     # Windows that recur are sorted with their places; only texts that have such windows pay for it.
     recurs = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -71,13 +75,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("_places", F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct(
         (acc["sum"] + F.least(i - acc["last"], F.lit(WINDOW))).alias("sum"), i.alias("last")))["sum"]
     return (df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-            .drop("_lines", "_windows", "_sorted", "_places"))
+            .drop("_lines", "_four", "_windows", "_sorted", "_places"))
 
 
-def buckets(words: str, count: int) -> Column:
-    """Buckets of all words and word pairs."""
-    place = lambda h: F.pmod(h, F.lit(count)).cast("int")
-    return F.concat(F.transform(words, lambda w: place(F.xxhash64(w))), F.transform(ngrams(words, 2), place))
+def bucket(h: Column, count: int) -> Column:
+    return F.pmod(h, F.lit(count)).cast("int")
 
 
 def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -89,8 +91,8 @@ def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def bucket_counts(docs: DataFrame, count: int) -> list[tuple[int, int, int]]:
     """(bucket, in the raw corpus, in trusted documents): at most ``count`` rows. Needs text and trusted."""
-    grams = with_words(docs, F.col("text")).select("trusted", F.explode(buckets("_words", count)).alias("b"))
-    return [tuple(r) for r in grams.groupBy("b").agg(F.count("*"), F.count("trusted")).collect()]
+    grams = with_hashes(with_words(docs, F.col("text"))).select("trusted", F.explode(F.concat("_h1", "_h2")).alias("h"))
+    return [tuple(r) for r in grams.groupBy(bucket(F.col("h"), count).alias("b")).agg(F.count("*"), F.count("trusted")).collect()]
 
 
 def log_ratios(counts: list[tuple[int, int, int]], count: int) -> list[float]:
@@ -106,13 +108,12 @@ def log_ratios(counts: list[tuple[int, int, int]], count: int) -> list[float]:
 
 
 def scored(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """Adds score; needs _words."""
-    import numpy as np
-
+    """Adds score; needs _h1 and _h2."""
     table = F.lit(np.array(ratios))
-    df = docs.withColumn("_buckets", buckets("_words", len(ratios)))
-    total = F.aggregate("_buckets", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    return df.withColumn("score", F.when(F.size("_buckets") > 0, total / F.size("_buckets")).otherwise(0.0)).drop("_buckets")
+    add = lambda total, h: total + F.get(table, bucket(h, len(ratios)))
+    total = F.aggregate("_h2", F.aggregate("_h1", F.lit(0.0), add), add)
+    grams = F.size("_h1") + F.size("_h2")
+    return docs.withColumn("score", F.when(grams > 0, total / grams).otherwise(0.0))
 
 
 def ratio_rules(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, reject: float = REJECT,
@@ -124,7 +125,8 @@ def ratio_rules(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, rejec
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = marked(own, trusted)
     ratios = log_ratios(bucket_counts(own, count), count)
-    read = staged(scored(base_counts(with_words(own, F.col("text"))), ratios).drop("text", "_words"), "ratio-scores")
+    read = staged(scored(base_counts(with_hashes(with_words(own, F.col("text")))), ratios)
+                  .drop("text", "_words", "_h1", "_h2"), "ratio-scores")
     floor = read.filter("trusted AND n_words > 0").agg(F.percentile_approx("score", F.lit(reject), F.lit(100_000))).first()[0]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     above = F.lit(True) if floor is None else F.col("score") >= F.lit(floor)
