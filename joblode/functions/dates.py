@@ -50,5 +50,5 @@ def parse_posted_date(text: Column, as_of: datetime | str | Column) -> Column:
         .when(contains_any(low, words["week"]), days_back("week"))
         .when(contains_any(low, words["month"]), days_back("month"))
         .when(contains_any(low, words["now"]), F.to_date(now)))
-    relative = F.when(relative >= F.lit("0001-01-01").cast("date"), relative)
-    return F.coalesce(iso, relative)
+    calendar = lambda day: F.when(day >= F.lit("0001-01-01").cast("date"), day)
+    return F.coalesce(calendar(iso), calendar(relative))

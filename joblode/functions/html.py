@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ class Css:
     def opening(self) -> str:
         """Pattern of the opening tag."""
         if self.cls:
-            need = r"\bclass\s*=\s*[\"'][^\"'>]*(?<![\w-])" + self.cls + r"(?![\w-])"
+            need = r"(?<![\w-])class\s*=\s*[\"'][^\"'>]*(?<![\w-])" + self.cls + r"(?![\w-])"
         elif self.attr:
-            need = rf"\b{self.attr}\s*="
+            need = rf"(?<![\w-]){self.attr}\s*="
         else:
             return rf"<{self.tag}\b[^>]*>"
         return rf"<{self.tag}\b[^>]*{need}[^>]*>"
@@ -37,7 +38,7 @@ def opening_tag(html: Column, *choices: Css) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value in an opening tag; NULL if absent."""
-    value = F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    value = F.regexp_extract(tag, rf"(?i)(?<![\w-]){name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
     return F.when(value != "", unescape(F.substring(value, F.lit(2), F.length(value) - 2)))
 
 
@@ -76,15 +77,33 @@ def short_inner(html: Column, *choices: Css) -> Column:
     return F.when(opening_tag(html, *choices).isNotNull(), body)
 
 
-# Entities that plain text pages use.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&nbsp;", " "), ("&amp;", "&"))
+# Names of characters in HTML, from the standard library; the apostrophe came later than the list.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character for a number that has none."""
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    four = F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0"))
+    return F.when(code == 160, F.lit(" ")).otherwise(F.decode(four, "UTF-32"))
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric character references as the characters they stand for; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(ENTITIES.items()) for x in pair])
+
+    def piece(part: Column, n: Column) -> Column:
+        """What follows an ampersand, its reference resolved."""
+        name = F.regexp_extract(part, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.conv(F.substring(name, 3, 8), 16, 10).try_cast("long")
+        number = F.when(name.rlike("^#[xX]"), hexed).otherwise(F.substring(name, 2, 9).try_cast("long"))
+        found = F.when(name.startswith("#"), _character(number)).otherwise(F.try_element_at(names, name))
+        known = (n > 0) & (name != "") & found.isNotNull()
+        return F.when(known, F.concat(found, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(
+            F.when(n > 0, F.concat(F.lit("&"), part)).otherwise(part))
+
+    resolved = F.array_join(F.transform(F.split(text, "&"), piece), "")
+    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
 
 
 # Stands for a line break while white space is closed up.

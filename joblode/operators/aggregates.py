@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joblode.operators.criteria import any_word, checked_limit, on_day, one_of
@@ -56,19 +56,16 @@ def top_skills_all(jobs: DataFrame, limit: int = 15) -> DataFrame:
 def skill_share(jobs: DataFrame) -> DataFrame:
     """Share of the postings of a role that require a skill, with both counts.
 
-    One pass: every posting adds a total row next to one row per distinct skill,
-    so the role's total comes out of the same aggregation and needs no join.
+    Both counts are grouped aggregates; a role's total comes to its skills in a
+    join, which Spark broadcasts or splits by size.
     """
-    mark = F.array(F.struct(F.lit(True).alias("total"), F.lit(None).cast("string").alias("skill")))
-    skills = F.transform(F.array_distinct("skills_must"),
-                         lambda s: F.struct(F.lit(False).alias("total"), s.alias("skill")))
-    rows = (jobs.filter(F.col("role").isNotNull())
-            .select("role", F.inline(F.concat(mark, F.coalesce(skills, F.slice(mark, 1, 0))))))
-    counts = rows.groupBy("role", "total", "skill").agg(F.count(F.lit(1)).alias("jobs_with"))
-    of_role = F.max(F.when(F.col("total"), F.col("jobs_with"))).over(Window.partitionBy("role"))
-    return (counts.withColumn("jobs_of_role", of_role).filter(~F.col("total"))
-            .select("role", "skill", "jobs_with", "jobs_of_role",
-                    (F.col("jobs_with").cast("double") / F.col("jobs_of_role")).alias("share")))
+    known = jobs.filter(F.col("role").isNotNull())
+    totals = known.groupBy("role").agg(F.count(F.lit(1)).alias("jobs_of_role"))
+    counts = (known.select("role", F.explode(F.array_distinct("skills_must")).alias("skill"))
+              .groupBy("role", "skill").agg(F.count(F.lit(1)).alias("jobs_with")))
+    return counts.join(totals, "role").select(
+        "role", "skill", "jobs_with", "jobs_of_role",
+        (F.col("jobs_with").cast("double") / F.col("jobs_of_role")).alias("share"))
 
 
 def count_rows(df: DataFrame) -> DataFrame:

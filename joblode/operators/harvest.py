@@ -106,7 +106,8 @@ def page_rule(cards: DataFrame, max_pages: int = K.MAX_PAGES,
 
 def first_seen(cards: DataFrame) -> DataFrame:
     """One row per job: that of the first keyword, page and position to show it."""
-    return first_by(cards, ["id"], ARRIVAL)
+    rest = [c for c in cards.columns if c not in ("id", *ARRIVAL)]  # two stored copies of a page
+    return first_by(cards, ["id"], (*ARRIVAL, *rest))
 
 
 def daily_quota(stubs: DataFrame, done_today: int, target: int = K.DAILY_TARGET) -> DataFrame:

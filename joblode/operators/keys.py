@@ -30,7 +30,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
 
 def fits_broadcast(ids: DataFrame, id_col: str = "id") -> bool:
     """Whether a column of ids is small enough to broadcast, by count and bytes."""
-    rows, size = ids.agg(F.count(F.lit(1)), F.sum(F.octet_length(id_col))).first()
+    rows, size = ids.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(id_col).cast("string")))).first()
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 

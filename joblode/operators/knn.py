@@ -197,9 +197,8 @@ def search_batch(vectors: DataFrame, queries: DataFrame, n_results: int = 10,
                     add(matrix, best, batch.column(0), batch.column(1))
             yield from result(table, best).to_batches()
 
-        # Every task ends with its own best per query: a task per core or two, not per file.
-        cores = found.sparkSession.sparkContext.defaultParallelism
-        partial = found.coalesce(2 * cores).mapInArrow(scan, out)
+        # Every task ends with its own best per query; the rank below keeps the best in each task again.
+        partial = found.mapInArrow(scan, out)
     else:
         per_block = max(1, shared_numbers // width)
         q_blocks = -(-n_queries // per_block)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from joblode import constants as K
 from joblode.functions.jobtext import field_text, full_text, metadata, vector_id
 from joblode.operators.embed import DEFAULT_WIDTH, Embedder, hashing_embedder
-from joblode.operators.keys import unknown_rows
+from joblode.operators.keys import fits_broadcast, rows_with_ids, unknown_rows
 from joblode.operators.knn import query_vector, scored, search
 from joblode.schemas import VECTOR_SCHEMA
+from joblode.session import staged
 
 # A top-n up to this many rows is broadcast to the postings.
 BROADCAST_HITS = 10_000
@@ -46,9 +47,13 @@ def build_vectors(jobs: DataFrame, embedder: Embedder | None = None) -> DataFram
 
 
 def missing_vectors(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Postings whose full-text vector is not in the vector table."""
+    """Postings whose full-text vector is not in the vector table.
+
+    Ids alone are compared; the postings themselves meet only the ids that are missing.
+    """
     have = vectors.filter(F.col("type") == "full").select(F.col("job_id").alias("id"))
-    return unknown_rows(jobs, have)
+    ids = staged(unknown_rows(jobs.select("id"), have), "missing-ids")
+    return rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "vector_id") -> DataFrame:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joblode import constants as K
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.embed import Embedder
-from joblode.operators.extract import extract, job_rows
+from joblode.operators.extract import SKILLS, extract, job_rows
 from joblode.operators.harvest import (ARRIVAL, daily_quota, first_seen, page_rule, read_cards,
                                        read_details)
-from joblode.operators.keys import BROADCAST_ROWS, first_by, unknown_rows
+from joblode.operators.keys import BROADCAST_ROWS, first_by, fits_broadcast, rows_with_ids, unknown_rows
 from joblode.operators.vectors import build_vectors, missing_vectors
-from joblode.schemas import STUB_SCHEMA
-from joblode.session import staged
+from joblode.schemas import EXTRACTED_SCHEMA, STUB_SCHEMA
+from joblode.session import scratch_scope, staged
+from joblode.sources.stages import read_stage, stage_done, stage_path, write_stage
 from joblode.sources.tables import (LoadCounts, insert_jobs, read_jobs, read_vectors,
                                     upsert_vectors)
 
@@ -30,8 +32,9 @@ def new_stubs(pages: DataFrame, jobs: DataFrame, n_keywords: int | None = None)
     after the other. The narrow cards are written once: the page rule goes over
     them twice and would parse the pages again.
     """
-    cards = staged(unknown_rows(read_cards(pages), jobs), "cards")
-    return first_seen(page_rule(cards, n_keywords=n_keywords))
+    cards = staged(read_cards(pages), "cards")
+    new = unknown_rows(cards, jobs, small_batch=fits_broadcast(cards))
+    return first_seen(page_rule(new, n_keywords=n_keywords))
 
 
 def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: datetime,
@@ -61,8 +64,8 @@ def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: dateti
 
 
 def run_extract(stubs: DataFrame, model: Callable[[str, str], str] | None = None,
-                source: str = K.DEFAULT_SOURCE) -> DataFrame:
-    return job_rows(extract(stubs, model), source)
+                source: str = K.DEFAULT_SOURCE, skills: Sequence[str] = SKILLS) -> DataFrame:
+    return job_rows(extract(stubs, model, skills=skills), source)
 
 
 def load_jobs(spark: SparkSession, path: str, rows: DataFrame, as_of: datetime) -> LoadCounts:
@@ -71,9 +74,15 @@ def load_jobs(spark: SparkSession, path: str, rows: DataFrame, as_of: datetime)
 
 
 def load_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
-                 embedder: Embedder | None = None) -> LoadCounts:
-    """Build vectors for postings that have none; safe to repeat."""
-    missing = missing_vectors(read_jobs(spark, jobs_path), read_vectors(spark, vectors_path))
+                 embedder: Embedder | None = None, *, ids: DataFrame | None = None) -> LoadCounts:
+    """Build vectors for postings that have none; safe to repeat.
+
+    ``ids``: the postings to look at, as those of one load; all without it.
+    """
+    jobs = read_jobs(spark, jobs_path)
+    if ids is not None:
+        jobs = rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
+    missing = missing_vectors(jobs, read_vectors(spark, vectors_path))
     return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
 
 
@@ -86,9 +95,27 @@ class RunCounts:
 def run_all(spark: SparkSession, pages: DataFrame, details: DataFrame, jobs_path: str,
             vectors_path: str, *, as_of: datetime | None = None,
             target: int = K.DAILY_TARGET, model: Callable[[str, str], str] | None = None,
-            embedder: Embedder | None = None, n_keywords: int | None = None) -> RunCounts:
-    """All stages in order."""
+            embedder: Embedder | None = None, n_keywords: int | None = None,
+            stages: str | None = None, run_id: str = "run", skills: Sequence[str] = SKILLS) -> RunCounts:
+    """All stages in order; scratch copies go when the run ends.
+
+    With ``stages`` each stage hands over a file in that folder, named by ``run_id`` and the stage, and
+    a stage whose file is complete is not done again.
+    """
     as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-    stubs = harvest(pages, details, read_jobs(spark, jobs_path), as_of, target, n_keywords)
-    loaded = load_jobs(spark, jobs_path, run_extract(stubs, model), as_of)
-    return RunCounts(loaded, load_vectors(spark, jobs_path, vectors_path, embedder))
+
+    def handed(name: str, schema: T.StructType, make: Callable[[], DataFrame]) -> DataFrame:
+        if stages is None:
+            return make()
+        path = stage_path(stages, run_id, name)
+        if not stage_done(spark, path):
+            write_stage(make(), path)
+        return read_stage(spark, path, schema)
+
+    with scratch_scope(spark):
+        stubs = handed("stubs", STUB_SCHEMA, lambda: harvest(
+            pages, details, read_jobs(spark, jobs_path), as_of, target, n_keywords))
+        rows = handed("extracted", EXTRACTED_SCHEMA, lambda: run_extract(stubs, model, skills=skills))
+        rows = staged(rows, "extracted")
+        loaded = load_jobs(spark, jobs_path, rows, as_of)
+        return RunCounts(loaded, load_vectors(spark, jobs_path, vectors_path, embedder, ids=rows.select("id")))

@@ -39,3 +39,6 @@ VECTOR_SCHEMA = _struct(
 
 # A posting as the extraction stage hands it on: all but the load time.
 STAGED_COLUMNS = tuple(n for n in JOBS_SCHEMA.names if n != "scraped_at")
+
+# The same as a stage file, with the order in which cards were seen.
+EXTRACTED_SCHEMA = T.StructType([*[JOBS_SCHEMA[n] for n in STAGED_COLUMNS], *STUB_SCHEMA.fields[-3:]])

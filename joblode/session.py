@@ -8,6 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths made since a scope began, by scope.
+_SCOPES: list[list[str]] = []
+
 # Left to AQE at scale: the partition count is only a starting point that is
 # coalesced (or split, for skewed joins) from the sizes seen at run time.
 DEFAULTS = {
@@ -45,9 +48,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/joblode/{name}-{uuid.uuid4().hex}"
     files, place = _file(spark, path)
     files.deleteOnExit(place)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch copies made inside once it ends; for runs that end in a sink."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _file(spark, path)
     files.delete(place, True)

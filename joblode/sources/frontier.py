@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblode import constants as K
 from joblode.functions.text import nonempty
-from joblode.operators.keys import BROADCAST_ROWS
+from joblode.operators.keys import BROADCAST_ROWS, fits_broadcast
 
 
 def keyword_seeds(spark: SparkSession, keywords: Sequence[str] = K.KEYWORDS) -> DataFrame:
@@ -39,8 +39,10 @@ def search_frontier(keywords: DataFrame, offsets: Sequence[int] = (0,),
 def result_pages(pages: DataFrame, keywords: DataFrame, n_keywords: int | None = None) -> DataFrame:
     """Stored result pages ``(url, html)`` with ``keyword, keyword_ord, page`` of their address.
 
-    A keyword may hold ``&``: it ends where the next parameter begins. The seed list is joined on the keyword; it is broadcast if its size is known
-    to be small.
+    A keyword may hold ``&``: it ends where the next parameter begins. Pages of a
+    keyword are numbered by their offsets, of which 0 is page 0 whether stored or not.
+    The seed list is joined on the keyword; it is broadcast if its size is known
+    to be small. Only (keyword, offset) pairs are grouped, never pages.
     """
     keyword = nonempty(F.regexp_extract("url", r"[?&]keywords=(.*?)(?:&\w+=|#|$)", 1))
     start = F.regexp_extract("url", r"[?&]start=(\d+)", 1).try_cast("int")
@@ -48,8 +50,15 @@ def result_pages(pages: DataFrame, keywords: DataFrame, n_keywords: int | None =
         keywords = F.broadcast(keywords)
     found = pages.withColumns({
         "keyword": F.replace(keyword, F.lit("%20"), F.lit(" ")),
-        "page": F.when(F.coalesce(start, F.lit(0)) == 0, F.lit(0)).otherwise(F.lit(1))})
-    return found.join(keywords, "keyword").select("keyword", "keyword_ord", "page", "html")
+        "_start": F.coalesce(start, F.lit(0))})
+    found = found.join(keywords, "keyword")
+    offsets = found.select("keyword_ord", "_start").distinct()
+    own = Window.partitionBy("keyword_ord")
+    pages_of = offsets.withColumn("page", F.row_number().over(own.orderBy("_start")) - F.when(
+        F.min("_start").over(own) == 0, 1).otherwise(0))
+    if n_keywords is not None and fits_broadcast(offsets, "keyword_ord"):
+        pages_of = F.broadcast(pages_of)
+    return found.join(pages_of, ["keyword_ord", "_start"]).select("keyword", "keyword_ord", "page", "html")
 
 
 def detail_pages(pages: DataFrame, base: str = K.DETAIL_BASE) -> DataFrame:

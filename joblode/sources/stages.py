@@ -25,6 +25,12 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def stage_done(spark: SparkSession, path: str) -> bool:
+    """Whether a stage's file was written to its end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_stage(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stage by its schema, so that no pass over the data infers one."""
     return spark.read.schema(schema).json(path)

@@ -23,8 +23,11 @@ from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
 from joblode.session import stage
 
 _JOBS_LAYOUT = T.StructType([*JOBS_SCHEMA.fields, T.StructField("scraped_on", T.DateType())])
-_VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+_VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("buckets", T.IntegerType()),
+                               T.StructField("bucket", T.IntegerType())])
 
+# Vectors of a new table's first load for each of its folders, and the least number of folders.
+BUCKET_VECTORS = 250_000
 VECTOR_BUCKETS = 64
 
 
@@ -37,6 +40,16 @@ def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
 
 # -- postings -----------------------------------------------------------------
 
+def insert_into_catalog(spark: SparkSession, name: str, incoming: DataFrame, *,
+                        as_of: datetime | str | Column, arrival: Sequence[str] = ()) -> LoadCounts:
+    """:func:`insert_jobs` into a table of :func:`create_jobs_table`; new days become visible to it."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").collect()
+    counts = insert_jobs(spark, rows[0]["data_type"], incoming, as_of=as_of, arrival=arrival)
+    spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return counts
+
+
 def create_jobs_table(spark: SparkSession, name: str, path: str | None = None) -> None:
     """A catalog table for postings, if it does not exist."""
     place = f" LOCATION '{path}'" if path else ""
@@ -101,10 +114,11 @@ def new_jobs(incoming: DataFrame, jobs: DataFrame, arrival: Sequence[str] = (),
              small_batch: bool = False) -> DataFrame:
     """Incoming rows to insert: the first of each id by ``arrival``, unless the id is stored.
 
-    Rows without an id are not kept.
+    Rows without an id are not kept. Rows that arrived together are told apart by all their columns,
+    so that a repeat keeps the same one.
     """
     keyed = incoming.filter(F.col("id").isNotNull())
-    first = first_by(keyed, ["id"], list(arrival) or ["id"])
+    first = first_by(keyed, ["id"], [*arrival, *[c for c in keyed.columns if c not in ("id", *arrival)]])
     return unknown_rows(first, jobs, small_batch=small_batch)
 
 
@@ -120,8 +134,8 @@ def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
                          small_batch=fits_broadcast(batch))
         seen = Observation()
         rows = fresh.select(*JOBS_SCHEMA.names,
-                            F.to_date("scraped_at").alias("scraped_on")).observe(
-            seen, F.count(F.lit(1)).alias("n"))
+                            F.to_date("scraped_at").alias("scraped_on")).hint(
+            "rebalance", "scraped_on").observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("append").partitionBy("scraped_on").parquet(path)
         return LoadCounts(sent=batch.count(), inserted=seen.get["n"])
 
@@ -142,22 +156,37 @@ def job_ids(jobs: DataFrame) -> DataFrame:
     return jobs.select("id")
 
 
-def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *,
-                   buckets: int = VECTOR_BUCKETS, unique: bool = False) -> LoadCounts:
+def _folders(stored: DataFrame, asked: int | None, rows: int) -> int:
+    """The table's own number of folders, or one for a table that begins with ``rows`` vectors."""
+    known = stored.select("buckets").limit(1).first()
+    if known is None:
+        return asked or max(VECTOR_BUCKETS, -(-rows // BUCKET_VECTORS))
+    if asked not in (None, known["buckets"]):
+        raise ValueError(f"the table has {known['buckets']} folders, not {asked}")
+    return known["buckets"]
+
+
+def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets: int | None = None,
+                   unique: bool = False, arrival: Sequence[str] = ()) -> LoadCounts:
     """Write vectors by id; a vector that is stored already is replaced.
 
     Pass ``unique`` if ``rows`` holds each vector id once, as the vectors of
-    distinct postings do; otherwise one row per id is kept. A table keeps the
-    number of ``buckets`` it was first written with. Folders in which nothing is replaced only
-    get appended to. The others are merged into a staged table first and then
-    overwritten folder by folder, so nothing is read from a place being written.
+    distinct postings do; otherwise the last row of each id by ``arrival`` is
+    kept, and of rows that arrived together the first by document and embedding.
+    The number of folders is chosen at the first load, by its size unless
+    ``buckets`` names it, and kept in the table's layout; another number later is
+    an error. Folders in which nothing is replaced only get appended to. The
+    others are merged into a staged table first and then overwritten folder by
+    folder, so nothing is read from a place being written.
     """
     if not unique:
-        rows = first_by(rows, ["vector_id"], ["document"])
-    keyed = rows.select(*VECTOR_SCHEMA.names).withColumn(
-        "bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-    with stage(keyed, "vectors") as batch:
-        stored = read_vectors(spark, path)
+        rows = first_by(rows, ["vector_id"], [*[F.desc_nulls_last(a) for a in arrival], "document", "embedding"])
+    with stage(rows.select(*VECTOR_SCHEMA.names), "vectors") as staged_rows:
+        stored, sent = read_vectors(spark, path), staged_rows.count()
+        folders = _folders(stored, buckets, sent)
+        place = ["buckets", "bucket"]
+        batch = staged_rows.withColumns({
+            "buckets": F.lit(folders), "bucket": F.pmod(F.xxhash64("job_id"), F.lit(folders)).cast("int")})
         ids = batch.select("vector_id")
         if fits_broadcast(ids, "vector_id"):
             ids = F.broadcast(ids)
@@ -171,7 +200,6 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *,
             fresh = batch.filter(~hit)
             with stage(replaced(stored.filter(hit), batch.filter(hit)), "merged") as merged:
                 (merged.hint("rebalance", "bucket").write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-        fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
-        sent = batch.count()
+                 .option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path))
+        fresh.hint("rebalance", "bucket").write.mode("append").partitionBy(*place).parquet(path)
     return LoadCounts(sent=sent, inserted=sent - sum(touched.values()))

@@ -127,7 +127,7 @@ def test_rules(spark):
                                    ("Dev", None)], "title string, raw_description string")
     one, two, three = E.extract(stubs).collect()
     assert (one["role"], one["seniority"], one["yearsexperience"]) == ("Data Engineer", "Mid", 5)
-    assert set(one["skills_must"]) == {"python", "sql", "react native", "react", "go", "embedded"}
+    assert set(one["skills_must"]) == {"python", "sql", "react native", "react"}
     assert one["skills_nice"] == ["kafka"]
     assert one["past_experience"] == ["FinTech", "embedded systems"]
     assert (two["role"], two["seniority"], two["yearsexperience"]) == (
@@ -135,6 +135,41 @@ def test_rules(spark):
     assert tuple(three[c] for c in COLUMNS) == EMPTY
 
 
+def test_own_vocabulary(spark):
+    stubs = spark.createDataFrame([("Dev", "We use Foo.Bar and go.")], "title string, raw_description string")
+    assert E.extract(stubs, skills=("foo.bar", "go", "zap")).first()["skills_must"] == ["foo.bar", "go"]
+    assert E.extract(stubs, skills=()).first()["skills_must"] == []
+
+
+def test_second_try(spark, tmp_path):
+    """A model that first answers badly is asked again; one that never answers well is counted."""
+    def load():
+        seen = {}
+
+        def model(title, description):
+            seen[title] = seen.get(title, 0) + 1
+            if title == "never" or seen[title] < 3:
+                return "not json"
+            return json.dumps({"role": "BI"})
+        return model
+
+    stubs = spark.createDataFrame([("1", "late", "text"), ("2", "never", "text"), ("3", "x", None)],
+                                  "id string, title string, raw_description string")
+    asked = E.model_replies(stubs, load=load)
+    rows = {r["id"]: r for r in asked.withColumn("bad", E.unanswered(asked)).collect()}
+    assert [rows[i]["bad"] for i in "123"] == [False, True, False] and rows["2"]["raw"] == "not json"
+    assert {r["id"]: r["role"] for r in E.extract(stubs, load=load).collect()} == {"1": "BI", "2": "Other", "3": "Other"}
+
+
+def test_batches(spark):
+    stubs = spark.createDataFrame([(str(i), f"t{i}", "text") for i in range(5)], "id string, title string, raw_description string")
+    model = lambda titles, texts: [json.dumps({"description": f"{t} of {len(titles) > 0}"}) for t in titles]
+    rows = E.extract(stubs, model, batched=True).collect()
+    assert {r["description"] for r in rows} == {f"t{i} of True" for i in range(5)}
+    with pytest.raises(ValueError):
+        E.model_replies(stubs)
+
+
 def test_only_texts_go_to_python(spark, plan):
     stubs = spark.createDataFrame([("1", "t", "d")], "id string, title string, raw_description string")
     text = plan(E.model_replies(stubs, lambda t, d: "{}"))

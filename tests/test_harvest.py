@@ -1,8 +1,12 @@
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from joblode import constants as K
+from joblode.functions.html import attribute, visible_text
 from joblode.operators import harvest as H
 from joblode.plans import ingest as P
+from joblode.session import shared_dir
 from joblode.sources import frontier as R
 from joblode.sources import tables as B
 
@@ -90,6 +94,39 @@ def test_stats(spark):
     assert rows == {"a": (2, 1, 2, 2.0), "b": (1, 0, 0, 0.0)}
 
 
+def test_page_numbers(spark):
+    """Pages are numbered by offset, and the third is closed."""
+    seeds = spark.createDataFrame([(0, "ai"), (1, "go")], "keyword_ord int, keyword string")
+    five = [card(1000000 + 10 * n) for n in range(5)]
+    stored = [("ai", o, page(*[c.replace("10000", f"1{o:02d}00") for c in five])) for o in (0, 25, 50, 75)] + [("go", 25, page(*five))]
+    found = R.result_pages(spark.createDataFrame([(f"{K.SEARCH_BASE}?keywords={k}&start={o}", h) for k, o, h in stored],
+                                                 "url string, html string"), seeds)
+    assert {(r["keyword"], r["page"]) for r in found.collect()} == {("ai", 0), ("ai", 1), ("ai", 2), ("ai", 3), ("go", 1)}
+    opened = H.page_rule(H.read_cards(found)).select("keyword", "page").distinct().collect()
+    assert {tuple(r) for r in opened} == {("ai", 0), ("ai", 1)}
+
+
+def test_references_and_attributes(spark):
+    texts = [("We&#8217;re &#x27;in&#x27; &ndash; caf&eacute; &amp;amp; &bogus; &#xD800; a&b&#160;x",
+              "We\u2019re 'in' \u2013 caf\u00e9 &amp; &bogus; \ufffd a&b x"), ("plain", "plain"), ("&lt;p&gt;", "<p>")]
+    rows = spark.createDataFrame(texts, "t string, want string")
+    assert all(r[0] == r[1] for r in rows.select(visible_text(F.col("t")), "want").collect())
+    tag = spark.createDataFrame([('<a data-href="/x" href="/y">',)], "t string")
+    assert tag.select(attribute(F.col("t"), "href")).first()[0] == "/y"
+
+
+def test_scratch_is_left_empty(spark, tmp_path):
+    """A run leaves no copies behind."""
+    import os
+
+    root = shared_dir(spark) + "/joblode"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    found = pages(spark, [("go", 1, 0, page(card(1000001)))])
+    details = spark.createDataFrame([], "id string, html string")
+    P.run_all(spark, found, details, str(tmp_path / "j"), str(tmp_path / "v"), as_of=NOW)
+    assert set(os.listdir(root)) <= before
+
+
 def test_whole_run(spark, tmp_path):
     jobs_path, vectors_path = str(tmp_path / "jobs"), str(tmp_path / "vectors")
     found = pages(spark, [

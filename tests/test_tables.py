@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from joblode.operators.aggregates import count_jobs_on
@@ -96,6 +97,40 @@ def test_upsert_and_backfill(spark, tmp_path):
     assert missing_vectors(jobs, B.read_vectors(spark, path)).count() == 0
 
 
+def test_folders_are_kept(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = build_vectors(full_job(spark, ["a", "b"]))
+    B.upsert_vectors(spark, path, rows)
+    with pytest.raises(ValueError):
+        B.upsert_vectors(spark, path, rows, buckets=8)
+    assert B.upsert_vectors(spark, path, rows).inserted == 0
+    assert B.read_vectors(spark, path).count() == 16
+
+
+def test_last_vector_wins(spark, tmp_path):
+    path = str(tmp_path / "v")
+    row = build_vectors(full_job(spark, ["a"])).filter("type = 'full'")
+    said = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t"))
+                               for n, t in enumerate(("zeta first", "alpha", "middle last"))]))
+    rows = row.withColumn("s", said).withColumns({"document": F.col("s.t"), "seen": F.col("s.n")})
+    B.upsert_vectors(spark, path, rows, arrival=("seen",))
+    assert [r["document"] for r in B.read_vectors(spark, path).collect()] == ["middle last"]
+
+
+def test_only_ids_are_compared(spark, plan):
+    """Descriptions take no part in finding the postings without a vector."""
+    jobs = full_job(spark, ["a", "b"])
+    text = plan(missing_vectors(jobs, build_vectors(jobs.filter("id = 'a'"))))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_catalog_table_shows_loads(spark, tmp_path):
+    B.create_jobs_table(spark, "shown_jobs", str(tmp_path / "t"))
+    B.insert_into_catalog(spark, "shown_jobs", full_job(spark, ["a", "b"]), as_of=NOW)
+    assert {r["id"] for r in spark.table("shown_jobs").collect()} == {"a", "b"}
+    spark.sql("DROP TABLE shown_jobs")
+
+
 def test_stage(spark, tmp_path):
     path = G.stage_path(str(tmp_path), "manual__2024-03-10T02:00:00+00:00", "stubs")
     assert path.endswith("manual__2024-03-10T02_00_00_00_00_stubs")

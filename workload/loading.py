@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -218,3 +219,25 @@ def _(spark, sf):
     _, vectors_path, _ = _run(spark, sf)
     return B.read_vectors(spark, vectors_path).select(
         F.coalesce("field", "type").alias("part"), "vector_id")
+
+
+@case("catalog_table", f"""WITH {JOBS}, {_INCOMING} SELECT id, title, coalesce(CAST(scraped_at AS DATE),
+    DATE '2024-03-10') AS day FROM incoming""")
+def _(spark, sf):
+    """Two loads of the same postings by the table's name, read by its name."""
+    name = f"jobs_{uuid.uuid4().hex}"
+    B.create_jobs_table(spark, name, scratch(spark, "catalog"))
+    for _ in range(2):
+        B.insert_into_catalog(spark, name, _incoming(spark, sf), as_of=NOW, arrival=("keyword", "seen"))
+    return spark.table(name).select("id", "title", F.col("scraped_on").alias("day"))
+
+
+@case("ingest_run_stages", f"""WITH {_RUN} SELECT id, title, keyword, CASE WHEN number % 17 <> 0 THEN 4 END
+    AS yearsexperience FROM kept""")
+def _(spark, sf):
+    """A run that hands over stage files; a second one starts from them and loads nothing new."""
+    jobs_path, vectors_path, stages = (scratch(spark, n) for n in ("run-jobs", "run-vectors", "stages"))
+    for _ in range(2):
+        P.run_all(spark, result_pages(spark, sf), posting_pages(spark, sf), jobs_path, vectors_path, as_of=NOW,
+                  target=300, n_keywords=N_KEYWORDS, stages=stages, run_id="2024-03-10T02:00:00+00:00")
+    return B.read_jobs(spark, jobs_path).select("id", "title", "keyword", "yearsexperience")

@@ -8,6 +8,7 @@ from joblode.operators import ann, knn
 from joblode.operators import vectors as V
 from joblode.operators.aggregates import count_rows
 from joblode.operators.embed import embedding_width, hashing_embedder
+from joblode.plans.ingest import load_vectors
 from joblode.session import scratch
 from joblode.sources import tables as B
 from workload.registry import case
@@ -212,15 +213,26 @@ def _(spark, sf):
   FROM vector_texts""")
 def _(spark, sf):
     """A table that holds the vectors of some postings, brought up to date."""
-    path = scratch(spark, "vectors-table")
-    all_jobs = jobs(spark, sf, heavy=True)
-    some = all_jobs.join(_marked(spark, sf).select(F.col("job_id").alias("id")), "id", "left_semi")
-    B.upsert_vectors(spark, path, V.build_vectors(some))
-    B.upsert_vectors(spark, path, V.build_vectors(
-        V.missing_vectors(all_jobs, B.read_vectors(spark, path))))
+    path, jobs_path = scratch(spark, "vectors-table"), scratch(spark, "jobs-table")
+    B.insert_jobs(spark, jobs_path, jobs(spark, sf, heavy=True), as_of="2024-03-10 02:00:00")
+    some = _marked(spark, sf).select(F.col("job_id").alias("id"))
+    load_vectors(spark, jobs_path, path, ids=some)
+    load_vectors(spark, jobs_path, path)
     return B.read_vectors(spark, path).select("vector_id", "job_id", "type", "field", "document")
 
 
+@case("upsert_last_wins", f"""WITH {VECTORS} SELECT vector_id, document || ' 2' AS document FROM vectors""")
+def _(spark, sf):
+    """Three rows of each id in one load over a stored one: the last to arrive stays."""
+    path = scratch(spark, "vectors-table")
+    rows = vectors(spark, sf)
+    B.upsert_vectors(spark, path, rows, unique=True)
+    thrice = rows.withColumn("seen", F.explode(F.array(F.lit(1), F.lit(2), F.lit(0)))).withColumn(
+        "document", F.concat_ws(" ", "document", F.col("seen").cast("string")))
+    B.upsert_vectors(spark, path, thrice, arrival=("seen",))
+    return B.read_vectors(spark, path).select("vector_id", "document")
+
+
 @case("upsert_vectors", f"""WITH {VECTORS}, new AS (SELECT vector_id, job_id, 'new ' || document AS document,
     embedding FROM vectors WHERE CAST(label AS INTEGER) >= 5), old AS (SELECT vector_id, job_id, document, embedding
     FROM vectors WHERE CAST(label AS INTEGER) < 8)

@@ -204,51 +204,38 @@ def _(spark, sf):
                        *joined(*LISTS), "source")
 
 
-def _sql_words(text: str) -> str:
-    return rf"(' ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}+#&]+', ' ', 'g') || ' ')"
-
-
-def _sql_named(text: str) -> str:
-    return f"list_filter({sql_list(E.SKILLS)}, lambda s: contains({text}, ' ' || s || ' '))"
-
-
-_LEVEL = " ".join(f"WHEN contains({_sql_words('title')}, ' {n.lower()} ') THEN {q(n)}"
-                  for n in E._TITLE_LEVELS)
-_MARKED = "regexp_matches(lower(s), '" + "|".join(K.OPTIONAL_MARKS) + "')"
+# Skills named in the postings of the rule queries, spelled as postings spell them and as the rules list them.
+NAMED = (("Python", "python"), ("C++", "c++"), ("C#", "c#"), ("Node.js", "node.js"), ("terraform", "terraform"),
+         ("Django", "django"), ("Kubernetes", "kubernetes"), ("machine learning", "machine learning"),
+         ("React Native", "react|react native"), ("CI/CD", "ci/cd"), ("PostgreSQL", "postgresql"))
+FIELDS = ("FinTech", "Mobile", "large scale distributed systems and payments")
+# Levels that the titles of the rule queries name; the others name none.
+_LEVEL = ("CASE WHEN title LIKE 'Senior %' THEN 'Senior' WHEN title LIKE '%Lead%' THEN 'Lead' "
+          "WHEN title LIKE '%Manager%' THEN 'Manager' ELSE 'Not specified' END")
 
 
 def _stated(spark, sf):
     """Documents with a sentence of requirements before and one of options after the text."""
     i = F.col("doc_id")
+    names = [n for n, _ in NAMED]
     said = F.concat(F.lit("We ask for "), (i % 9).cast("string"),
                     F.when(i % 2 == 0, F.lit("+ years of experience in ")).otherwise(
                         F.lit("-12 years. Background in ")),
-                    pick(("FinTech", "Mobile", "web security"), i % 3), F.lit(", with "),
-                    pick(E.SKILLS, i % len(E.SKILLS)), F.lit(". "), "text", F.lit("\n"),
-                    pick(E.SKILLS, (i + 5) % len(E.SKILLS)), F.lit(" is an Advantage; 2 years too"))
+                    pick(FIELDS, i % 3), F.lit(", with "), pick(names, i % 11), F.lit(". "), "text", F.lit("\n"),
+                    pick(names, (i + 5) % 11), F.lit(" is an Advantage. Founded 25 years ago"))
     return table(spark, sf, "documents", heavy=True).select("doc_id", pick(TITLES, i % 20).alias("title"),
-                                                said.alias("raw_description"))
+                                                            said.alias("raw_description"))
 
 
 @case("rule_extract", f"""WITH stated AS (SELECT doc_id, {sql_pick(TITLES, 'doc_id % 20')} AS title,
-    'We ask for ' || (doc_id % 9) || CASE WHEN doc_id % 2 = 0 THEN '+ years of experience in '
-      ELSE '-12 years. Background in ' END || {sql_pick(("FinTech", "Mobile", "web security"), 'doc_id % 3')}
-      || ', with ' || {sql_pick(E.SKILLS, f'doc_id % {len(E.SKILLS)}')} || '. ' || text || chr(10)
-      || {sql_pick(E.SKILLS, f'(doc_id + 5) % {len(E.SKILLS)}')} || ' is an Advantage; 2 years too' AS d
-    FROM documents),
-  cut AS (SELECT *, list_filter(regexp_split_to_array(d, '[.;\n]+'), lambda s: {sql_strip('s')} <> '') AS ss
-    FROM stated),
-  sides AS (SELECT *, array_to_string(list_filter(ss, lambda s: NOT {_MARKED}), ' . ') AS must_text,
-    array_to_string(list_filter(ss, lambda s: {_MARKED}), ' . ') AS nice_text FROM cut),
-  found AS (SELECT *, {_sql_named(_sql_words('must_text'))} AS must,
-    {_sql_named(_sql_words('nice_text'))} AS nice,
-    list_max(list_transform(regexp_extract_all(lower(d), '{E._YEARS}', 1), lambda n: CAST(n AS INTEGER))) AS y,
-    regexp_extract_all(d, '(?i){E._PAST}', 1) AS past,
-    CASE {_LEVEL} ELSE 'Not specified' END AS level FROM sides)
+    CAST(doc_id % 9 AS INTEGER) AS y, {sql_pick(FIELDS, 'doc_id % 3')} AS field,
+    {sql_pick([n for n, _ in NAMED], 'doc_id % 11')} AS first, {sql_pick([n for n, _ in NAMED], '(doc_id + 5) % 11')} AS last,
+    {sql_pick([n for _, n in NAMED], 'doc_id % 11')} AS must, {sql_pick([n for _, n in NAMED], '(doc_id + 5) % 11')} AS nice,
+    text FROM documents),
+  levels AS (SELECT *, {_LEVEL} AS level FROM stated)
   SELECT doc_id, {sql_role('title')} AS role, {sql_seniority('level', 'y')} AS seniority,
-    {sql_strip('d')} AS description, y AS yearsexperience, array_to_string(must, '|') AS skills_must,
-    array_to_string(list_filter(nice, lambda s: NOT list_contains(must, s)), '|') AS skills_nice,
-    array_to_string(list_sort(list_distinct(past)), '|') AS past_experience FROM found""")
+    {sql_strip("'We ask for ' || y || CASE WHEN doc_id % 2 = 0 THEN '+ years of experience in ' ELSE '-12 years. Background in ' END || field || ', with ' || first || '. ' || text || chr(10) || last || ' is an Advantage. Founded 25 years ago'")} AS description,
+    y AS yearsexperience, must AS skills_must, nice AS skills_nice, field AS past_experience FROM levels""")
 def _(spark, sf):
     rows = E.extract(_stated(spark, sf)).withColumn("past_experience",
                                                     F.array_sort("past_experience"))
@@ -256,6 +243,35 @@ def _(spark, sf):
                        *joined(*LISTS))
 
 
+# Phrases of postings and, by hand, what they say: years, level, required, optional, past experience.
+PHRASES = (
+    ("3\u20135 years of experience in SaaS", 3, "Junior", "", "", "SaaS"),
+    ("3 to 5 years of experience with Python", 3, "Junior", "python", "", "Python"),
+    ("Founded 25 years ago. 2 years of experience", 2, "Junior", "", "", ""),
+    ("at least 3 yrs", 3, "Junior", "", "", ""),
+    ("Must know sql\nNice to have:\n- Kafka\n- docker\n\nApply now", None, "Not specified", "sql", "kafka|docker", ""),
+    ("We go above. Our network and platform grow", None, "Not specified", "", "", ""),
+    ("120 years of experience", None, "Not specified", "", "", ""),
+    ("background in large scale distributed systems and payments", None, "Not specified", "", "",
+     "large scale distributed systems and payments"),
+    ("4+ years of Backend development, C++ and .NET", 4, "Mid", "c++|.net", "", "Backend development"),
+    ("worked as a Fullstack Developer (node.js)", None, "Not specified", "node.js", "", "Fullstack Developer"),
+    ("8-10 years experience with C#; Azure preferred", 8, "Senior", "c#", "azure", "C#"),
+    ("Experience as an SRE. Terraform a bonus", None, "Not specified", "", "terraform", "SRE"))
+
+
+@case("rule_extract_phrases", f"""SELECT doc_id, p[2] AS seniority, TRY_CAST(p[1] AS INTEGER) AS yearsexperience,
+    p[3] AS skills_must, p[4] AS skills_nice, p[5] AS past_experience FROM (SELECT doc_id,
+    [{', '.join(sql_list(['' if x is None else str(x) for x in p[1:]]) for p in PHRASES)}][CAST(doc_id % 12 AS INTEGER) + 1]
+    AS p FROM documents)""")
+def _(spark, sf):
+    """A phrase that postings use before each document's text, by rules."""
+    phrase = F.get(F.array(*[F.lit(p[0]) for p in PHRASES]), (F.col("doc_id") % 12).cast("int"))
+    stubs = table(spark, sf, "documents", heavy=True).select(
+        "doc_id", F.lit("Clerk").alias("title"), F.concat(phrase, F.lit(".\n\n"), "text").alias("raw_description"))
+    return E.extract(stubs).select("doc_id", "seniority", "yearsexperience", *joined(*LISTS))
+
+
 # -- vector texts --------------------------------------------------------------
 
 def sql_listed(name: str) -> str:
