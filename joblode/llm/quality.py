@@ -31,7 +31,7 @@ from joblode.llm.registry import case, documents
 from joblode.session import staged
 
 TRAIN_ROWS = 20_000
-TREES, DEPTH, LASSO, SEED = 20, 3, 0.001, 7
+TREES, DEPTH, LASSO, STEPS, SEED = 12, 3, 0.001, 30, 7
 FOLDS, HELD_OUT = 5, 0
 ACCEPT = 0.3
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     total = sum(counts.values())
     if len(counts) < 2:
         return Model(0.0, constant=counts.get(1.0, 0) / total if total else 0.5)
-    sample = sample.coalesce(4)
+    sample = sample.coalesce(2)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
         featureSubsetStrategy="0.6", minInstancesPerNode=max(1, min(20, total // 100)), cacheNodeIds=False).fit(
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         return Model(0.0, constant=counts.get(1.0, 0) / total)
     truth = F.array(*[holds(r).cast("double") for r in found])
     lasso = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=1.0, regParam=LASSO,
-                               standardization=False, maxIter=200).fit(
+                               standardization=False, maxIter=STEPS, tol=1e-4).fit(
         sample.select("label", array_to_vector(truth).alias("features")))
     weights = lasso.coefficients.toArray().tolist()
     return Model(float(lasso.intercept), {r: w for r, w in zip(found, weights) if w})
