@@ -1,71 +1,80 @@
 """Approximate cosine search by partition pruning.
 
-Vectors are laid out by cell, the signs of a few random projections that MLlib
-draws from a seed. A search reads only the cells near the query's: the scan is
-pruned to those folders, and the scores inside are exact.
+Vectors are laid out by cell: on which side of a few hyperplanes they lie. The
+hyperplanes are drawn from a seed and are a parameter. A search reads only the
+cells near the query's, so the scan is pruned to those folders, and the scores
+inside are exact. More hyperplanes suit larger tables.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from joblode.operators.knn import query_vector, search
+from joblode.operators.knn import query_vector, ranked_score, search
 
-# Wider than any unit vector's projection, so that a bucket is a sign.
-_HALF_LINE = 2.0
+Planes = Sequence[Sequence[float]]
 
 
-def hash_model(vectors: DataFrame, bits: int = 6, seed: int = 7) -> BucketedRandomProjectionLSHModel:
-    """Random projections for vectors of this width; reads a single row."""
-    sample = vectors.select(_unit().alias("_unit")).limit(1)
-    return BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_signs", numHashTables=bits,
-                                       bucketLength=_HALF_LINE, seed=seed).fit(sample)
+def hyperplanes(width: int, bits: int = 6, seed: int = 7) -> list[list[float]]:
+    """``bits`` random directions for vectors of this width."""
+    draw = random.Random(seed)
+    return [[draw.gauss(0, 1) for _ in range(width)] for _ in range(bits)]
 
 
-def _unit() -> Column:
-    wide = F.transform("embedding", lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return array_to_vector(F.transform(
-        wide, lambda x: F.when(length > 0, x / length).otherwise(x)))
+def dot(a: Column | str, b: Column | str) -> Column:
+    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def with_cell(vectors: DataFrame, model: BucketedRandomProjectionLSHModel) -> DataFrame:
-    """Adds ``cell``, the projections' signs as the bits of a number."""
-    signed = model.transform(vectors.withColumn("_unit", _unit()))
-    signs = F.transform("_signs", lambda v: F.get(vector_to_array(v), 0))
-    cell = F.aggregate(signs, F.lit(0), lambda acc, s: acc * 2 + F.when(s >= 0, F.lit(1))
-                       .otherwise(F.lit(0)))
-    return signed.withColumn("cell", cell).drop("_unit", "_signs")
+def cell_of(vector: Column | str, planes: Planes) -> Column:
+    """The cell of a vector: a bit for each hyperplane; NULL for NULL."""
+    sides = [F.when(dot(vector, F.lit(np.array(p, "float64"))) >= 0, 1 << n).otherwise(0) for n, p in enumerate(planes)]
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    return F.when(vector.isNotNull(), reduce(lambda a, b: a + b, sides)).cast("int")
 
 
-def write_cells(vectors: DataFrame, path: str, model: BucketedRandomProjectionLSHModel) -> None:
-    """Writes vectors by cell; a crowded cell is split over tasks and files by AQE."""
-    with_cell(vectors, model).hint("rebalance", "cell").write.mode("errorifexists").partitionBy(
-        "cell").parquet(path)
+def flip_masks(bits: int, flips: int) -> list[int]:
+    """Differences of the cells that are up to ``flips`` sides away."""
+    return [sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)]
 
 
-def read_cells(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("cell", T.IntegerType())])
-                             ).parquet(path)
+def near_cells(vectors: DataFrame, planes: Planes, query: Sequence[float], flips: int = 2,
+               cell: str = "bucket") -> DataFrame:
+    """The vectors in the query's cell and those up to ``flips`` sides away."""
+    home = sum(1 << n for n, p in enumerate(planes) if sum(x * y for x, y in zip(p, query)) >= 0)
+    return vectors.filter(F.col(cell).isin([home ^ m for m in flip_masks(len(planes), flips)]))
 
 
-def search_cells(cells: DataFrame, model: BucketedRandomProjectionLSHModel,
-                 query: Sequence[float] | DataFrame, n_results: int = 10,
-                 where: Column | Mapping[str, str] | None = None, flips: int = 2) -> DataFrame:
-    """Nearest vectors within the query's cell and those up to ``flips`` signs away."""
+def search_cells(vectors: DataFrame, planes: Planes, query: Sequence[float] | DataFrame, n_results: int = 10,
+                 where: Column | Mapping[str, str] | None = None, flips: int = 2, cell: str = "bucket") -> DataFrame:
+    """Nearest vectors within the near cells."""
     if isinstance(query, DataFrame):
         query = query_vector(query)
-    spark = cells.sparkSession
-    one = spark.createDataFrame([(list(map(float, query)),)], "embedding array<float>")
-    home = with_cell(one, model).first()["cell"]
-    bits = model.getNumHashTables()
-    near = [home ^ sum(1 << b for b in chosen) for n in range(flips + 1)
-            for chosen in combinations(range(bits), n)]
-    return search(cells.filter(F.col("cell").isin(near)), query, n_results, where)
+    return search(near_cells(vectors, planes, query, flips, cell), query, n_results, where)
+
+
+def search_cells_batch(vectors: DataFrame, planes: Planes, queries: DataFrame, n_results: int = 10,
+                       flips: int = 2, cell: str = "bucket") -> DataFrame:
+    """``query_id, vector_id, score, rank``: the nearest vectors of every query within its near cells.
+
+    Queries meet the vectors of their cells in a join; each task passes on the best of each query only.
+    """
+    masks = F.array(*map(F.lit, flip_masks(len(planes), flips)))
+    asked = queries.filter(F.col("embedding").isNotNull()).select(
+        "query_id", F.col("embedding").alias("_query"), F.sqrt(dot("embedding", "embedding")).alias("_q"),
+        cell_of("embedding", planes).alias("_home"))
+    asked = asked.withColumn("_cell", F.explode(F.transform(masks, lambda m: F.col("_home").bitwiseXOR(m))))
+    stored = vectors.filter(F.col("embedding").isNotNull()).select(
+        "vector_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("_v"), F.col(cell).alias("_cell"))
+    length = F.col("_q") * F.col("_v")
+    scored = asked.join(stored, "_cell").select("query_id", "vector_id", ranked_score(
+        F.when(length > 0, dot("_query", "embedding") / length).otherwise(0.0)).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vector_id"))
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n_results)

@@ -44,7 +44,12 @@ def scored(vectors: DataFrame, query: Sequence[float],
     here would be pushed down and score every row twice.
     """
     return searched(vectors, where).withColumn(
-        "score", F.round(cosine("embedding", query), DIGITS))
+        "score", ranked_score(cosine("embedding", query)))
+
+
+def ranked_score(score: Column) -> Column:
+    """A score as results are ordered by it."""
+    return F.round(score, DIGITS)
 
 
 def cosine(column: str, query: Sequence[float]) -> Column:

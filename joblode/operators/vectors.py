@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joblode import constants as K
 from joblode.functions.jobtext import field_text, full_text, metadata, vector_id
+from joblode.operators.ann import Planes, near_cells
 from joblode.operators.embed import DEFAULT_WIDTH, Embedder, hashing_embedder
 from joblode.operators.keys import fits_broadcast, rows_with_ids, unknown_rows
 from joblode.operators.knn import query_vector, scored, search
@@ -56,11 +57,6 @@ def missing_vectors(jobs: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
 
 
-def replaced(old: DataFrame, new: DataFrame, key: str = "vector_id") -> DataFrame:
-    """Rows of ``new`` and those of ``old`` that ``new`` does not replace."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
-
-
 def hits_to_jobs(hits: DataFrame, jobs: DataFrame, columns: tuple[str, ...],
                  n_hits: int | None = None) -> DataFrame:
     """Postings of ranked hits, in rank order; hits without a posting are dropped."""
@@ -73,17 +69,23 @@ def hits_to_jobs(hits: DataFrame, jobs: DataFrame, columns: tuple[str, ...],
 
 def semantic_search_jobs(jobs: DataFrame, vectors: DataFrame, query: str, n_results: int = 5,
                          embedder: Embedder | None = None, where=None,
-                         distinct_jobs: bool = False) -> DataFrame:
+                         distinct_jobs: bool = False, planes: Planes | None = None,
+                         flips: int = 2) -> DataFrame:
     """Postings nearest to a text.
 
+    With ``planes``, those of the vector table, only cells near the text's are read.
+
     A posting with several near vectors is listed once for each of them, unless
     ``distinct_jobs`` keeps the best vector of every posting only.
     """
     embed = embedder or hashing_embedder(_width(vectors))
     asked = embed(vectors.sparkSession.createDataFrame([(query.strip() or " ",)],
                                                        "document string"))
+    asked = query_vector(asked)
+    if planes is not None:
+        vectors = near_cells(vectors, planes, asked, flips)
     if distinct_jobs:
-        best = (scored(vectors, query_vector(asked), where).groupBy("job_id")
+        best = (scored(vectors, asked, where).groupBy("job_id")
                 .agg(F.max("score").alias("score"))
                 .orderBy(F.desc("score"), "job_id").limit(n_results)
                 .filter(F.col("score").isNotNull()))

@@ -17,18 +17,20 @@ from pyspark.sql import types as T
 
 from joblode import constants as K
 from joblode.functions.dates import moment
+from joblode.operators.ann import Planes, cell_of
 from joblode.operators.keys import first_by, fits_broadcast, unknown_rows
-from joblode.operators.vectors import replaced
 from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
 from joblode.session import stage
 
 _JOBS_LAYOUT = T.StructType([*JOBS_SCHEMA.fields, T.StructField("scraped_on", T.DateType())])
-_VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("buckets", T.IntegerType()),
+_VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("layout", T.StringType()),
                                T.StructField("bucket", T.IntegerType())])
 
 # Vectors of a new table's first load for each of its folders, and the least number of folders.
 BUCKET_VECTORS = 250_000
 VECTOR_BUCKETS = 64
+# Stands for the folder of vectors that have no cell.
+NO_CELL = -1
 
 
 def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
@@ -156,25 +158,27 @@ def job_ids(jobs: DataFrame) -> DataFrame:
     return jobs.select("id")
 
 
-def _folders(stored: DataFrame, asked: int | None, rows: int) -> int:
-    """The table's own number of folders, or one for a table that begins with ``rows`` vectors."""
-    known = stored.select("buckets").limit(1).first()
+def _layout(stored: DataFrame, kind: str, asked: int | None, rows: int) -> str:
+    """The table's own layout, or one for a table that begins with ``rows`` vectors."""
+    known = stored.select("layout").limit(1).first()
     if known is None:
-        return asked or max(VECTOR_BUCKETS, -(-rows // BUCKET_VECTORS))
-    if asked not in (None, known["buckets"]):
-        raise ValueError(f"the table has {known['buckets']} folders, not {asked}")
-    return known["buckets"]
+        return f"{kind}-{asked or max(VECTOR_BUCKETS, -(-rows // BUCKET_VECTORS))}"
+    own_kind, number = known["layout"].split("-")
+    if own_kind != kind or asked not in (None, int(number)):
+        raise ValueError(f"the table is laid out by {known['layout']}")
+    return known["layout"]
 
 
 def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets: int | None = None,
-                   unique: bool = False, arrival: Sequence[str] = ()) -> LoadCounts:
+                   unique: bool = False, arrival: Sequence[str] = (), planes: Planes | None = None) -> LoadCounts:
     """Write vectors by id; a vector that is stored already is replaced.
 
     Pass ``unique`` if ``rows`` holds each vector id once, as the vectors of
     distinct postings do; otherwise the last row of each id by ``arrival`` is
     kept, and of rows that arrived together the first by document and embedding.
-    The number of folders is chosen at the first load, by its size unless
-    ``buckets`` names it, and kept in the table's layout; another number later is
+    Folders are hashes of the job id or, with ``planes``, cells that a search can
+    be pruned to. Their number is chosen at the first load, by its size unless
+    ``buckets`` names it, and kept in the table's layout; another layout later is
     an error. Folders in which nothing is replaced only get appended to. The
     others are merged into a staged table first and then overwritten folder by
     folder, so nothing is read from a place being written.
@@ -183,22 +187,26 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
         rows = first_by(rows, ["vector_id"], [*[F.desc_nulls_last(a) for a in arrival], "document", "embedding"])
     with stage(rows.select(*VECTOR_SCHEMA.names), "vectors") as staged_rows:
         stored, sent = read_vectors(spark, path), staged_rows.count()
-        folders = _folders(stored, buckets, sent)
-        place = ["buckets", "bucket"]
+        layout = (_layout(stored, "hash", buckets, sent) if planes is None else
+                  _layout(stored, "cell", 1 << len(planes), sent))
+        hashed = F.pmod(F.xxhash64("job_id"), F.lit(int(layout.split("-")[1]))).cast("int")
+        place = ["layout", "bucket"]
         batch = staged_rows.withColumns({
-            "buckets": F.lit(folders), "bucket": F.pmod(F.xxhash64("job_id"), F.lit(folders)).cast("int")})
+            "layout": F.lit(layout), "bucket": hashed if planes is None else cell_of("embedding", planes)})
         ids = batch.select("vector_id")
         if fits_broadcast(ids, "vector_id"):
             ids = F.broadcast(ids)
         clash = stored.select("vector_id", "bucket").join(ids, "vector_id", "left_semi")
         # One row per folder at most.
-        touched = {r["bucket"]: r["n"] for r in
+        touched = {NO_CELL if r["bucket"] is None else r["bucket"]: r["n"] for r in
                    clash.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
         fresh = batch
         if touched:
-            hit = F.col("bucket").isin(list(touched))
+            # A replaced vector may have moved to another cell; one without an embedding has none.
+            hit = F.array_contains(F.array(*map(F.lit, touched)), F.coalesce("bucket", F.lit(NO_CELL)))
             fresh = batch.filter(~hit)
-            with stage(replaced(stored.filter(hit), batch.filter(hit)), "merged") as merged:
+            kept = stored.filter(hit).join(ids, "vector_id", "left_anti")
+            with stage(batch.filter(hit).unionByName(kept), "merged") as merged:
                 (merged.hint("rebalance", "bucket").write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path))
         fresh.hint("rebalance", "bucket").write.mode("append").partitionBy(*place).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from joblode.operators import ann, knn
 from joblode.operators.embed import embedding_width, hashing_embedder, model_embedder
 from joblode.operators.vectors import build_vectors, hits_to_jobs, semantic_search_jobs
+from joblode.sources.tables import read_vectors, upsert_vectors
 from tests.test_tables import full_job
 
 VECTORS = "vector_id string, job_id string, type string, embedding array<float>, metadata map<string,string>"
@@ -80,19 +81,30 @@ def test_wrong_width(vectors):
 
 
 def test_pruned_search(spark, vectors, data, tmp_path, plan):
-    usable = vectors.filter("embedding is not null")
-    model = ann.hash_model(usable, bits=4)
-    ann.write_cells(usable, str(tmp_path / "c"), model)
-    cells = ann.read_cells(spark, str(tmp_path / "c"), usable.schema)
+    planes = ann.hyperplanes(12, bits=4)
+    path = str(tmp_path / "c")
+    rows = vectors.withColumns({"field": F.lit(None).cast("string"), "document": F.lit("d")})
+    upsert_vectors(spark, path, rows, planes=planes)
+    # Loaded again with other vectors: each moves to its new cell and leaves the old one.
+    upsert_vectors(spark, path, rows.withColumn("embedding", F.transform("embedding", lambda x: -x)), planes=planes)
+    upsert_vectors(spark, path, rows, planes=planes)
+    cells = read_vectors(spark, path)
+    assert cells.count() == cells.select("vector_id").distinct().count() == 401
     hits = 0
     for i in range(250, 270):
         exact = {v for v, _ in brute(data, data[i], 5)}
-        hits += len(exact & {v for v, _ in pairs(ann.search_cells(cells, model, list(data[i]), 5))})
+        hits += len(exact & {v for v, _ in pairs(ann.search_cells(cells, planes, list(data[i]), 5))})
     assert hits >= 80  # of 100
-    everything = ann.search_cells(cells, model, list(data[3]), 9, flips=4)
+    everything = ann.search_cells(cells, planes, list(data[3]), 9, flips=4)
     assert pairs(everything) == brute(data, data[3], 9)
-    text = plan(ann.search_cells(cells, model, list(data[3]), 9, flips=0))
-    assert re.search(r"PartitionFilters: \[[^\]]*cell", text)
+    text = plan(ann.search_cells(cells, planes, list(data[3]), 9, flips=0))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", text)
+    asked = spark.createDataFrame([(i, list(map(float, data[i]))) for i in (3, 7, 300)], "query_id long, embedding array<float>")
+    found = ann.search_cells_batch(cells, planes, asked, 6, flips=4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vector_id"]) for r in found] == [
+        (i, v) for i in (3, 7, 300) for v, _ in brute(data, data[i], 6)]
+    with pytest.raises(ValueError):
+        upsert_vectors(spark, path, rows)
 
 
 def test_hashing_embedder(spark):

@@ -139,30 +139,46 @@ def _(spark, sf):
                             block_vectors=1 << 11)
 
 
-@case("ann_recall")
-def _(spark, sf):
-    """Share of the exact ten nearest that the pruned search finds, and of rows it reads."""
-    all_vectors = vectors(spark, sf)
-    path = scratch(spark, "cells")
-    model = ann.hash_model(all_vectors)
-    ann.write_cells(all_vectors, path, model)
-    cells = ann.read_cells(spark, path, all_vectors.schema)
-    asked = _asked(spark, sf)
-    exact = knn.search(all_vectors, asked, 10).select("vector_id")
-    near = ann.search_cells(cells, model, asked, 10).select("vector_id", F.lit(1).alias("hit"))
-    return exact.join(F.broadcast(near), "vector_id", "left").agg(
+# Hyperplanes of the given vectors, which are 64 wide.
+PLANES = ann.hyperplanes(64)
+
+
+def _cells(spark, sf):
+    """The vectors laid out by cell, written in two loads."""
+    path, rows = scratch(spark, "cells"), vectors(spark, sf)
+    B.upsert_vectors(spark, path, rows, unique=True, planes=PLANES)
+    B.upsert_vectors(spark, path, rows.filter("type = 'full'"), unique=True, planes=PLANES)
+    return B.read_vectors(spark, path)
+
+
+def _sql_cell(vector: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN list_dot_product({vector}, {list(p)}::DOUBLE[]) >= 0 THEN {1 << n} ELSE 0 END"
+                            for n, p in enumerate(PLANES)) + ")"
+
+
+@case("ann_recall", f"""WITH {VECTORS}, v AS (SELECT vector_id, wide, {_sql_cell('wide')} AS cell FROM vectors),
+  asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings WHERE vec_id % 50 = 0),
+  a AS (SELECT *, {_sql_cell('query')} AS home FROM asked),
+  pairs AS (SELECT query_id, vector_id, round(list_cosine_similarity(wide, query), 6) AS score,
+    bit_count(xor(cell, home)) <= 4 AS near FROM a, v),
+  exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pairs),
+  approx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank
+    FROM pairs WHERE near)
+  SELECT e.query_id, count(*) AS exact, count(x.vector_id) AS found FROM exact e LEFT JOIN approx x
+    ON x.query_id = e.query_id AND x.vector_id = e.vector_id AND x.rank <= 10 WHERE e.rank <= 10 GROUP BY e.query_id""")
+def _(spark, sf):
+    """How many of the exact ten nearest the pruned search finds, for every fiftieth vector."""
+    cells, asked = _cells(spark, sf), _queries(spark, sf).filter("query_id % 50 = 0")
+    exact = knn.search_batch(cells, asked, 10).select("query_id", "vector_id")
+    near = ann.search_cells_batch(cells, PLANES, asked, 10, flips=4).select("query_id", "vector_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "vector_id"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
 
 
 @case("ann_all_cells", _one("", 10))
 def _(spark, sf):
     """With every cell in reach the pruned search is exact."""
-    all_vectors = vectors(spark, sf)
-    path = scratch(spark, "cells")
-    model = ann.hash_model(all_vectors, bits=4)
-    ann.write_cells(all_vectors, path, model)
-    cells = ann.read_cells(spark, path, all_vectors.schema)
-    return ann.search_cells(cells, model, _asked(spark, sf), 10, flips=4).select(
+    return ann.search_cells(_cells(spark, sf), PLANES, _asked(spark, sf), 10, flips=6).select(
         "vector_id", "job_id", "document", "score", "rank")
 
 
@@ -187,6 +203,18 @@ def _(spark, sf):
                                   hashing_embedder(WIDTH))
 
 
+@case("semantic_search_cells", f"""{_SEMANTIC}, hits AS (SELECT job_id, score,
+    {_RANK} FROM scored ORDER BY score DESC, vector_id LIMIT 12)
+  SELECT {_FOUND} FROM hits h JOIN jobs j ON j.id = h.job_id""")
+def _(spark, sf):
+    """Over a table laid out by cell, with all cells in reach."""
+    path, all_jobs = scratch(spark, "vectors-table"), jobs(spark, sf, heavy=True)
+    planes = ann.hyperplanes(WIDTH, bits=3)
+    B.upsert_vectors(spark, path, V.build_vectors(all_jobs), unique=True, planes=planes)
+    return V.semantic_search_jobs(all_jobs, B.read_vectors(spark, path), _QUERY, 12, hashing_embedder(WIDTH),
+                                  planes=planes, flips=3)
+
+
 @case("semantic_search_distinct", f"""{_SEMANTIC}, best AS (SELECT job_id, max(score) AS score
     FROM scored GROUP BY job_id), hits AS (SELECT *, CAST(row_number() OVER (
     ORDER BY score DESC, job_id) AS INTEGER) AS rank FROM best ORDER BY score DESC, job_id LIMIT 12)
