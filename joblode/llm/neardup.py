@@ -13,7 +13,9 @@ document of each class, the one with the least id, is kept.
 4. Rest: buckets that still hold nodes of different components are finished
    exactly. Shingles are ordered by how many of these nodes hold them, rare ones
    first; a linked pair must share one of the rarest n - need + 1 shingles of
-   both (prefix filter), and lengths and positions must allow the overlap.
+   both (prefix filter), and lengths, positions and parity marks must allow the
+   overlap: two multisets differ in at least as many elements as in marks.
+   Stars over the elements join most of them first.
    Only nodes of different components are paired, over shingles that different
    components hold: neither all pairs of a group nor a cap on any.
 
@@ -28,6 +30,7 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,10 @@ CACHE, STEP = 500_000, 200_000
 BROADCAST_IDS = 2_000_000
 # Counters of the shingle frequencies by which the prefix filter orders.
 COUNTERS = 1 << 20
+# Parity bits of a multiset, in 64-bit numbers.
+MARKS = 8
+# Rounds of stars over prefix elements before the rest is paired.
+STARS = 2
 
 
 def text_key(text: str) -> Column:
@@ -93,6 +100,12 @@ def elements(text: str | None) -> np.ndarray:
     return np.sort(np.where(copy == 0, out, mix(out ^ mix(copy.astype("uint64")))).astype("int64"))
 
 
+def marks(own: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements that fall on each of 64 * ``MARKS`` places."""
+    odd = np.bincount((own % (64 * MARKS)), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype("uint8"), bitorder="little").view("int64")
+
+
 def _signed(texts: list[str | None], n_bands: int, rows: int) -> tuple[list[int], list[np.ndarray]]:
     """(multiset sizes, band hashes) of texts; a text without words has no bands."""
     sizes, out = [], [np.empty(0, "int64")] * len(texts)
@@ -166,25 +179,26 @@ def with_component(nodes: DataFrame, least: DataFrame, node: str = "node") -> Da
 
 
 def element_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, elements), one or more equal rows per node. ``rows``: node, node_key and one of the node's ids."""
+    """(node, elements, marks), one or more equal rows per node. ``rows``: node, node_key and one of the node's ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [elements(t) for t in batch.column("text").to_pylist()]
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]), pa.int32()),
                 pa.array(np.concatenate(found) if found else np.empty(0, "int64")))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "elements"])
+            parity = pa.array([marks(f).tolist() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, parity], names=["node", "elements", "marks"])
     few = rows.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", text_key("text").alias("key"), "text")
     found = texts.join(F.broadcast(rows) if few else rows,
                        texts["doc_id"].eqNullSafe(rows["doc"]) & (texts["key"] == rows["node_key"]))
-    return found.select("node", "text").mapInArrow(run, "node long, elements array<long>")
+    return found.select("node", "text").mapInArrow(run, "node long, elements array<long>, marks array<long>")
 
 
 def rare_first(mixed: DataFrame, least: float) -> DataFrame:
     """(node, comp, n, at, element): the elements of each node's prefix in global order, from 0.
 
-    ``mixed``: node, comp, elements. The order is by a table of ``COUNTERS`` counters that all
+    ``mixed``: node, comp, elements, marks. The order is by a table of ``COUNTERS`` counters that all
     elements are counted in: a fixed size, and any counts give the same links.
     """
     spark = mixed.sparkSession
@@ -216,20 +230,45 @@ def rare_first(mixed: DataFrame, least: float) -> DataFrame:
         run, "node long, comp long, n long, at long, element long")
 
 
-def rest_pairs(mixed: DataFrame, least: float) -> DataFrame:
-    """(u, v): all pairs of nodes of different components that the prefix, length and position filters let through."""
-    tokens = staged(rare_first(mixed, least), "prefixes")
+def between_components(tokens: DataFrame) -> DataFrame:
+    """The rows whose element nodes of different components hold."""
     shared = tokens.groupBy("element").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-    tokens = staged(tokens.join(shared.select("element"), "element", "left_semi"), "shared-prefixes")
+    return tokens.join(shared.select("element"), "element", "left_semi")
+
+
+def rest_links(mixed: DataFrame, sets: DataFrame, known: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, components so far) that finish the open buckets. ``known``: (node, least) of the first stars.
+
+    ``STARS`` rounds link each node to the least node of each of its prefix elements, one pair per row;
+    what they leave in different components is paired by :func:`rest_pairs`.
+    """
+    tokens = staged(between_components(staged(rare_first(mixed, least), "prefixes")), "shared-prefixes")
+    for _ in range(STARS):
+        centers = tokens.groupBy("element").agg(F.min(F.struct("node", "comp", "n")).alias("c"))
+        pairs = tokens.join(centers, "element").filter((F.col("comp") != F.col("c.comp")) & sizes_allow("n", "c.n", least))
+        links = verified(pairs.select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct(), sets, least)
+        before = known.select(F.col("node").alias("u"), F.col("least").alias("v"))
+        known = components(links.unionByName(before))
+        tokens = staged(between_components(with_component(tokens.drop("comp"), known)), "shared-prefixes")
+    return verified(rest_pairs(tokens, mixed, least), sets, least), known
+
+
+def rest_pairs(tokens: DataFrame, mixed: DataFrame, least: float) -> DataFrame:
+    """(u, v): all pairs of nodes of different components that the prefix, length and position filters let through."""
+    tokens = staged(tokens.join(mixed.select("node", *[F.get("marks", k).alias(f"m{k}") for k in range(MARKS)]), "node"),
+                    "marked-prefixes")
     a = tokens.select("element", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"),
-                      F.col("at").alias("pu"))
+                      F.col("at").alias("pu"), *[F.col(f"m{k}").alias(f"a{k}") for k in range(MARKS)])
     b = tokens.select(F.col("element").alias("_e"), F.col("node").alias("v"), F.col("comp").alias("cv"),
-                      F.col("n").alias("nv"), F.col("at").alias("pv"))
+                      F.col("n").alias("nv"), F.col("at").alias("pv"),
+                      *[F.col(f"m{k}").alias(f"b{k}") for k in range(MARKS)])
     # The first shared element allows at most what is left of both behind it.
     most = 1 + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1)
     need = F.lit(least) / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-9
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(MARKS)])
     joined = a.join(b, (F.col("element") == F.col("_e")) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))
-                    & sizes_allow("nu", "nv", least) & (most >= need))
+                    & sizes_allow("nu", "nv", least) & (most >= need)
+                    & (F.col("nu") + F.col("nv") - unlike >= 2 * need))
     return joined.select("u", "v").distinct()
 
 
@@ -268,7 +307,8 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, n_bands: int = BANDS
     open_nodes = staged(placed.join(open_buckets.select("bucket"), "bucket", "left_semi")
                         .select("node", "comp").distinct(), "open-nodes")
     mixed = staged(sets.join(open_nodes, "node"), "mixed")
-    more = staged(verified(rest_pairs(mixed, least), sets, least), "rest-links")
+    more, least_of = rest_links(mixed, sets, least_of, least)
+    more = staged(more, "rest-links")
     if not more.isEmpty():
         least_of = components(more.unionByName(least_of.select(F.col("node").alias("u"), F.col("least").alias("v"))))
 
