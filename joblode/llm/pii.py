@@ -18,8 +18,8 @@ combinations: the driver holds a table whose size the number of labelers and
 shapes bounds, whatever the corpus holds.
 
 Only proposals leave the scan, never texts. Defined results: a null text counts
-as empty and has no spans; a proposal that overlaps a base span or an earlier
-accepted proposal is dropped; a kind without proposals adds none; repeated rows
+as empty and has no spans; a proposal that overlaps a base span (unless that is
+only a part of a secret's value) or an earlier accepted proposal is dropped; a kind without proposals adds none; repeated rows
 are scanned one by one; an empty table gives no rows.
 """
 
@@ -102,11 +102,14 @@ _PROPOSALS = {
                   r"(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}){1,4}"),
     2: re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{4}){2}[ ./-]?[0-9]{3,4}(?![0-9])"),
     3: re.compile(r"(?<![0-9+.])(?:00 ?[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9.])"),
-    4: re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}(?: ?[=:] ?)[A-Za-z0-9+/_.-]{8,128}(?![A-Za-z0-9])"),
+    # Name and value may stand in quotes, also escaped ones; runs are unbounded and never give letters back.
+    4: re.compile(r"""(?:(["'])[A-Za-z_]{2,}+\1|(?<![A-Za-z0-9_])[A-Za-z_]{2,}+(?:\\?["'])?)[ \t]*+[=:][ \t]*+"""
+                  r"""(?P<value>"(?:[^\s"\\]|\\\S){8,}+"|'(?:[^\s'\\]|\\\S){8,}+'|"""
+                  r"""(?P<open>\\?["'])?[A-Za-z0-9+/_.-]{8,}+=*+(?(open)(?:\\?["'])?))"""),
 }
 # What a text must hold to have a proposal of the kind at all.
 _HINTS = {0: re.compile(r"[\[({ ]at[\])} ]"), 2: re.compile(r"[0-9]{4}"), 3: re.compile(r"[0-9]{2}"),
-          4: re.compile(r"[=:] ?[A-Za-z0-9+/_.-]{8}")}
+          4: re.compile(r"[=:][ \t]*+\S{8}")}
 
 # Gazetteers and words of context.
 ENDINGS = frozenset("com org net edu gov io de fr es uk eu info example".split())
@@ -135,7 +138,7 @@ def votes(kind: int, span: str, before: str) -> tuple[int, ...]:
         strict = 2 if 9 <= len(digits) <= 15 and re.search(r"[()]|[0-9]-[0-9]", span) else 1 if len(digits) < 9 else 0
         known = 2 if digits.startswith("00") or digits.startswith("0") else 0
     else:
-        name, _, value = re.split(r" ?([=:]) ?", span, maxsplit=1)
+        name, value = (part.strip("\"'\\ \t") for part in re.split("[=:]", span, maxsplit=1))
         mixed = bool(re.search("[0-9]", value)) and bool(re.search("[A-Za-z]", value))
         strict = 2 if mixed and len(value) >= 12 else 1 if not mixed else 0
         known = 2 if name.lower() in SECRET_NAMES else 1
@@ -148,15 +151,22 @@ def shape(span: str) -> int:
     return 4 * min(3, len(span) // 12) + min(3, int(4 * share))
 
 
+def _alone(before: str, after: str) -> bool:
+    """Whether nothing but quotes and blanks stands around."""
+    return not (before + after).strip("\"'\\ .")
+
+
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern) of proposals clear of base spans; pattern: votes and shape in one number."""
     found = []
-    taken = [(s, e) for s, _, e in base]
     for kind, pattern in _PROPOSALS.items():
         if not _HINTS[kind].search(text):
             continue
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            # Digits inside a longer secret may look like a card or a host; they are a part of it.
+            low, high = m.span("value") if kind == 4 else (m.end(), m.end())
+            if any(s < m.end() and m.start() < e and not (low <= s and e <= high and not _alone(text[low:s], text[e:high]))
+                   for s, _, e in base):
                 continue
             code = 0
             for v in votes(kind, m[0], text[max(0, m.start() - 40):m.start()]):

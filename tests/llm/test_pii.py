@@ -92,3 +92,42 @@ def test_python_and_column_paths_agree(small):
     texts = {r.doc_id: r.text for r in small.select("doc_id", "text").collect()}
     for r in pii.find_personal_data(small).collect():
         assert [(s.start, s.kind, s.end) for s in r.spans] == pii.all_spans(texts[r.doc_id], taken)
+
+
+KEY = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+JWT = ".".join("eyJ" + "aB3_-x9Z" * n for n in (5, 60, 9))
+SECRETS = [f'token = "{KEY}"', f"token='{KEY}'", f'"token": "{KEY}"', f"'api_key' : '{KEY}'", f"token={KEY}", f"secret: {JWT}",
+           f'"auth":"{JWT}"', f'password = "{KEY[:12]}!$%&"', f'\\"token\\": \\"{KEY}\\"', f'token = "{"f0" * 4000}"',
+           f'token = "a{"4111111111111111"}b{KEY}"', f"token =\t{KEY}=="]
+
+
+def test_quoted_and_long_secrets(spark):
+    import corpus_pipeline
+
+    rows = [(n, f"word {s} next") for n, s in enumerate(SECRETS)]
+    for r in pii.find_personal_data(frame(spark, rows)).collect():
+        text, secrets = rows[r.doc_id][1], [s for s in r.spans if s.kind == 4]
+        assert [text[s.start:s.end].strip("\\\"'") for s in secrets] == [SECRETS[r.doc_id].strip("\\\"'")], text
+    for r in corpus_pipeline.mask_personal_data(spark, frame(spark, rows), "").collect():
+        assert r.text.replace("\\", "").replace('"', "") == "word <SECRET> next"
+        assert r.n_chars == len(r.text)
+
+
+def test_secrets_of_the_samples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect() if r.text]
+    planted = [(t, m.span()) for t in texts for m in re.finditer(r'(?i)token = "[0-9a-f]{40}"', t)]
+    assert planted
+    taken = {k: set(p) for k, p in pii.accepted(pii.scan(docs)).items()}
+    for text, (start, end) in planted:
+        assert (start, 4, end) in pii.all_spans(text, taken)
+        assert text[start:end] not in pii.redacted(text, taken)
+
+
+def test_secret_pattern_is_linear():
+    import time
+
+    for part in ('aa="', "aa=", "aa='\"", 'aa="\\', "a", "aa ", 'aa="b', "'aa'", "aa=\\'"):
+        started = time.perf_counter()
+        pii.proposals(part * 100_000, [])
+        assert time.perf_counter() - started < 5, part
