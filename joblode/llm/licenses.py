@@ -11,7 +11,9 @@ A block is a line. A template is found in a block if the block holds at least
 * at the first shared word, what is left of both must still reach ``need``
   (positional filter).
 
-What passes is counted word by word. Templates are a short list given by the
+What passes is counted word by word. Short templates differ in a word or two, so
+``find_licenses`` asks besides for the words that tell a template apart from its
+neighbours (``TELLING``). Templates are a short list given by the
 caller, so their words and prefixes go to every task as constants.
 
 The base scan finds fixed phrases anywhere in a text, over line ends too.
@@ -58,6 +60,24 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 
+# What the words of a block, joined by blanks, must hold to be the template at this place of ``TEMPLATES``.
+TELLING = (
+    r" apache ",
+    r" except in compliance ",
+    r" mit ",
+    r" associated documentation ",
+    r" gnu general public ",
+    r" gnu general public ",
+    r" lesser general public ",
+    r" affero general public ",
+    r" source and binary ",
+    r" mozilla public ",
+    r" by nc (?!(sa|nd) )",
+    r" by sa ",
+    r" attribution (?!(noncommercial|non|sharealike|share|noderivatives|noderivs|no) )",
+    r" waived all copyright ",
+)
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -122,13 +142,30 @@ def _starts(phrase: str) -> Column:
     return F.when(F.size("_words") >= len(parts), F.filter(at, lambda i: stands(i))).otherwise(F.array().cast("array<int>"))
 
 
+def told(block_words: Column, telling) -> Column:
+    """Places of the patterns in ``telling`` that the block's words satisfy."""
+    text = F.concat(F.lit(" "), F.array_join(block_words, " "), F.lit(" "))
+    return F.array_compact(F.array(*[F.when(text.rlike(t), n) for n, t in enumerate(telling)]))
+
+
+def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan`` for the public licenses, where a match also holds the words that tell its template apart."""
+    return scan(docs, id_col=id_col, text_col=text_col, telling=TELLING)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", telling=None) -> DataFrame:
     """(doc_id, n_words, places, base_labels, matches): one row per row of ``docs``.
 
     ``places``: (label, start) of every base phrase. ``matches``: (label, block, template, containment)
-    of every block and template that reach the threshold; blocks are numbered from 0.
+    of every block and template that reach the threshold; blocks are numbered from 0. ``telling``: a
+    pattern for each template, which the words of a block must satisfy too.
     """
+    if telling is not None and len(telling) != len(templates):
+        raise ValueError("a pattern for each template")
+    if telling is not None:
+        # Templates without words have no number.
+        telling = [p for p, (_, t) in zip(telling, templates) if re.findall(WORD, t.lower())]
     spark, docs = docs.sparkSession, narrow(docs, id_col, text_col)
     index = Index(templates, threshold, block_frequency(docs, templates))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -138,9 +175,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
         F.filter(lines, lambda b: F.arrays_overlap(b["words"], word_list(index.prefixes))),
         lambda b: F.struct(b["block"].alias("block"), F.array_sort(F.transform(
             F.array_intersect(b["words"], word_list(index.order)),
-            lambda w: F.array_position(word_list(index.order), w))).alias("ranks")))
+            lambda w: F.array_position(word_list(index.order), w))).alias("ranks"),
+            told(b["words"], telling or ()).cast("array<int>").alias("told")))
     if not index.rows:
-        candidates = F.lit(None).cast("array<struct<block:int,ranks:array<bigint>>>")
+        candidates = F.lit(None).cast("array<struct<block:int,ranks:array<bigint>,told:array<int>>>")
     places = F.concat(*[_places(phrase, label) for phrase, label in PHRASES.items()])
     none = F.array().cast("array<struct<label:string,start:bigint>>")
     read = (docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
@@ -151,9 +189,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     schema = ("rank long, template int, label string, at int, size int, need int, own array<long>")
     entries = F.broadcast(spark.createDataFrame(index.rows, schema))
     left = F.size("ranks") - F.col("pos") - 1
-    pairs = (read.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.ranks")
+    pairs = (read.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.ranks", "b.told")
              .select("*", F.posexplode("ranks").alias("pos", "rank")).join(entries, "rank")
              .filter(F.size("ranks") >= F.col("need"))
+             .filter(F.lit(True) if telling is None else F.array_contains("told", F.col("template")))
              .filter(1 + F.least(F.col("size") - F.col("at") - 1, left) >= F.col("need"))
              .withColumn("shared", F.size(F.array_intersect("ranks", "own"))).filter("shared >= need")
              .select("row", F.struct("label", "block", "template",
@@ -168,7 +207,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
 
 @case("op8_license_scan")
 def op8(spark, sf_dir):
-    found = scan(documents(spark, sf_dir))
+    found = find_licenses(documents(spark, sf_dir))
     labels = F.concat(F.col("places.label"), F.col("matches.label"))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),

@@ -56,3 +56,37 @@ def test_none(empty, odd):
     assert licenses.scan(empty).count() == 0
     assert all(not r.matches for r in licenses.scan(odd, templates=()).collect())
     assert len(TEXTS) == odd.count()
+
+
+# By hand: what each line is, apart from its base phrases.
+LINES = [
+    ("This work is licensed under the GNU General Public License, version 3.", {"gpl"}),
+    ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}), ("Released under the MIT License.", {"mit"}),
+    ("Licensed under the Apache License, Version 2.0.", {"apache"}), ("Licensed under CC BY-SA 4.0.", {"cc-by-sa"}),
+    ("Licensed under CC BY-NC-SA 4.0.", set()), ("Released under the GPL License", set()), ("Released under the BSD License", set()),
+    ("Licensed under the GNU Lesser General Public License", {"lgpl"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl"}),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", {"agpl"}),
+    ("This work is licensed under the GNU General Public License or the GNU Lesser General Public License, version 3", {"gpl", "lgpl"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", set()),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+     "files (the Software)", {"mit"}),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+     "documentation covered by this license", set()),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+     "conditions are met:", {"bsd"}),
+    ("To the extent possible under law, the author has waived all copyright and related rights", {"cc0"})]
+
+
+def test_labels_by_hand(spark):
+    got = licenses.find_licenses(frame(spark, [(n, t) for n, (t, _) in enumerate(LINES)])).collect()
+    assert {r.doc_id: {m.label for m in r.matches} for r in got} == {n: labels for n, (_, labels) in enumerate(LINES)}
+
+
+def test_each_template_is_told_apart(spark):
+    rows = [(n, text) for n, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = licenses.find_licenses(frame(spark, rows)).collect()
+    assert all(n in {m.template for m in r.matches} for r in got for n in [r.doc_id])
+    assert {r.doc_id: {m.label for m in r.matches} for r in got} == {n: {label} for n, (label, _) in enumerate(licenses.TEMPLATES)}
