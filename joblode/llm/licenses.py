@@ -1,6 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block if the block holds at least
+A block is a line or, with ``runs``, also the place where a line meets the next
+ones of its paragraph: as many words before and after the line's end as the longest
+template may take, so that a notice wrapped at any column lies within a block. A
+run has the number of its first line. A template is found in a block if the block holds at least
 ``THRESHOLD`` of the template's distinct words (containment). The join is exact:
 
 * words are ordered by how many blocks of the corpus hold them, rare ones first;
@@ -25,6 +28,7 @@ are scanned one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -148,18 +152,29 @@ def told(block_words: Column, telling) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(t), n) for n, t in enumerate(telling)]))
 
 
+def run_words(at: Column, length: int) -> Column:
+    """Words of the run of line ``at``: ``length`` words before its end, and after it in its paragraph."""
+    own, later = F.get("_lines", at), F.slice("_lines", at + 2, length)
+    # A line without words ends the paragraph; every other one has a word, so ``length`` lines suffice.
+    end = F.array_position(F.transform(later, lambda w: F.size(w)), 0).cast("int")
+    later = F.slice(later, 1, F.when(end > 0, end - 1).otherwise(length))
+    return F.concat(F.slice(own, F.greatest(F.size(own) - length + 1, F.lit(1)), length),
+                    F.slice(F.flatten(later), 1, length))
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``scan`` for the public licenses, where a match also holds the words that tell its template apart."""
-    return scan(docs, id_col=id_col, text_col=text_col, telling=TELLING)
+    """``scan`` of lines and runs for the public licenses; a match also holds the words that tell its template apart."""
+    return scan(docs, id_col=id_col, text_col=text_col, telling=TELLING, runs=True)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
-         text_col: str = "text", telling=None) -> DataFrame:
+         text_col: str = "text", telling=None, runs: bool = False) -> DataFrame:
     """(doc_id, n_words, places, base_labels, matches): one row per row of ``docs``.
 
     ``places``: (label, start) of every base phrase. ``matches``: (label, block, template, containment)
     of every block and template that reach the threshold; blocks are numbered from 0. ``telling``: a
-    pattern for each template, which the words of a block must satisfy too.
+    pattern for each template, which the words of a block must satisfy too. ``runs``: wrapped templates
+    are found as well.
     """
     if telling is not None and len(telling) != len(templates):
         raise ValueError("a pattern for each template")
@@ -169,20 +184,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     spark, docs = docs.sparkSession, narrow(docs, id_col, text_col)
     index = Index(templates, threshold, block_frequency(docs, templates))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(F.split(text, "\n"), lambda line, n: F.struct(n.alias("block"), words(line).alias("words")))
     # Only blocks with a prefix word leave the scan, and of them only the template words.
-    candidates = F.transform(
-        F.filter(lines, lambda b: F.arrays_overlap(b["words"], word_list(index.prefixes))),
-        lambda b: F.struct(b["block"].alias("block"), F.array_sort(F.transform(
-            F.array_intersect(b["words"], word_list(index.order)),
-            lambda w: F.array_position(word_list(index.order), w))).alias("ranks"),
-            told(b["words"], telling or ()).cast("array<int>").alias("told")))
+    block = lambda n, held: F.struct(n.alias("block"), F.array_sort(F.transform(
+        F.array_intersect(held, word_list(index.order)),
+        lambda w: F.array_position(word_list(index.order), w))).alias("ranks"),
+        told(held, telling or ()).cast("array<int>").alias("told"))
+    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
+    candidates = F.transform(F.filter(numbers, lambda n: F.get("_hot", n)), lambda n: block(n, F.get("_lines", n)))
+    if runs and index.rows:
+        longest = max(len(re.findall(WORD, t.lower())) for _, t in templates)
+        # Words that come between, as marks of comments, take some room too.
+        length = math.ceil(longest / min(threshold, 1))
+        meets = lambda n: ((F.size(F.get("_lines", n)) > 0) & (F.size(F.get("_lines", n + 1)) > 0)
+                           & F.array_contains(F.slice("_hot", n + 1, length + 1), True))
+        wrapped = F.transform(F.filter(numbers, meets), lambda n: block(n, run_words(n, length)))
+        candidates = F.when(F.array_contains("_hot", True), F.concat(candidates, wrapped))
     if not index.rows:
         candidates = F.lit(None).cast("array<struct<block:int,ranks:array<bigint>,told:array<int>>>")
     places = F.concat(*[_places(phrase, label) for phrase, label in PHRASES.items()])
     none = F.array().cast("array<struct<label:string,start:bigint>>")
     read = (docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
             .withColumns(base_places(text))
+            .withColumn("_lines", F.transform(F.split(text, "\n"), words))
+            .withColumn("_hot", F.transform("_lines", lambda w: F.arrays_overlap(w, word_list(index.prefixes))))
             .select("doc_id", "row", "n_words", F.coalesce(F.when(F.col("_words").isNotNull(), places), none)
                     .alias("places"), candidates.alias("blocks")))
     read = staged(read, "license-scan")

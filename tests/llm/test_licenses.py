@@ -90,3 +90,30 @@ def test_each_template_is_told_apart(spark):
     got = licenses.find_licenses(frame(spark, rows)).collect()
     assert all(n in {m.template for m in r.matches} for r in got for n in [r.doc_id])
     assert {r.doc_id: {m.label for m in r.matches} for r in got} == {n: {label} for n, (label, _) in enumerate(licenses.TEMPLATES)}
+
+
+HEADERS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+           "files (the \"Software\"), to deal in the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+           "conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+           "as published by the Free Software Foundation",
+    "cc-by-nc": "Some words. Licensed under CC BY-NC 4.0. More words"}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_headers(spark, mark):
+    import textwrap
+
+    rows = [(n, name, "\n".join(mark + line for line in ["Title", "", *textwrap.wrap(text, width, break_long_words=False), "", "Other paragraph"]))
+            for n, (name, text, width) in enumerate((name, text, w) for name, text in HEADERS.items() for w in (12, 30, 72, 80))]
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.find_licenses(frame(spark, [(n, t) for n, _, t in rows])).collect()}
+    assert got == {n: {name} for n, name, _ in rows}
+
+
+def test_runs_stay_in_a_paragraph(spark):
+    rows = [(1, "Licensed under CC\n\nBY-NC 4.0"), (2, "Licensed under CC\nBY-NC 4.0"), (3, ""), (4, None), (5, "Licensed under CC BY-NC 4.0\n"),
+            (6, "word " * 500 + "Licensed under CC\nBY-NC 4.0 " + "word " * 500), (7, "Licensed under CC\n" + "word " * 60 + "\nBY-NC 4.0")]
+    got = {r.doc_id: sorted({m.label for m in r.matches}) for r in licenses.find_licenses(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: ["cc-by-nc"], 3: [], 4: [], 5: ["cc-by-nc"], 6: ["cc-by-nc"], 7: []}
