@@ -31,6 +31,13 @@ BUCKET_VECTORS = 250_000
 VECTOR_BUCKETS = 64
 # Stands for the folder of vectors that have no cell.
 NO_CELL = -1
+# Spark's name of the folder of a null.
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _delete_folder(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
@@ -209,5 +216,9 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
             with stage(batch.filter(hit).unionByName(kept), "merged") as merged:
                 (merged.hint("rebalance", "bucket").write.mode("overwrite")
                  .option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path))
+                # Folders that get no rows are not overwritten: their vectors have all moved away.
+                filled = {NO_CELL if r["bucket"] is None else r["bucket"] for r in merged.select("bucket").distinct().collect()}
+                for cell in touched.keys() - filled:
+                    _delete_folder(spark, f"{path}/layout={layout}/bucket={_NULL_FOLDER if cell == NO_CELL else cell}")
         fresh.hint("rebalance", "bucket").write.mode("append").partitionBy(*place).parquet(path)
     return LoadCounts(sent=sent, inserted=sent - sum(touched.values()))

@@ -147,3 +147,15 @@ def test_staged_cuts_lineage(spark, plan):
 def test_spread_leaves_many_partitions_alone(spark, plan):
     assert "RoundRobin" not in plan(spread(spark.range(0, 100, 1, 64)))
     assert "RoundRobin" in plan(spread(spark.range(0, 100, 1, 1)))
+
+
+def test_vectors_leave_a_cell_empty(spark, tmp_path):
+    """The only vector of a cell moves to another one; one without an embedding gets one."""
+    path, planes = str(tmp_path / "v"), [[1.0, 0.0], [0.0, 1.0]]
+    row = build_vectors(full_job(spark, ["a", "b"])).filter("type = 'full'").drop("embedding")
+    at = lambda a, b: row.withColumn("embedding", F.when(F.col("job_id") == "a", F.lit(a)).otherwise(F.lit(b)).cast("array<float>"))
+    for a, b in (([1.0, 1.0], None), ([-1.0, -1.0], [1.0, -1.0]), ([1.0, -1.0], [1.0, -1.0])):
+        B.upsert_vectors(spark, path, at(a, b), unique=True, planes=planes)
+        stored = {(r["vector_id"], tuple(r["embedding"] or ())) for r in B.read_vectors(spark, path).collect()}
+        assert B.read_vectors(spark, path).count() == 2
+        assert stored == {("a_full", tuple(a)), ("b_full", tuple(b or ()))}
