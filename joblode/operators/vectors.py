@@ -70,7 +70,7 @@ def hits_to_jobs(hits: DataFrame, jobs: DataFrame, columns: tuple[str, ...],
 def semantic_search_jobs(jobs: DataFrame, vectors: DataFrame, query: str, n_results: int = 5,
                          embedder: Embedder | None = None, where=None,
                          distinct_jobs: bool = False, planes: Planes | None = None,
-                         flips: int = 2) -> DataFrame:
+                         flips: int | None = None) -> DataFrame:
     """Postings nearest to a text.
 
     With ``planes``, those of the vector table, only cells near the text's are read.

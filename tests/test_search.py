@@ -153,3 +153,16 @@ def test_hits_keep_rank_and_repeats(spark):
                                  "job_id string, rank int, score double")
     jobs = spark.createDataFrame([("b",), ("a",)], "id string")
     assert [r["id"] for r in hits_to_jobs(hits, jobs, ("id",)).collect()] == ["a", "b", "a"]
+
+
+@pytest.mark.parametrize("bits", [3, 4, 5, 6, 7, 8])
+def test_default_flips_reach_nine_of_ten(bits):
+    """On the given vectors, every fiftieth asked for its ten nearest."""
+    import pyarrow.parquet as pq
+
+    rows = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist(), float)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    sides = unit @ np.array(ann.hyperplanes(rows.shape[1], bits)).T >= 0
+    near = (sides[::50, None, :] != sides[None]).sum(axis=2) <= ann.default_flips(bits)
+    nearest = np.argsort(-(unit[::50] @ unit.T), axis=1)[:, :10]
+    assert np.take_along_axis(near, nearest, axis=1).mean() >= 0.9
