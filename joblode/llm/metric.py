@@ -56,7 +56,7 @@ REACH = 1 - SIMILARITY
 LEVELS, DEPTH = 3, 2
 SLACK = 1e-9
 # Counters of shingles, by which prefixes are ordered; places of the filter on shingles of regions with members.
-COUNTERS, PLACES = 1 << 19, 1 << 22
+COUNTERS, PLACES = 1 << 18, 1 << 22
 # Parity bits of a set, in 64-bit numbers.
 MARKS = 8
 # Bytes of a text that are hashed at once, and of texts that are shingled at once.
@@ -335,19 +335,18 @@ def places_of(tokens: DataFrame) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def near_pivots(left: DataFrame, right: DataFrame) -> DataFrame:
+def near_pivots(tokens: DataFrame) -> DataFrame:
     """(u, v, ru, rv): pairs of different classes whose filters allow r(u) + e + r(v)."""
-    a = left.select("element", *[F.col(c).alias(f"{c}_u") for c in ("node", "comp", "n", "r", "at")])
-    b = right.select(F.col("element").alias("_e"), *[F.col(c).alias(f"{c}_v") for c in ("node", "comp", "n", "r", "at")])
+    a = tokens.select(F.col("element"), *[F.col(c).alias(f"{c}_u") for c in ("node", "comp", "n", "r", "at")])
+    b = tokens.select(F.col("element").alias("_e"), *[F.col(c).alias(f"{c}_v") for c in ("node", "comp", "n", "r", "at")])
     least = F.lit(SIMILARITY) - F.col("r_u") - F.col("r_v") - SLACK
     sizes = F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v") - SLACK
     within = (F.col("at_u") <= F.col("n_u") * (1 - least) + SLACK) & (F.col("at_v") <= F.col("n_v") * (1 - least) + SLACK)
     # The first shared element allows at most what is left of both behind it.
     most = 1 + F.least(F.col("n_u") - F.col("at_u") - 1, F.col("n_v") - F.col("at_v") - 1)
     enough = most >= least / (1 + least) * (F.col("n_u") + F.col("n_v")) - SLACK
-    # One order of each pair; a pivot with members and one without meet once too.
-    once = (F.col("node_u") > F.col("node_v")) | ((F.col("r_u") > 0) & (F.col("r_v") == 0))
-    joined = a.join(b, (F.col("element") == F.col("_e")) & (F.col("comp_u") != F.col("comp_v")) & once & sizes & within & enough)
+    joined = a.join(b, (F.col("element") == F.col("_e")) & (F.col("node_u") > F.col("node_v"))
+                    & (F.col("comp_u") != F.col("comp_v")) & sizes & within & enough)
     return joined.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("r_u").alias("ru"), F.col("r_v").alias("rv")).distinct()
 
 
@@ -396,18 +395,17 @@ def region_links(nodes: DataFrame, docs: DataFrame, sets: DataFrame | None, coun
     extra = not full.isEmpty()
     if extra:
         of_full = staged(tokens(full, True), "region-prefixes")
-        of_rest = staged(tokens(pivots.filter("r = 0"), True, places_of(of_full)), "prefixes")
-        pairs = near_pivots(of_full, of_full).unionByName(near_pivots(of_full, of_rest)).unionByName(
-            near_pivots(of_rest, of_rest))
+        own_tokens = of_full.unionByName(tokens(pivots.filter("r = 0"), True, places_of(of_full)))
     else:
-        of_rest = staged(tokens(pivots, False), "prefixes")
-        pairs = near_pivots(of_rest, of_rest)
+        own_tokens = tokens(pivots, False)
+    # Written as one table: one shuffle of it serves both sides of the join.
+    pairs = near_pivots(staged(own_tokens, "prefixes"))
     pairs = staged(pairs, "near-pivots")
     if sets is None:
         lacking = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         lacking = staged(nodes.join(lacking, "node", "left_semi").join(own.select("node"), "node", "left_anti").select(
             "node", "doc", "tag"), "lacking")
-        own = staged(own.unionByName(set_table(docs, lacking)), "all-sets")
+        own = own.unionByName(staged(set_table(docs, lacking), "more-sets"))
     near = staged(measured(pairs, own).filter(F.col("dist") <= REACH + F.col("ru") + F.col("rv") + SLACK), "near-measured")
     links = near.filter("linked").select("u", "v")
     if not links.isEmpty():
