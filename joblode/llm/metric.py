@@ -223,14 +223,33 @@ def set_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return texts_of(docs, rows).select("node", "text").mapInArrow(run, "node long, n long, elements array<long>, marks array<long>")
 
 
+def signs_of(sets: DataFrame, node: str, prefix: str) -> DataFrame:
+    """(node, size, parities) of sets, under names of their own."""
+    return sets.select(F.col("node").alias(node), F.col("n").cast("int").alias(f"{prefix}n"),
+                       *[F.get("marks", k).alias(f"{prefix}{k}") for k in range(MARKS)])
+
+
+def may_reach(a: str, b: str, least: Column) -> Column:
+    """Whether sizes and parities allow the similarity: sets differ in at least as many elements as in parities."""
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(MARKS)])
+    m, n = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.least(m, n) >= least * F.greatest(m, n) - SLACK) & (m + n - unlike >= least * (m + n + unlike) - SLACK)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
+    """The pairs (u, v) whose sizes and parities allow the similarity."""
+    both = pairs.join(signs_of(sets, "u", "a"), "u").join(signs_of(sets, "v", "b"), "v")
+    return both.filter(may_reach("a", "b", least)).select(*pairs.columns)
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds both and dist to the pairs (u, v): shared elements, and the distance."""
+    """Adds dist, the distance, and linked to the pairs (u, v)."""
     a = sets.select(F.col("node").alias("u"), F.col("elements").alias("_ea"))
     b = sets.select(F.col("node").alias("v"), F.col("elements").alias("_eb"))
-    out = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("_ea", "_eb")))
-    all_ = F.size("_ea") + F.size("_eb") - F.col("both")
-    return (out.withColumn("dist", 1 - F.col("both") / all_).withColumn("linked", 100 * F.col("both") >= round(100 * SIMILARITY) * all_)
-            .drop("_ea", "_eb"))
+    out = pairs.join(a, "u").join(b, "v").withColumn("_both", F.size(F.array_intersect("_ea", "_eb")))
+    all_ = F.size("_ea") + F.size("_eb") - F.col("_both")
+    return out.withColumns({"dist": 1 - F.col("_both") / all_, "linked": 100 * F.col("_both") >= round(100 * SIMILARITY) * all_}).drop(
+        "_ea", "_eb", "_both")
 
 
 def with_class(nodes: DataFrame, known: DataFrame | None, node: str = "node") -> DataFrame:
@@ -269,6 +288,7 @@ def regions(nodes: DataFrame, sets: DataFrame, depth: int) -> tuple[DataFrame, l
         sizes = F.least("n", "vn") >= SIMILARITY * F.greatest("n", "vn") - SLACK
         pairs = keyed.join(centers, "k").filter((F.col("node") != F.col("v")) & (F.col("pivot") != F.col("v")) & sizes)
         pairs = pairs.select(F.col("node").alias("u"), "v", "pivot", "members", F.col("dist").alias("old"))
+        pairs = possible(pairs, sets, F.lit(SIMILARITY - SLACK))
         near = staged(measured(pairs, sets).filter("linked"), "region-links")
         links.append(near.select("u", "v"))
         moves = near.filter("members = 0 AND (pivot = u OR dist < old)").select(
@@ -355,17 +375,12 @@ def boundary(near: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``near``: p, q, rp, rq, dist; ``state``: of :func:`regions`.
     """
-    signs = sets.select("node", F.col("n").cast("int").alias("n"), *[F.get("marks", k).alias(f"m{k}") for k in range(MARKS)])
-    asked = near.join(signs.select(F.col("node").alias("q"), F.col("n").alias("nq"), *[F.col(f"m{k}").alias(f"q{k}") for k in range(MARKS)]), "q")
-    members = state.filter("pivot <> node").select("node", F.col("pivot").alias("_p"), F.col("dist").alias("dx")).join(signs, "node")
-    least = F.lit(SIMILARITY) - F.col("rq") - SLACK
-    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(MARKS)])
-    total = F.col("n") + F.col("nq")
-    met = asked.join(members, (F.col("p") == F.col("_p")) & (F.col("dx") >= F.col("dist") - REACH - F.col("rq") - SLACK)
-                     & (F.least("n", "nq") >= least * F.greatest("n", "nq") - SLACK)
-                     # Sets differ in at least as many elements as in marks.
-                     & (total - unlike >= least * (total + unlike) - SLACK))
-    pairs = met.select(F.col("node").alias("u"), F.col("q").alias("v"), "rq").distinct()
+    asked = near.join(signs_of(sets, "q", "b"), "q")
+    members = state.filter("pivot <> node").select(F.col("node").alias("x"), F.col("pivot").alias("_p"), F.col("dist").alias("dx"))
+    met = asked.join(members.join(signs_of(sets, "x", "a"), "x"),
+                     (F.col("p") == F.col("_p")) & (F.col("dx") >= F.col("dist") - REACH - F.col("rq") - SLACK)
+                     & may_reach("a", "b", F.lit(SIMILARITY) - F.col("rq") - SLACK))
+    pairs = met.select(F.col("x").alias("u"), F.col("q").alias("v"), "rq").distinct()
     return measured(pairs, sets).filter(F.col("dist") <= REACH + F.col("rq") + SLACK)
 
 
@@ -406,13 +421,14 @@ def region_links(nodes: DataFrame, docs: DataFrame, sets: DataFrame | None, coun
         lacking = staged(nodes.join(lacking, "node", "left_semi").join(own.select("node"), "node", "left_anti").select(
             "node", "doc", "tag"), "lacking")
         own = own.unionByName(staged(set_table(docs, lacking), "more-sets"))
+    pairs = possible(pairs, own, F.lit(SIMILARITY) - F.col("ru") - F.col("rv") - SLACK)
     near = staged(measured(pairs, own).filter(F.col("dist") <= REACH + F.col("ru") + F.col("rv") + SLACK), "near-measured")
     links = near.filter("linked").select("u", "v")
     if not links.isEmpty():
         known = classes(links, known)
     if not extra:
         return known
-    open_ = near.filter("ru > 0 OR rv > 0").drop("linked", "both")
+    open_ = near.filter("ru > 0 OR rv > 0").drop("linked")
     open_ = with_class(with_class(open_, known, "u").withColumnRenamed("comp", "cu"), known, "v").filter("cu <> comp")
     turned = open_.select(F.col("u").alias("p"), F.col("v").alias("q"), F.col("ru").alias("rp"), F.col("rv").alias("rq"), "dist")
     other = open_.select(F.col("v").alias("p"), F.col("u").alias("q"), F.col("rv").alias("rp"), F.col("ru").alias("rq"), "dist")
