@@ -18,6 +18,7 @@ scored and never learned from; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,12 +27,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm.ratio import with_words
+from joblode.functions.text import let
+from joblode.llm.ratio import with_words, words_of
 from joblode.llm.registry import case, documents
 from joblode.session import staged
 
 TRAIN_ROWS = 20_000
-TREES, DEPTH, LASSO, STEPS, SEED = 12, 3, 0.001, 30, 7
+TREES, DEPTH, LASSO, STEPS, SEED = 20, 3, 0.001, 200, 7
 FOLDS, HELD_OUT = 5, 0
 ACCEPT = 0.3
 
@@ -44,35 +46,34 @@ class Model:
     rules: dict[tuple, float] = field(default_factory=dict)
     constant: float | None = None
 
-    def score(self) -> Column:
-        """The score, 0 to 1, of a row that has the statistics."""
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
+        """The score, 0 to 1, of a row whose statistics ``of`` gives by name."""
         if self.constant is not None:
             return F.lit(self.constant)
-        total = reduce(lambda a, b: a + b, [F.when(holds(r), F.lit(w)).otherwise(0.0) for r, w in self.rules.items()],
+        total = reduce(lambda a, b: a + b, [F.when(holds(r, of), F.lit(w)).otherwise(0.0) for r, w in self.rules.items()],
                        F.lit(self.intercept))
         return 1 / (1 + F.exp(-total))
 
 
-def holds(rule: tuple) -> Column:
-    tests = [F.col(s) <= F.lit(b) if most else F.col(s) > F.lit(b) for s, most, b in rule]
+def holds(rule: tuple, of: Callable[[str], Column] = F.col) -> Column:
+    tests = [of(s) <= F.lit(b) if most else of(s) > F.lit(b) for s, most, b in rule]
     return reduce(lambda a, b: a & b, tests)
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers of a row that has its text's words in ``_words``."""
-    chars, count = F.greatest(F.char_length(text), F.lit(1)), F.greatest(F.size("_words"), F.lit(1))
-    lines = F.split(text, "\n")
+def statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Numbers of a text with its words and lines."""
+    chars, count = F.greatest(F.char_length(text), F.lit(1)), F.greatest(F.size(words), F.lit(1))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / chars
     return {
-        "s_words": F.log1p(F.size("_words").cast("double")),
-        "s_word_chars": F.char_length(F.array_join("_words", "")) / count,
-        "s_distinct": F.size(F.array_distinct("_words")) / count,
+        "s_words": F.log1p(F.size(words).cast("double")),
+        "s_word_chars": F.char_length(F.array_join(words, "")) / count,
+        "s_distinct": F.size(F.array_distinct(words)) / count,
         "s_symbols": share(r"[#*$%&|<>]"),
         "s_upper": share("[A-ZÀ-Þ]"),
         "s_digits": share("[0-9]"),
         "s_marks": share("[!?]"),
         "s_stops": share("[.,;:]"),
-        "s_line_words": F.size("_words") / F.greatest(F.size(lines), F.lit(1)),
+        "s_line_words": F.size(words) / F.greatest(F.size(lines), F.lit(1)),
         "s_new_lines": F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
     }
 
@@ -84,7 +85,18 @@ STATISTICS = (
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return with_words(docs, text).withColumns(statistics(text)).drop("_words")
+    return with_words(docs, text).withColumns(statistics(text, F.col("_words"), F.split(text, "\n"))).drop("_words")
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text as one expression, in which words, lines and statistics are computed once.
+
+    A filter on it may move below any projection without repeating them.
+    """
+    def from_words(words: Column, lines: Column) -> Column:
+        numbers = F.struct(*[c.alias(n) for n, c in statistics(text, words, lines).items()])
+        return let(numbers, lambda known: model.score(lambda name: known[name]))
+    return let(words_of(text), lambda words: let(F.split(text, "\n"), lambda lines: from_words(words, lines)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -135,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         return Model(0.0, constant=counts.get(1.0, 0) / total)
     truth = F.array(*[holds(r).cast("double") for r in found])
     lasso = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=1.0, regParam=LASSO,
-                               standardization=False, maxIter=STEPS, tol=1e-4).fit(
+                               standardization=False, maxIter=STEPS).fit(
         sample.select("label", array_to_vector(truth).alias("features")))
     weights = lasso.coefficients.toArray().tolist()
     return Model(float(lasso.intercept), {r: w for r, w in zip(found, weights) if w})
@@ -154,7 +166,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score: str = "
 
 def keep_good(docs: DataFrame, model: Model, least: float = ACCEPT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``."""
-    return _scored(docs, model, text_col).filter(F.col("score") >= least).select("row.*")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.filter(score_of(text, model) >= least)
 
 
 def quality_labels(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joblode.functions.text import let
 from joblode.llm.registry import case, documents
 from joblode.session import staged
 
@@ -35,6 +36,12 @@ REJECT = 0.002
 SPACE = r"[ \t-\r]+"
 
 
+def words_of(text: Column) -> Column:
+    """Words of a text in one expression."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+\z", "")
+    return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
+
+
 def with_words(df: DataFrame, text: Column, name: str = "_words") -> DataFrame:
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+\z", "")
     return df.withColumn("_trimmed", trimmed).withColumn(name, F.when(

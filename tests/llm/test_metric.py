@@ -81,18 +81,21 @@ def test_against_all_pairs(spark):
 
 
 def test_recursion_and_boundary(spark, monkeypatch):
-    """Without any meeting of equal keys but the first, boundaries and deeper regions find what is left."""
+    """Links between members of two regions, which neither pivot has, come from the deeper step."""
     rng, deeper = np.random.default_rng(5), []
     inner = M.region_links
 
     def watched(*a, **k):
-        deeper.append(a[6] if len(a) > 6 else 0)
+        deeper.append(a[5] if len(a) > 5 else 0)
         return inner(*a, **k)
     monkeypatch.setattr(M, "region_links", watched)
-    base = [f"w{i}" for i in range(120)]
-    far = edited(rng, base, 4, "f")
-    rows = [(i, " ".join(edited(rng, base, int(rng.integers(0, 4)), "e"))) for i in range(150)]
-    rows += [(200 + i, " ".join(edited(rng, far, int(rng.integers(0, 4)), "e"))) for i in range(150)]
+    rows = []
+    for c in range(4):  # two clouds, and between them two texts that alone link them
+        steps = [[f"c{c}w{i}" for i in range(200)]]
+        for k in range(6):
+            steps.append([w if i != 20 * k + 5 else f"c{c}k{k}" for i, w in enumerate(steps[-1])])
+        near = [steps[0], steps[6]] + [edited(rng, steps[k], 1, "e") for k in (0, 6) for _ in range(8)]
+        rows += [(100 * c + i, " ".join(t)) for i, t in enumerate([*near, steps[2], steps[4]])]
     assert got(M.jaccard_classes(frame(spark, rows, "doc_id long, text string").repartition(3))) == brute(rows)
     assert max(deeper) > 0
 

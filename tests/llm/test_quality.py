@@ -45,3 +45,16 @@ def test_odd(spark, odd, empty):
     assert quality.train(empty, labels).constant == 0.5
     ids = frame(spark, [(i,) for i in range(50)], "doc_id long").select("doc_id", quality.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in ids)
+
+
+def test_kept_rows_are_read_once(odd):
+    """However many rules there are, a text is cut into words once, and the filter keeps what the score says."""
+    rules = {tuple(sorted([("s_words", False, b / 10), ("s_distinct", True, 0.9)])): 0.1 * b for b in range(12)}
+    rules |= {(("s_line_words", False, float(b)),): -0.1 for b in range(9)}
+    model = quality.Model(-0.5, rules)
+    kept = quality.keep_good(odd, model, 0.4)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("split(") == 2
+    want = [tuple(r)[:-1] for r in quality.scored(odd, model, score="_s").filter("_s >= 0.4").collect()]
+    assert 0 < len(want) < odd.count()
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str) and kept.columns == odd.columns
