@@ -102,8 +102,8 @@ def unescape(text: Column) -> Column:
         return F.when(known, F.concat(found, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(
             F.when(n > 0, F.concat(F.lit("&"), part)).otherwise(part))
 
-    resolved = F.array_join(F.transform(F.split(text, "&"), piece), "")
-    return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
+    # Bound once: what is handed in may be a chain of patterns.
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
 
 
 # Stands for a line break while white space is closed up.

@@ -151,10 +151,16 @@ def _named(text: Column, skills: Sequence[str]) -> Column:
     single, several = [s for s in skills if " " not in shown[s]], [s for s in skills if " " in shown[s]]
     literal = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
 
+    # Skills by the word that they show as: two spellings of one word are two skills.
+    by_word: dict[str, list[str]] = {}
+    for s in single:
+        by_word.setdefault(shown[s], []).append(s)
+    names = F.create_map(*[x for w, own in by_word.items() for x in (F.lit(w), literal(own))]) if by_word else None
+
     def find(words: Column) -> Column:
-        held = F.array_intersect(F.split(words, " "), literal([shown[s] for s in single]))
-        one = F.filter(literal(single), lambda s: F.array_contains(
-            held, F.element_at(F.create_map(*[F.lit(x) for p in shown.items() for x in p]), s)))
+        # Only words that are skills are looked up, a few per text.
+        held = F.array_intersect(F.split(words, " "), literal(list(by_word)))
+        one = F.flatten(F.transform(held, lambda w: F.element_at(names, w))) if by_word else literal([])
         phrases = F.filter(F.arrays_zip(literal(several).alias("skill"), literal(
             [shown[s] for s in several]).alias("shown")), lambda p: F.contains(
                 words, F.concat(F.lit(" "), p["shown"], F.lit(" "))))

@@ -21,7 +21,7 @@ from joblode.operators.vectors import build_vectors, missing_vectors
 from joblode.schemas import EXTRACTED_SCHEMA, STUB_SCHEMA
 from joblode.session import scratch_scope, staged
 from joblode.sources.stages import read_stage, stage_done, stage_path, write_stage
-from joblode.sources.tables import (LoadCounts, insert_jobs, read_jobs, read_vectors,
+from joblode.sources.tables import (LoadCounts, insert_jobs, pending_vectors, read_jobs, read_vectors,
                                     upsert_vectors)
 
 
@@ -86,6 +86,25 @@ def load_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
     return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
 
 
+def load_pending_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
+                         embedder: Embedder | None = None) -> LoadCounts:
+    """Build vectors for all postings that were logged as pending; safe to repeat.
+
+    Only the days that pending postings were loaded on are read. A table with rows from before its log
+    is compared whole, once.
+    """
+    with pending_vectors(spark, jobs_path) as pending:
+        if pending is None:
+            return load_vectors(spark, jobs_path, vectors_path, embedder)
+        pending = staged(pending, "pending")
+        days = [r["scraped_on"] for r in pending.select("scraped_on").distinct().collect()]
+        ids = pending.select("id").distinct()
+        jobs = read_jobs(spark, jobs_path).filter(F.col("scraped_on").isin(days))
+        jobs = rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
+        missing = missing_vectors(jobs, read_vectors(spark, vectors_path))
+        return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
+
+
 @dataclass(frozen=True)
 class RunCounts:
     jobs: LoadCounts

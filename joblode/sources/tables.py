@@ -3,11 +3,21 @@
 Postings are laid out by load day, so a day's count reads one folder. Vectors are
 laid out by a hash of the job id, so an upsert rewrites only the folders in which
 a vector is replaced. Sinks are at-least-once safe: a repeated batch adds nothing.
+
+An upsert writes folders of a version of its own and then, in one rename, the manifest
+that names the folders of the table. Whoever reads sees the state of one manifest, and
+an upsert that stops half-way leaves the state before it.
+
+Postings whose vectors are not built yet can be kept in a log beside the table
+(``pending``), so that building them later looks at those alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -33,16 +43,27 @@ VECTOR_BUCKETS = 64
 NO_CELL = -1
 # Spark's name of the folder of a null.
 _NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+# Versions whose folders stay for those who read them still; older ones go with the next upsert.
+KEPT_VERSIONS = 2
+# In the log of postings without vectors: the table has rows from before the log.
+_UNLOGGED = "unlogged"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _delete_folder(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def _names(spark: SparkSession, path: str) -> list[str] | None:
+    """What a folder holds; None if there is none."""
+    files, place = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else None
 
 
 def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    files, place = _files(spark, path)
+    if not files.exists(place):
         return spark.createDataFrame([], layout)
     return spark.read.schema(layout).parquet(path)
 
@@ -132,13 +153,16 @@ def new_jobs(incoming: DataFrame, jobs: DataFrame, arrival: Sequence[str] = (),
 
 
 def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
-                as_of: datetime | str | Column, arrival: Sequence[str] = ()) -> LoadCounts:
+                as_of: datetime | str | Column, arrival: Sequence[str] = (), pending: bool = False) -> LoadCounts:
     """Append postings whose id is not stored yet.
 
     The batch is staged first, so that extraction and load time are computed
-    once and a repeat after a failure sees the same rows.
+    once and a repeat after a failure sees the same rows. ``pending`` logs the batch's ids
+    before, for :func:`pending_vectors`.
     """
     with stage(conform_jobs(incoming, as_of, arrival), "jobs") as batch:
+        if pending:
+            _log_pending(spark, path, batch)
         fresh = new_jobs(batch, read_jobs(spark, path), arrival,
                          small_batch=fits_broadcast(batch))
         seen = Observation()
@@ -149,11 +173,107 @@ def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
         return LoadCounts(sent=batch.count(), inserted=seen.get["n"])
 
 
+# -- postings without vectors ---------------------------------------------------
+
+def _pending_path(path: str) -> str:
+    return f"{path.rstrip('/')}-pending"
+
+
+def _log_pending(spark: SparkSession, path: str, batch: DataFrame) -> None:
+    """Logs the ids of a batch with the day that it loads them on, before the batch is inserted.
+
+    An id that is stored already is logged too: whether it lacks vectors is asked when they are built.
+    """
+    log = _pending_path(path)
+    if _names(spark, log) is None and _names(spark, path) is not None:
+        files, place = _files(spark, f"{log}/{_UNLOGGED}")
+        files.mkdirs(place)
+    rows = batch.filter(F.col("id").isNotNull()).select("id", F.to_date("scraped_at").alias("scraped_on")).distinct()
+    rows.write.parquet(f"{log}/{uuid.uuid4().hex}")
+
+
+@contextmanager
+def pending_vectors(spark: SparkSession, path: str) -> Iterator[DataFrame | None]:
+    """(id, scraped_on) of the postings logged so far; None if rows of the table were not logged.
+
+    What was logged when the block began is struck off when it ends without an error, so a block
+    that fails is given the same rows again. An id that was logged but not inserted is not in the table.
+    """
+    log = _pending_path(path)
+    names = _names(spark, log)
+    known = names is not None and _UNLOGGED not in names
+    done = [f"{log}/{n}" for n in names or ()]
+    if not known:
+        yield None
+    elif not done:
+        yield spark.createDataFrame([], "id string, scraped_on date")
+    else:
+        yield spark.read.schema("id string, scraped_on date").parquet(*done).distinct()
+    for folder in done:
+        files, place = _files(spark, folder)
+        files.delete(place, True)
+    files, place = _files(spark, log)
+    files.mkdirs(place)  # from now on the log is whole
+
+
 # -- vectors ------------------------------------------------------------------
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, list[str]]]:
+    """The newest version, 0 if there is none, and its folders: the versions that each folder's rows stand in."""
+    names = [int(n.split(".")[0]) for n in _names(spark, f"{path}/manifests") or () if n.endswith(".json")]
+    if not names:
+        return 0, {}
+    files, place = _files(spark, f"{path}/manifests/{max(names)}.json")
+    source = files.open(place)
+    try:
+        return max(names), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def _commit(spark: SparkSession, path: str, number: int, folders: dict[str, list[str]]) -> None:
+    """Makes ``folders`` the table, in one rename; an error if another upsert came first."""
+    files, draft = _files(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    out = files.create(draft)
+    try:
+        out.write(bytearray(json.dumps(folders, sort_keys=True).encode()))
+    finally:
+        out.close()
+    _, place = _files(spark, f"{path}/manifests/{number}.json")
+    if files.exists(place) or not files.rename(draft, place):
+        files.delete(draft, False)
+        raise RuntimeError(f"version {number} of {path} was written by another upsert")
+
+
+def _drop_old(spark: SparkSession, path: str, number: int) -> None:
+    """Removes manifests before the kept ones, and versions that none of those names; so also those of failed upserts."""
+    keep: set[str] = set()
+    for name in _names(spark, f"{path}/manifests") or ():
+        files, place = _files(spark, f"{path}/manifests/{name}")
+        if not name.endswith(".json"):
+            continue
+        if int(name.split(".")[0]) <= number - KEPT_VERSIONS:
+            files.delete(place, False)
+            continue
+        source = files.open(place)
+        try:
+            keep.update(v for held in json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")).values() for v in held)
+        finally:
+            source.close()
+    for name in _names(spark, f"{path}/data") or ():
+        if name.removeprefix("version=") not in keep:
+            files, place = _files(spark, f"{path}/data/{name}")
+            files.delete(place, True)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table; empty if it does not exist. Similarity is cosine."""
-    return _read(spark, path, _VECTOR_LAYOUT)
+    """The vector table in its newest version; empty if it does not exist. Similarity is cosine."""
+    _, folders = _manifest(spark, path)
+    places = [f"{path}/data/version={v}/{folder}" for folder, held in folders.items() for v in held]
+    if not places:
+        return spark.createDataFrame([], _VECTOR_LAYOUT)
+    return (spark.read.schema(T.StructType([*_VECTOR_LAYOUT.fields, T.StructField("version", T.StringType())]))
+            .option("basePath", f"{path}/data").parquet(*places).drop("version"))
 
 
 def vector_ids(vectors: DataFrame) -> DataFrame:
@@ -186,9 +306,9 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
     Folders are hashes of the job id or, with ``planes``, cells that a search can
     be pruned to. Their number is chosen at the first load, by its size unless
     ``buckets`` names it, and kept in the table's layout; another layout later is
-    an error. Folders in which nothing is replaced only get appended to. The
-    others are merged into a staged table first and then overwritten folder by
-    folder, so nothing is read from a place being written.
+    an error. Folders in which a vector is replaced are written anew with what else
+    they hold; to others the new rows are added. The table is the old one until the
+    version's manifest stands.
     """
     if not unique:
         rows = first_by(rows, ["vector_id"], [*[F.desc_nulls_last(a) for a in arrival], "document", "embedding"])
@@ -207,18 +327,22 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
         # One row per folder at most.
         touched = {NO_CELL if r["bucket"] is None else r["bucket"]: r["n"] for r in
                    clash.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-        fresh = batch
+        rows = batch
         if touched:
             # A replaced vector may have moved to another cell; one without an embedding has none.
             hit = F.array_contains(F.array(*map(F.lit, touched)), F.coalesce("bucket", F.lit(NO_CELL)))
-            fresh = batch.filter(~hit)
-            kept = stored.filter(hit).join(ids, "vector_id", "left_anti")
-            with stage(batch.filter(hit).unionByName(kept), "merged") as merged:
-                (merged.hint("rebalance", "bucket").write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path))
-                # Folders that get no rows are not overwritten: their vectors have all moved away.
-                filled = {NO_CELL if r["bucket"] is None else r["bucket"] for r in merged.select("bucket").distinct().collect()}
-                for cell in touched.keys() - filled:
-                    _delete_folder(spark, f"{path}/layout={layout}/bucket={_NULL_FOLDER if cell == NO_CELL else cell}")
-        fresh.hint("rebalance", "bucket").write.mode("append").partitionBy(*place).parquet(path)
+            rows = batch.unionByName(stored.filter(hit).join(ids, "vector_id", "left_anti"))
+        number, folders = _manifest(spark, path)
+        version = f"{number + 1}-{uuid.uuid4().hex[:8]}"
+        at = f"{path}/data/version={version}"
+        rows.hint("rebalance", "bucket").write.partitionBy(*place).parquet(at)
+        named = lambda b: f"layout={layout}/bucket={_NULL_FOLDER if b == NO_CELL else b}"
+        replaced = set(map(named, touched))
+        # A replaced folder whose vectors have all moved away is no longer named.
+        table = {f: held for f, held in folders.items() if f not in replaced}
+        for folder in _names(spark, f"{at}/layout={layout}") or ():
+            folder = f"layout={layout}/{folder}"
+            table[folder] = [*table.get(folder, ()), version]
+        _commit(spark, path, number + 1, table)
+    _drop_old(spark, path, number + 1)
     return LoadCounts(sent=sent, inserted=sent - sum(touched.values()))

@@ -17,7 +17,7 @@ from pyspark.sql.types import TimestampNTZType
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.embed import Embedder
 from joblode.operators.keys import fits_broadcast, take_first
-from joblode.plans.ingest import load_vectors
+from joblode.plans.ingest import load_pending_vectors
 from joblode.session import scratch_scope, stage, staged
 from joblode.sources.tables import insert_jobs, new_jobs, read_jobs
 
@@ -30,24 +30,24 @@ def ingest_stream(stream: DataFrame, jobs_path: str, checkpoint: str, *,
     """Insert a stream of postings; known ids are skipped.
 
     ``daily_target`` caps what is added per day, in order of ``arrival``. With
-    ``vectors_path`` the vectors of a batch's postings are built after it.
+    ``vectors_path`` the vectors of all postings that have none are built after each batch:
+    of its own, and of those that earlier batches loaded without vectors or before a failure.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         now = as_of()
         with scratch_scope(spark), stage(batch, "batch") as rows:
             if daily_target is None:
-                insert_jobs(spark, jobs_path, rows, as_of=now, arrival=arrival)
+                insert_jobs(spark, jobs_path, rows, as_of=now, arrival=arrival, pending=True)
             else:
                 jobs = read_jobs(spark, jobs_path)
                 done = count_jobs_on(jobs, now.date()).first()["n"]
                 # Reduced to new ids first, so that a repeated batch uses no room.
                 fresh = staged(new_jobs(rows, jobs, arrival, small_batch=fits_broadcast(rows)), "quota")
                 room = take_first(fresh, (*arrival, "id"), daily_target - done)
-                insert_jobs(spark, jobs_path, room, as_of=now, arrival=arrival)
+                insert_jobs(spark, jobs_path, room, as_of=now, arrival=arrival, pending=True)
             if vectors_path is not None:
-                # Only the batch's postings: a repeat after a failure finds the same ones.
-                load_vectors(spark, jobs_path, vectors_path, embedder, ids=rows.select("id"))
+                load_pending_vectors(spark, jobs_path, vectors_path, embedder)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

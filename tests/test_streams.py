@@ -43,3 +43,42 @@ def test_distinct(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(
             availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_catch_up(spark, tmp_path, monkeypatch):
+    """Vectors of all pending postings, whatever was stopped: after the insert, or after the vectors were written."""
+    from joblode.plans import ingest as P
+    jobs, vectors = str(tmp_path / "jobs"), str(tmp_path / "vectors")
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, i) for i in ids], "id string, title string")
+
+    def built():
+        return sorted(r["job_id"] for r in B.read_vectors(spark, vectors).filter("type = 'full'").collect())
+
+    B.insert_jobs(spark, jobs, rows("old"), as_of=NOW)  # from before the log
+    B.insert_jobs(spark, jobs, rows("a", "b"), as_of=NOW, pending=True)
+    P.load_pending_vectors(spark, jobs, vectors)
+    assert built() == ["a", "b", "old"]
+    # Logged but never inserted: the next batch of the same rows inserts them.
+    B._log_pending(spark, jobs, B.conform_jobs(rows("c"), NOW))
+    P.load_pending_vectors(spark, jobs, vectors)
+    B.insert_jobs(spark, jobs, rows("c"), as_of=NOW, pending=True)
+    # Stopped after the vectors were written, before the log was cleared.
+    def stop(*a, **k):  # noqa: E306
+        P_upsert(*a, **k)
+        raise RuntimeError("stopped")
+    P_upsert = P.upsert_vectors
+    monkeypatch.setattr(P, "upsert_vectors", stop)
+    try:
+        P.load_pending_vectors(spark, jobs, vectors)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(P, "upsert_vectors", P_upsert)
+    with B.pending_vectors(spark, jobs) as left:
+        assert [r["id"] for r in left.collect()] == ["c"]
+        B._log_pending(spark, jobs, B.conform_jobs(rows("c"), NOW))  # logged meanwhile: not struck off
+    assert P.load_pending_vectors(spark, jobs, vectors).inserted == 0
+    assert built() == ["a", "b", "c", "old"]
+    with B.pending_vectors(spark, jobs) as left:
+        assert left.count() == 0

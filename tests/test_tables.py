@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.vectors import build_vectors, missing_vectors, vector_texts
-from joblode.schemas import JOBS_SCHEMA, STUB_SCHEMA
+from joblode.schemas import JOBS_SCHEMA, STUB_SCHEMA, VECTOR_SCHEMA
 from joblode.session import spread, staged
 from joblode.sources import stages as G
 from joblode.sources import tables as B
@@ -159,3 +159,45 @@ def test_vectors_leave_a_cell_empty(spark, tmp_path):
         stored = {(r["vector_id"], tuple(r["embedding"] or ())) for r in B.read_vectors(spark, path).collect()}
         assert B.read_vectors(spark, path).count() == 2
         assert stored == {("a_full", tuple(a)), ("b_full", tuple(b or ()))}
+
+
+def test_stopped_upsert(spark, tmp_path, monkeypatch):
+    """An upsert that stops at any step leaves the old state or the new one, and the next one mends it."""
+    path = str(tmp_path / "vectors")
+
+    def at(text, *ids):
+        return spark.createDataFrame([(i, i, "full", None, text, [1.0], {}) for i in ids], VECTOR_SCHEMA)
+
+    def now():
+        return {r["vector_id"]: r["document"] for r in B.read_vectors(spark, path).collect()}
+
+    def stops(name, before):
+        kept = getattr(B, name)
+
+        def stop(*a):
+            if not before:
+                kept(*a)
+            raise OSError(name)
+        monkeypatch.setattr(B, name, stop)
+        with pytest.raises(OSError):
+            B.upsert_vectors(spark, path, at("new", "a", "c"), buckets=2)
+        monkeypatch.setattr(B, name, kept)
+        assert B.read_vectors(spark, path).count() == len(now())
+
+    B.upsert_vectors(spark, path, at("old", "a", "b"), buckets=2)
+    held = B.read_vectors(spark, path)
+    stops("_commit", before=True)
+    assert now() == {"a": "old", "b": "old"}
+    stops("_commit", before=False)
+    assert now() == {"a": "new", "b": "old", "c": "new"}
+    stops("_drop_old", before=True)
+    assert now() == {"a": "new", "b": "old", "c": "new"}
+    B.upsert_vectors(spark, path, at("newer", "a"), buckets=2)
+    assert now() == {"a": "newer", "b": "old", "c": "new"}
+    assert len([p for p in (tmp_path / "vectors" / "manifests").iterdir() if p.suffix == ".json"]) == B.KEPT_VERSIONS
+    # The state of one version before can be read still; two writers of one version: the second is told.
+    B.upsert_vectors(spark, path, at("last", "b"), buckets=2)
+    number, folders = B._manifest(spark, path)
+    with pytest.raises(RuntimeError):
+        B._commit(spark, path, number, folders)
+    assert now() == {"a": "newer", "b": "last", "c": "new"} and held.schema == B.read_vectors(spark, path).schema

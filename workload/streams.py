@@ -65,6 +65,17 @@ def _(spark, sf):
     return count_rows(B.read_vectors(spark, vectors_path).filter("type = 'full'"))
 
 
+@case("stream_catch_up", f"""WITH {_FIRST} SELECT DISTINCT id, 1 AS n FROM first""")
+def _(spark, sf):
+    """Postings of the first run have no vectors until the second, which loads others, catches up with them."""
+    path, vectors_path = scratch(spark, "stream-jobs"), scratch(spark, "stream-vectors")
+    postings, even = _postings(spark, sf), F.col("id").cast("long") % 2 == 0
+    for rows, more in ((postings.filter(even), {}), (postings.filter(~even), {"vectors_path": vectors_path})):
+        ingest_stream(rows, path, scratch(spark, "checkpoint"), as_of=lambda: NOW, arrival=("seen",), **more).awaitTermination()
+    full = B.read_vectors(spark, vectors_path).filter("type = 'full'")
+    return full.groupBy(F.col("job_id").alias("id")).agg(F.count("*").cast("int").alias("n"))
+
+
 @case("stream_distinct", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events")
 def _(spark, sf):
     """Distinct users of the event stream, with state bounded by the watermark."""
