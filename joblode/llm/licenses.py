@@ -30,9 +30,12 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, takewhile
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joblode.llm.registry import case, documents
@@ -83,11 +86,15 @@ TELLING = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+# A-Z lower-cased; bytes of other words and line ends stay, all others are blanks.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 or c == 10 else 32 for c in range(256))
+
+
+def line_words(text: str | None) -> list[list[bytes]]:
+    """The words of every line."""
+    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split(b"\n")]
 
 
 def need_of(size: int, threshold: float) -> int:
@@ -95,15 +102,11 @@ def need_of(size: int, threshold: float) -> int:
     return next(n for n in range(1, size + 1) if n >= threshold * size - 1e-9)
 
 
-def word_list(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 class Index:
     """Templates with their words in global order: rare words first, then by spelling."""
 
     def __init__(self, templates, threshold: float, frequency: dict[str, int]):
-        sets = [(label, set(re.findall(WORD, text.lower()))) for label, text in templates]
+        sets = [(label, set(template_words(text))) for label, text in templates]
         self.sets = [(label, s) for label, s in sets if s]
         self.order = sorted({w for _, s in self.sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         rank = {w: n for n, w in enumerate(self.order, 1)}
@@ -117,49 +120,92 @@ class Index:
         self.prefixes = sorted(prefixes)
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 def block_frequency(docs: DataFrame, templates) -> dict[str, int]:
     """In how many blocks of all documents each template word stands."""
-    known = sorted({w for _, text in templates for w in re.findall(WORD, text.lower())})
+    known = {w.encode() for _, text in templates for w in template_words(text)}
     if not known:
         return {}
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    held = F.transform(lines, lambda line: F.array_intersect(words(line), word_list(known)))
-    counts = docs.select(F.explode(F.flatten(held)).alias("word")).groupBy("word").count()
-    return {r["word"]: r["count"] for r in counts.collect()}
-
-
-def base_places(text: Column) -> dict[str, Column]:
-    """First steps of the base scan: number of words, and the words if a phrase may be there."""
-    return {"n_words": F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long"),
-            "_words": F.when(text.rlike("(?i)license"), words(text))}
-
 
-def _places(phrase: str, label: str) -> Column:
-    return F.transform(_starts(phrase), lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
-
-
-def _starts(phrase: str) -> Column:
-    """Places of one phrase in the array ``_words``."""
-    parts = phrase.split(" ")
-    at = F.sequence(F.lit(0), F.size("_words") - len(parts))
-    stands = lambda i: reduce(lambda a, b: a & b, [F.get("_words", i + n) == p for n, p in enumerate(parts)])
-    return F.when(F.size("_words") >= len(parts), F.filter(at, lambda i: stands(i))).otherwise(F.array().cast("array<int>"))
-
-
-def told(block_words: Column, telling) -> Column:
-    """Places of the patterns in ``telling`` that the block's words satisfy."""
-    text = F.concat(F.lit(" "), F.array_join(block_words, " "), F.lit(" "))
-    return F.array_compact(F.array(*[F.when(text.rlike(t), n) for n, t in enumerate(telling)]))
-
-
-def run_words(at: Column, length: int) -> Column:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                for line in line_words(text.as_py()):
+                    held.update(known.intersection(line))
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()),
+                                          pa.array(list(held.values()), pa.int64())], names=["word", "count"])
+    counts = docs.select("text").mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return {r["word"]: r["count"] for r in counts.collect()}  # at most the templates' words
+
+
+def base_places(lines: list[list[bytes]]) -> list[tuple[str, int]]:
+    """(label, start) of each place where a phrase's words stand one after the other, over line ends too."""
+    own = list(chain.from_iterable(lines))
+    out = []
+    for phrase, label in PHRASES.items():
+        parts = phrase.encode().split()
+        for at, word in enumerate(own):
+            if word == parts[0] and own[at:at + len(parts)] == parts:
+                out.append((label, at))
+    return out
+
+
+def run_words(lines: list[list[bytes]], at: int, length: int) -> list[bytes]:
     """Words of the run of line ``at``: ``length`` words before its end, and after it in its paragraph."""
-    own, later = F.get("_lines", at), F.slice("_lines", at + 2, length)
     # A line without words ends the paragraph; every other one has a word, so ``length`` lines suffice.
-    end = F.array_position(F.transform(later, lambda w: F.size(w)), 0).cast("int")
-    later = F.slice(later, 1, F.when(end > 0, end - 1).otherwise(length))
-    return F.concat(F.slice(own, F.greatest(F.size(own) - length + 1, F.lit(1)), length),
-                    F.slice(F.flatten(later), 1, length))
+    later = list(chain.from_iterable(takewhile(bool, lines[at + 1:at + 1 + length])))
+    return lines[at][-length:] + later[:length]
+
+
+class Blocks:
+    """Finds the blocks of a text that hold a prefix word."""
+
+    def __init__(self, index: Index, telling, length: int | None):
+        self.ranks = {w.encode(): n for n, w in enumerate(index.order, 1)}
+        self.known, self.prefixes = set(self.ranks), {w.encode() for w in index.prefixes}
+        self.telling, self.length = [re.compile(t) for t in telling or ()], length
+
+    def block(self, number: int, held: list[bytes]) -> dict:
+        """The template words of a block, and which of the telling patterns its words satisfy."""
+        text = " " + b" ".join(held).decode("utf-8", "surrogatepass") + " " if self.telling else ""
+        return {"block": number, "ranks": sorted(self.ranks[w] for w in self.known.intersection(held)),
+                "told": [n for n, t in enumerate(self.telling) if t.search(text)]}
+
+    def of(self, lines: list[list[bytes]]) -> list[dict]:
+        hot = [n for n, line in enumerate(lines) if not self.prefixes.isdisjoint(line)]
+        out = [self.block(n, lines[n]) for n in hot]
+        if self.length is None or not hot:
+            return out
+        # Runs that a hot line may lie in: those that begin up to ``length`` lines before it.
+        starts = sorted({n for h in hot for n in range(max(0, h - self.length), h + 1)})
+        return out + [self.block(n, run_words(lines, n, self.length)) for n in starts
+                      if n + 1 < len(lines) and lines[n] and lines[n + 1]]
+
+
+def read_blocks(docs: DataFrame, blocks: Blocks) -> DataFrame:
+    """(doc_id, row, n_words, places, blocks) of each document."""
+    place = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("ranks", pa.list_(pa.int64())), ("told", pa.list_(pa.int32()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, places, found = [], [], []
+            for text in batch.column("text"):
+                lines = line_words(text.as_py())
+                counts.append(sum(map(len, lines)))
+                here = base_places(lines) if any(b"license" in line for line in lines) else []
+                places.append([{"label": label, "start": start} for label, start in here])
+                found.append(blocks.of(lines))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(places, place),
+                 pa.array(found, kind)], names=["doc_id", "row", "n_words", "places", "blocks"])
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
+        run, "doc_id long, row long, n_words long, places array<struct<label:string,start:long>>, "
+             "blocks array<struct<block:int,ranks:array<long>,told:array<int>>>")
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,35 +226,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
         raise ValueError("a pattern for each template")
     if telling is not None:
         # Templates without words have no number.
-        telling = [p for p, (_, t) in zip(telling, templates) if re.findall(WORD, t.lower())]
+        telling = [p for p, (_, t) in zip(telling, templates) if template_words(t)]
     spark, docs = docs.sparkSession, narrow(docs, id_col, text_col)
     index = Index(templates, threshold, block_frequency(docs, templates))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # Only blocks with a prefix word leave the scan, and of them only the template words.
-    block = lambda n, held: F.struct(n.alias("block"), F.array_sort(F.transform(
-        F.array_intersect(held, word_list(index.order)),
-        lambda w: F.array_position(word_list(index.order), w))).alias("ranks"),
-        told(held, telling or ()).cast("array<int>").alias("told"))
-    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    candidates = F.transform(F.filter(numbers, lambda n: F.get("_hot", n)), lambda n: block(n, F.get("_lines", n)))
+    length = None
     if runs and index.rows:
-        longest = max(len(re.findall(WORD, t.lower())) for _, t in templates)
+        longest = max(len(template_words(t)) for _, t in templates)
         # Words that come between, as marks of comments, take some room too.
         length = math.ceil(longest / min(threshold, 1))
-        meets = lambda n: ((F.size(F.get("_lines", n)) > 0) & (F.size(F.get("_lines", n + 1)) > 0)
-                           & F.array_contains(F.slice("_hot", n + 1, length + 1), True))
-        wrapped = F.transform(F.filter(numbers, meets), lambda n: block(n, run_words(n, length)))
-        candidates = F.when(F.array_contains("_hot", True), F.concat(candidates, wrapped))
-    if not index.rows:
-        candidates = F.lit(None).cast("array<struct<block:int,ranks:array<bigint>,told:array<int>>>")
-    places = F.concat(*[_places(phrase, label) for phrase, label in PHRASES.items()])
-    none = F.array().cast("array<struct<label:string,start:bigint>>")
-    read = (docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-            .withColumns(base_places(text))
-            .withColumn("_lines", F.transform(F.split(text, "\n"), words))
-            .withColumn("_hot", F.transform("_lines", lambda w: F.arrays_overlap(w, word_list(index.prefixes))))
-            .select("doc_id", "row", "n_words", F.coalesce(F.when(F.col("_words").isNotNull(), places), none)
-                    .alias("places"), candidates.alias("blocks")))
+    # Only blocks with a prefix word leave the scan, and of them only the template words.
+    read = read_blocks(docs, Blocks(index, telling, length))
     read = staged(read, "license-scan")
     schema = ("rank long, template int, label string, at int, size int, need int, own array<long>")
     entries = F.broadcast(spark.createDataFrame(index.rows, schema))
