@@ -98,11 +98,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # Proposals beyond the base patterns, by kind. Each starts at a bounded look-behind or at a rare letter.
 _PROPOSALS = {
-    0: re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}"
-                  r"(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}){1,4}"),
+    # Runs are unbounded and never give letters back, here and in the last pattern.
+    0: re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]++"
+                  r"(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,}+)++"),
     2: re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{4}){2}[ ./-]?[0-9]{3,4}(?![0-9])"),
     3: re.compile(r"(?<![0-9+.])(?:00 ?[0-9]{1,3}[ ./-]?)?\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9.])"),
-    # Name and value may stand in quotes, also escaped ones; runs are unbounded and never give letters back.
+    # Name and value may stand in quotes, also escaped ones.
     4: re.compile(r"""(?:(["'])[A-Za-z_]{2,}+\1|(?<![A-Za-z0-9_])[A-Za-z_]{2,}+(?:\\?["'])?)[ \t]*+[=:][ \t]*+"""
                   r"""(?P<value>"(?:[^\s"\\]|\\\S){8,}+"|'(?:[^\s'\\]|\\\S){8,}+'|"""
                   r"""(?P<open>\\?["'])?[A-Za-z0-9+/_.-]{8,}+=*+(?(open)(?:\\?["'])?))"""),
@@ -241,12 +242,15 @@ def features(pattern: int) -> np.ndarray:
     return out
 
 
-def span_classifier(counts: dict[int, int], targets: dict[int, float], ridge: float = 1.0,
+def span_classifier(counts: dict[int, int], targets: dict[int, float], ridge: float = 1e-4,
                     steps: int = 30) -> dict[int, float]:
-    """Logistic regression of the estimated probabilities on votes and shapes: each pattern's result."""
+    """Logistic regression of the estimated probabilities on votes and shapes: each pattern's result.
+
+    Patterns weigh by their share of all proposals, so the ridge is as strong at any size of the corpus.
+    """
     x = np.array([features(p) for p in counts])
     w, y = np.array(list(counts.values()), float), np.array([targets[p] for p in counts])
-    w = w * min(1.0, 1e4 / w.sum())
+    w = w / w.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))

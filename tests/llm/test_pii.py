@@ -131,3 +131,17 @@ def test_secret_pattern_is_linear():
         started = time.perf_counter()
         pii.proposals(part * 100_000, [])
         assert time.perf_counter() - started < 5, part
+
+
+def test_long_addresses_leave_no_tail():
+    for text in ("x" * 300 + " [at] host.example.org", "bob [at] a.bb.cc.dd.ee.ff.gg", "bob (at) " + "h" * 90 + " dot org"):
+        (start, kind, end, _), = pii.proposals(f"mail {text} now", [])
+        assert kind == 0 and f"mail {text} now"[start:end] == text
+
+
+def test_classifier_at_any_size():
+    counts = {16 * 50 + 2: 30, 16 * 10 + 1: 50, 16 * 77: 20}
+    targets = {p: q for p, q in zip(counts, (0.9, 0.2, 0.6))}
+    small = pii.span_classifier(counts, targets)
+    large = pii.span_classifier({p: 1_000_000 * n for p, n in counts.items()}, targets)
+    assert all(abs(small[p] - large[p]) < 1e-6 for p in counts)
