@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from joblode.llm.bpe import encoder, texts_of
 from joblode.llm.registry import case, documents
 from joblode.llm.tokens import narrow
+from joblode.session import staged
 
 # Documents in a group, on average: enough that the last, half-full sequence of a group does not count.
 GROUP = 4_000
@@ -103,8 +104,9 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, group:
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where its ids stand in the document and in which sequence, at which offset."""
     groups = max(1, -(-docs.count() // group))
-    return (pieces(docs, path, length, end_id, id_col, text_col)
-            .withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # Groups are drawn by the number of a written row, so that equal or null ids do not meet in one.
+    cut = staged(pieces(docs, path, length, end_id, id_col, text_col), "pieces")
+    return (cut.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
             .groupBy("group").applyInPandas(packer(length), PACKED))
 
 

@@ -65,3 +65,13 @@ def test_little_padding(spark):
 def test_empty(empty, spark):
     assert packing.pack(empty, BYTE).count() == 0
     assert packing.pack(frame(spark, [(None, None)]), BYTE).collect()[0].length == 1
+
+
+def test_one_id_for_many_rows(spark):
+    """Rows with one id, or none, are dealt out to groups like others."""
+    docs = frame(spark, [(None if i % 2 else 7, f"text {i} " * 30) for i in range(600)], "doc_id long, text string")
+    rows = packing.pack(docs, BYTE, group=50).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(rows) == 600 and len(held) == 12 and max(map(len, held.values())) < 100
