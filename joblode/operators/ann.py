@@ -4,6 +4,9 @@ Vectors are laid out by cell: on which side of a few hyperplanes they lie. The
 hyperplanes are drawn from a seed and are a parameter. A search reads only the
 cells near the query's, so the scan is pruned to those folders, and the scores
 inside are exact. More hyperplanes suit larger tables.
+
+Cells may also be trained from the vectors (``trained.train_cells``); wherever
+hyperplanes are given here, trained cells can be.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblode.operators.knn import query_vector, ranked_score, search
+from joblode.functions.text import let
+from joblode.operators.knn import query_vector, search, search_grouped
+from joblode.operators.trained import TrainedCells
 
-Planes = Sequence[Sequence[float]]
+Planes = Sequence[Sequence[float]] | TrainedCells
 
 
 def hyperplanes(width: int, bits: int = 6, seed: int = 7) -> list[list[float]]:
@@ -35,11 +40,18 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def cell_of(vector: Column | str, planes: Planes) -> Column:
     """The cell of a vector: a bit for each hyperplane; NULL for NULL."""
+    if isinstance(planes, TrainedCells):
+        return planes.cell_of(vector)
     sides = [F.when(dot(vector, F.lit(np.array(p, "float64"))) >= 0, 1 << n).otherwise(0) for n, p in enumerate(planes)]
     vector = F.col(vector) if isinstance(vector, str) else vector
     return F.when(vector.isNotNull(), reduce(lambda a, b: a + b, sides)).cast("int")
 
 
+def layout_of(planes: Planes) -> tuple[str, int]:
+    """What a table calls these cells, and how many there are."""
+    return (planes.name, len(planes)) if isinstance(planes, TrainedCells) else ("cell", 1 << len(planes))
+
+
 def flip_masks(bits: int, flips: int) -> list[int]:
     """Differences of the cells that are up to ``flips`` sides away."""
     return [sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)]
@@ -55,7 +67,12 @@ def default_flips(bits: int) -> int:
 
 def near_cells(vectors: DataFrame, planes: Planes, query: Sequence[float], flips: int | None = None,
                cell: str = "bucket") -> DataFrame:
-    """The vectors in the query's cell and those up to ``flips`` sides away; see ``default_flips``."""
+    """The vectors in the query's cell and those up to ``flips`` sides away; see ``default_flips``.
+
+    Of trained cells, the ``flips`` nearest ones; by default as many as were measured to be enough.
+    """
+    if isinstance(planes, TrainedCells):
+        return vectors.filter(F.col(cell).isin(planes.order(query)[:planes.probes if flips is None else flips]))
     flips = default_flips(len(planes)) if flips is None else flips
     home = sum(1 << n for n, p in enumerate(planes) if sum(x * y for x, y in zip(p, query)) >= 0)
     return vectors.filter(F.col(cell).isin([home ^ m for m in flip_masks(len(planes), flips)]))
@@ -70,21 +87,16 @@ def search_cells(vectors: DataFrame, planes: Planes, query: Sequence[float] | Da
 
 
 def search_cells_batch(vectors: DataFrame, planes: Planes, queries: DataFrame, n_results: int = 10,
-                       flips: int | None = None, cell: str = "bucket") -> DataFrame:
+                       flips: int | None = None, cell: str = "bucket", **bounds: int) -> DataFrame:
     """``query_id, vector_id, score, rank``: the nearest vectors of every query within its near cells.
 
-    Queries meet the vectors of their cells in a join; each task passes on the best of each query only.
+    Blocks of queries and of a cell's vectors meet in matrix products; no pairs become rows.
+    ``bounds`` are those of ``knn.search_grouped``.
     """
-    flips = default_flips(len(planes)) if flips is None else flips
-    masks = F.array(*map(F.lit, flip_masks(len(planes), flips)))
-    asked = queries.filter(F.col("embedding").isNotNull()).select(
-        "query_id", F.col("embedding").alias("_query"), F.sqrt(dot("embedding", "embedding")).alias("_q"),
-        cell_of("embedding", planes).alias("_home"))
-    asked = asked.withColumn("_cell", F.explode(F.transform(masks, lambda m: F.col("_home").bitwiseXOR(m))))
-    stored = vectors.filter(F.col("embedding").isNotNull()).select(
-        "vector_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("_v"), F.col(cell).alias("_cell"))
-    length = F.col("_q") * F.col("_v")
-    scored = asked.join(stored, "_cell").select("query_id", "vector_id", ranked_score(
-        F.when(length > 0, dot("_query", "embedding") / length).otherwise(0.0)).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vector_id"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n_results)
+    if isinstance(planes, TrainedCells):
+        groups = planes.cells_near("embedding", flips)
+    else:
+        masks = F.array(*map(F.lit, flip_masks(len(planes), default_flips(len(planes)) if flips is None else flips)))
+        groups = let(cell_of("embedding", planes), lambda home: F.transform(masks, lambda m: home.bitwiseXOR(m)))
+    asked = queries.select("query_id", "embedding", groups.alias("groups"))
+    return search_grouped(vectors.withColumn("group", F.col(cell)), asked, n_results, **bounds)

@@ -101,7 +101,8 @@ def _scorer(k: int, id_type):
 
     It scores a slice of vectors against all queries in one matrix product, keeps
     what can still enter a query's best ``k`` and re-ranks. Memory stays at the
-    slice, whatever the number of vectors.
+    slice, whatever the number of vectors. ``asked`` names the queries that look at
+    a block; all do without it.
     """
     digits = DIGITS
 
@@ -115,8 +116,10 @@ def _scorer(k: int, id_type):
         return matrix, {"q": np.empty(0, np.int64), "s": np.empty(0), "i": None,
                         "floor": np.full(len(matrix), -np.inf)}
 
-    def add(matrix, best, ids, embeddings):
+    def add(matrix, best, ids, embeddings, asked=None):
         import numpy as np
+        asked = np.arange(len(matrix)) if asked is None else asked
+        matrix = matrix if len(asked) == len(matrix) else matrix[asked]
         rows = np.asarray(embeddings.flatten(), dtype=np.float64)
         if len(rows) != len(ids) * matrix.shape[1]:
             raise ValueError(f"vectors are not all {matrix.shape[1]} wide")
@@ -130,11 +133,11 @@ def _scorer(k: int, id_type):
             scores = np.round(matrix @ rows[at:at + step].T, digits)
             if scores.shape[1] > k:
                 enough = np.partition(scores, -k, axis=1)[:, -k]
-                bar = np.maximum(best["floor"], enough)
+                bar = np.maximum(best["floor"][asked], enough)
             else:
-                bar = best["floor"]
+                bar = best["floor"][asked]
             q, r = np.nonzero(scores >= bar[:, None])
-            keep_q = np.concatenate([best["q"], q])
+            keep_q = np.concatenate([best["q"], asked[q]])
             keep_s = np.concatenate([best["s"], scores[q, r]])
             found = names[at:at + step][r]
             keep_i = found if best["i"] is None else np.concatenate([best["i"], found])
@@ -237,3 +240,75 @@ def search_batch(vectors: DataFrame, queries: DataFrame, n_results: int = 10,
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vector_id"))
     return partial.withColumn("rank", F.row_number().over(best)).filter(
         F.col("rank") <= n_results)
+
+
+def search_grouped(vectors: DataFrame, queries: DataFrame, n_results: int = 10, *, shared_numbers: int = SHARED_NUMBERS,
+                   block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """Like :func:`search_batch`, but a query meets only vectors of its groups.
+
+    ``vectors`` ``(vector_id, embedding, group)``, ``queries`` ``(query_id, embedding, groups)``:
+    ``groups`` lists different numbers. Groups that no query names are not read. A query
+    table that can be shared is, and the vectors are not shuffled. Otherwise the vectors
+    and the queries of a group are split into blocks, so a group of any size is many
+    groups of the shuffle. The driver sees a count for each group.
+    """
+    queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", "groups")
+    each = queries.select("query_id", "embedding", F.explode("groups").alias("group"))
+    asking = {r["group"]: r["n"] for r in each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = vectors.select("vector_id", "embedding", "group").filter(
+        F.col("embedding").isNotNull() & F.col("group").isin(list(asking)))
+    id_type = _arrow_type(found.schema["vector_id"].dataType)
+    query_type = _arrow_type(queries.schema["query_id"].dataType)
+    out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                        T.StructField("vector_id", found.schema["vector_id"].dataType),
+                        T.StructField("score", T.DoubleType())])
+    size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n_queries, width = size[0], max(1, size[1] or 1)
+    start, add, result = _scorer(n_results, id_type)
+
+    if (n_queries * width) + sum(asking.values()) <= shared_numbers:
+        shared = found.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+        def scan(batches):
+            import numpy as np
+            import pyarrow as pa
+            table = shared.value
+            if not len(table):
+                return
+            matrix, best = start(table)
+            lists = table["groups"].combine_chunks()
+            named = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            for batch in batches:
+                group = batch.column(2).to_numpy(zero_copy_only=False)
+                for g in np.unique(group):
+                    part = batch.take(pa.array(np.nonzero(group == g)[0]))
+                    add(matrix, best, part.column(0), part.column(1), owner[named == g])
+            yield from result(table, best).to_batches()
+
+        partial = found.mapInArrow(scan, out)
+    else:
+        per_block = max(1, shared_numbers // width)
+        sizes = [(r["group"], -(-r["n"] // block_vectors), -(-asking[r["group"]] // per_block)) for r in
+                 found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()]
+        blocks = F.broadcast(found.sparkSession.createDataFrame(sizes, "group int, v_blocks long, q_blocks long"))
+
+        def placed(df: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str):
+            return df.join(blocks, "group").withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own))).withColumn(
+                other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_other) - 1))).drop("v_blocks", "q_blocks")
+
+        def pair(of_vectors, of_queries):
+            import pyarrow as pa
+            if not len(of_queries) or not len(of_vectors):
+                return pa.table({"query_id": pa.array([], query_type), "vector_id": pa.array([], id_type),
+                                 "score": pa.array([], pa.float64())})
+            matrix, best = start(of_queries)
+            add(matrix, best, of_vectors["vector_id"].combine_chunks(), of_vectors["embedding"].combine_chunks())
+            return result(of_queries, best)
+
+        partial = (placed(found, "vector_id", "_v", "v_blocks", "_q", "q_blocks").groupBy("group", "_v", "_q")
+                   .cogroup(placed(each, "query_id", "_q", "q_blocks", "_v", "v_blocks").groupBy("group", "_v", "_q"))
+                   .applyInArrow(pair, out))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vector_id"))
+    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n_results)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from joblode import constants as K
 from joblode.functions.dates import moment
-from joblode.operators.ann import Planes, cell_of
+from joblode.operators.ann import Planes, cell_of, layout_of
 from joblode.operators.keys import first_by, fits_broadcast, unknown_rows
 from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
 from joblode.session import stage
@@ -303,8 +303,8 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
     Pass ``unique`` if ``rows`` holds each vector id once, as the vectors of
     distinct postings do; otherwise the last row of each id by ``arrival`` is
     kept, and of rows that arrived together the first by document and embedding.
-    Folders are hashes of the job id or, with ``planes``, cells that a search can
-    be pruned to. Their number is chosen at the first load, by its size unless
+    Folders are hashes of the job id or, with ``planes`` (hyperplanes or trained
+    cells), cells that a search can be pruned to. Their number is chosen at the first load, by its size unless
     ``buckets`` names it, and kept in the table's layout; another layout later is
     an error. Folders in which a vector is replaced are written anew with what else
     they hold; to others the new rows are added. The table is the old one until the
@@ -315,7 +315,7 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
     with stage(rows.select(*VECTOR_SCHEMA.names), "vectors") as staged_rows:
         stored, sent = read_vectors(spark, path), staged_rows.count()
         layout = (_layout(stored, "hash", buckets, sent) if planes is None else
-                  _layout(stored, "cell", 1 << len(planes), sent))
+                  _layout(stored, *layout_of(planes), sent))
         hashed = F.pmod(F.xxhash64("job_id"), F.lit(int(layout.split("-")[1]))).cast("int")
         place = ["layout", "bucket"]
         batch = staged_rows.withColumns({

@@ -8,8 +8,9 @@ from joblode.operators import ann, knn
 from joblode.operators import vectors as V
 from joblode.operators.aggregates import count_rows
 from joblode.operators.embed import embedding_width, hashing_embedder
+from joblode.operators.trained import train_cells
 from joblode.plans.ingest import load_vectors
-from joblode.session import scratch
+from joblode.session import scratch, staged
 from joblode.sources import tables as B
 from workload.registry import case
 from workload.texts import VECTOR_TEXTS
@@ -182,6 +183,54 @@ def _(spark, sf):
         "vector_id", "job_id", "document", "score", "rank")
 
 
+def _trained(spark, rows):
+    """The vectors laid out by cells trained from them, with the cells."""
+    path, rows = scratch(spark, "trained-cells"), staged(rows, "vectors")
+    cells = train_cells(rows)
+    B.upsert_vectors(spark, path, rows, unique=True, planes=cells)
+    return B.read_vectors(spark, path), cells
+
+
+def _recall(stored, cells, asked):
+    """Of each query: the ten nearest, how many of them the search at its default finds, and the rows it reads."""
+    near = ann.search_cells_batch(stored, cells, asked, 10).select("query_id", "vector_id", F.lit(1).alias("hit"))
+    counted = knn.search_batch(stored, asked, 10).join(near, ["query_id", "vector_id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    # A row for each cell.
+    sizes = F.broadcast(stored.groupBy(F.col("bucket").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    read = asked.select("query_id", F.explode(cells.cells_near("embedding")).alias("cell")).join(sizes, "cell").groupBy(
+        "query_id").agg(F.sum("n").alias("rows_read"))
+    every = stored.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.join(read, "query_id").join(F.broadcast(every)).select("query_id", "exact", "found", "rows_read", "rows")
+
+
+@case("trained_recall")
+def _(spark, sf):
+    """Over the given vectors, which are close to random: every fiftieth against all."""
+    stored, cells = _trained(spark, vectors(spark, sf))
+    return _recall(stored, cells, _queries(spark, sf).filter("query_id % 50 = 0"))
+
+
+@case("trained_recall_text")
+def _(spark, sf):
+    """Over the hashed words of all documents: every fiftieth against all."""
+    made = hashing_embedder(WIDTH)(table(spark, sf, "documents", heavy=True).select(
+        F.col("doc_id").cast("string").alias("vector_id"), F.col("doc_id").cast("string").alias("job_id"),
+        F.lit("full").alias("type"), F.lit(None).cast("string").alias("field"), F.col("text").alias("document"),
+        F.create_map(F.lit("lang"), F.col("lang")).alias("metadata")))
+    stored, cells = _trained(spark, made)
+    asked = stored.withColumn("query_id", F.col("vector_id").cast("long")).filter("query_id % 50 = 0")
+    return _recall(stored, cells, asked.select("query_id", "embedding"))
+
+
+@case("trained_all_cells", _BATCH)
+def _(spark, sf):
+    """With every cell in reach the search by blocks of cells is exact."""
+    stored, cells = _trained(spark, vectors(spark, sf))
+    return ann.search_cells_batch(stored, cells, _queries(spark, sf), 5, flips=len(cells), shared_numbers=1 << 13,
+                                  block_vectors=1 << 6)
+
+
 _QUERY = "Senior python backend sql react developer, DevOps in en"
 _SEMANTIC = f"""WITH {JOBS}, {VECTOR_TEXTS}, texts AS (SELECT vector_id, document FROM vector_texts
     UNION ALL SELECT '?', '{_QUERY}'), {sql_hashed('texts', 'vector_id')},
