@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from html.entities import name2codepoint
 
@@ -49,12 +50,20 @@ def inner(html: Column, css: Css) -> Column:
     every ``<`` and the depth followed over the pieces to the closing tag.
     """
     rest = F.get(F.split(html, f"(?i){css.opening()}", 2), 1)
+    return let(rest, lambda text: _to_closing(text, lambda piece: piece.rlike(rf"(?i)^{css.tag}\b"),
+                                              lambda piece: piece.rlike(rf"(?i)^/{css.tag}\b")))
 
+
+def _to_closing(text: Column, opens: Callable[[Column], Column], closes: Callable[[Column], Column]) -> Column:
+    """What stands before the closing tag of an element whose opening tag lies before ``text``.
+
+    ``opens`` and ``closes`` tell from what follows a ``<`` whether it is a tag of the element's
+    name. An element that is not closed ends with the text.
+    """
     def walk(acc: Column, piece: Column) -> Column:
         # The first piece (nothing counted yet) is text before any tag.
-        step = (F.when(acc["chars"] < 0, F.lit(0))
-                .when(piece.rlike(rf"(?i)^/{css.tag}\b"), F.lit(-1))
-                .when(piece.rlike(rf"(?i)^{css.tag}\b"), F.lit(1)).otherwise(F.lit(0)))
+        step = (F.when(acc["chars"] < 0, F.lit(0)).when(closes(piece), F.lit(-1))
+                .when(opens(piece), F.lit(1)).otherwise(F.lit(0)))
         depth = acc["depth"] + step
         more = F.when(depth > 0, F.length(piece) + 1).otherwise(F.lit(0))
         return F.when(acc["depth"] > 0, F.struct(depth.alias("depth"),
@@ -62,19 +71,32 @@ def inner(html: Column, css: Css) -> Column:
                       ).otherwise(acc)
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(-1).alias("chars"))
-
-    def cut(text: Column) -> Column:
-        chars = F.aggregate(F.split(text, "<"), start, walk, lambda acc: acc["chars"])
-        return F.substring(text, F.lit(1), chars)
-
-    return let(rest, cut)
+    chars = F.aggregate(F.split(text, "<"), start, walk, lambda acc: acc["chars"])
+    return F.substring(text, F.lit(1), chars)
 
 
 def short_inner(html: Column, *choices: Css) -> Column:
-    """Like :func:`inner` for elements that hold none of their own tag; any tag may be chosen."""
+    """Like :func:`inner` where any tag may be chosen, for elements that are mostly short.
+
+    The next closing tag of the element's name ends it. Only if another tag of that name
+    opens before, the depth is followed. An element that is never closed is empty.
+    """
     pattern = "|".join(c.opening() for c in choices)
+    tag = opening_tag(html, *choices)
     body = F.regexp_extract(html, rf"(?is)(?={pattern})<([a-z][\w-]*)[^>]*>(.*?)</\1\s*>", 2)
-    return F.when(opening_tag(html, *choices).isNotNull(), body)
+    name = F.lower(F.regexp_extract(tag, r"^<([A-Za-z][\w-]*)", 1))
+
+    def named(piece: Column, slash: str, name: Column) -> Column:
+        return F.lower(F.regexp_extract(piece, rf"^{slash}([A-Za-z][\w-]*)", 1)) == name
+
+    def whole(found: Column) -> Column:
+        rest = F.struct(F.get(F.split(html, f"(?i){pattern}", 2), 1).alias("text"), found["name"].alias("name"))
+        walked = let(rest, lambda r: _to_closing(r["text"], lambda piece: named(piece, "", r["name"]),
+                                                 lambda piece: named(piece, "/", r["name"])))
+        nests = F.contains(F.lower(found["body"]), F.concat(F.lit("<"), found["name"]))
+        return F.when(nests, walked).otherwise(found["body"])
+
+    return F.when(tag.isNotNull(), let(F.struct(body.alias("body"), name.alias("name")), whole))
 
 
 # Names of characters in HTML, from the standard library; the apostrophe came later than the list.

@@ -10,6 +10,7 @@ from joblode.functions.dates import parse_posted_date
 from joblode.functions.html import Css, attribute, inner, opening_tag, short_inner, visible_text
 from joblode.functions.text import job_id, let, nonempty, without_query
 from joblode.operators.keys import BROADCAST_ROWS, first_by, take_first
+from joblode.session import staged
 
 # Where a results page and a posting page hold their parts.
 CARD_LIST = Css("ul", "jobs-search__results-list")
@@ -94,14 +95,55 @@ def page_rule(cards: DataFrame, max_pages: int = K.MAX_PAGES,
     """
     pages = (cards.filter(F.col("page") < max_pages).groupBy("keyword_ord", "page")
              .agg(F.count(F.lit(1)).alias("_cards")))
+    opened = _few(_opened(pages, min_cards), max_pages, n_keywords)
+    return cards.join(opened, ["keyword_ord", "page"], "left_semi")
+
+
+def _opened(pages: DataFrame, min_cards: int) -> DataFrame:
+    """Pages that are reached, of pages with their number of ``_cards``."""
     earlier = (Window.partitionBy("keyword_ord").orderBy("page")
                .rowsBetween(Window.unboundedPreceding, -1))
     full_before = F.count(F.when(F.col("_cards") >= min_cards, 1)).over(earlier)
-    opened = pages.withColumn("_full", full_before).filter(
+    return pages.withColumn("_full", full_before).filter(
         F.col("_full") == F.col("page")).select("keyword_ord", "page")
-    if n_keywords is not None and n_keywords * max_pages <= BROADCAST_ROWS:
-        opened = F.broadcast(opened)
-    return cards.join(opened, ["keyword_ord", "page"], "left_semi")
+
+
+def _few(pages: DataFrame, max_pages: int, n_keywords: int | None) -> DataFrame:
+    """Marked to be broadcast if the keywords are known to be few."""
+    known = n_keywords is not None and n_keywords * max_pages <= BROADCAST_ROWS
+    return F.broadcast(pages) if known else pages
+
+
+def page_rule_in_turn(cards: DataFrame, max_pages: int = K.MAX_PAGES, min_cards: int = K.MIN_PAGE_CARDS,
+                      n_keywords: int | None = None) -> DataFrame:
+    """Like :func:`page_rule`, as if the keywords were browsed one after another.
+
+    A card whose posting was on an opened page of an earlier keyword does not count
+    towards ``min_cards``. What a keyword opens depends on earlier ones alone, so one
+    set of pages agrees with itself: the rule is applied again, to the counts that the
+    last set leaves, until the set stays. Each round settles one more keyword at the
+    least, mostly all of them in two or three. A round handles a row per posting, keyword and
+    page, so that a posting that fills the pages is a few rows.
+    """
+    shown = staged(cards.filter(F.col("page") < max_pages).groupBy("id", "keyword_ord", "page").agg(
+        F.count(F.lit(1)).alias("_n")), "cards-by-page")
+
+    def again(opened: DataFrame | None) -> DataFrame:
+        left = shown.withColumn("_taken", F.lit(False))
+        if opened is not None:
+            taken = _few(opened.withColumn("_open", F.lit(True)), max_pages, n_keywords)
+            first = F.min(F.when(F.col("_open"), F.col("keyword_ord"))).over(Window.partitionBy("id"))
+            left = shown.join(taken, ["keyword_ord", "page"], "left").withColumn("_by", first).withColumn(
+                "_taken", F.coalesce(F.col("_by") < F.col("keyword_ord"), F.lit(False)))
+        pages = left.groupBy("keyword_ord", "page").agg(
+            F.sum(F.when(F.col("_taken"), 0).otherwise(F.col("_n"))).alias("_cards"))
+        return staged(_opened(pages, min_cards), "opened-pages")
+
+    opened, changed = again(None), True
+    while changed:
+        last, opened = opened, again(opened)
+        changed = not last.unionAll(opened).groupBy("keyword_ord", "page").count().filter("count <> 2").isEmpty()
+    return cards.join(_few(opened, max_pages, n_keywords), ["keyword_ord", "page"], "left_semi")
 
 
 def first_seen(cards: DataFrame) -> DataFrame:

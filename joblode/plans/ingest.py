@@ -14,8 +14,8 @@ from joblode import constants as K
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.embed import Embedder
 from joblode.operators.extract import SKILLS, extract, job_rows
-from joblode.operators.harvest import (ARRIVAL, daily_quota, first_seen, page_rule, read_cards,
-                                       read_details)
+from joblode.operators.harvest import (ARRIVAL, daily_quota, first_seen, page_rule, page_rule_in_turn,
+                                       read_cards, read_details)
 from joblode.operators.keys import BROADCAST_ROWS, first_by, fits_broadcast, rows_with_ids, unknown_rows
 from joblode.operators.vectors import build_vectors, missing_vectors
 from joblode.schemas import EXTRACTED_SCHEMA, STUB_SCHEMA
@@ -25,20 +25,21 @@ from joblode.sources.tables import (LoadCounts, insert_jobs, pending_vectors, re
                                     upsert_vectors)
 
 
-def new_stubs(pages: DataFrame, jobs: DataFrame, n_keywords: int | None = None) -> DataFrame:
+def new_stubs(pages: DataFrame, jobs: DataFrame, n_keywords: int | None = None, in_turn: bool = False) -> DataFrame:
     """Stubs on result pages whose job is not stored, one per job, by the page rule.
 
     Cards are counted against the stored ids alone, so keywords need not run one
-    after the other. The narrow cards are written once: the page rule goes over
-    them twice and would parse the pages again.
+    after the other; with ``in_turn`` against those of earlier keywords too. The
+    narrow cards are written once: the page rule goes over them twice and would
+    parse the pages again.
     """
     cards = staged(read_cards(pages), "cards")
     new = unknown_rows(cards, jobs, small_batch=fits_broadcast(cards))
-    return first_seen(page_rule(new, n_keywords=n_keywords))
+    return first_seen((page_rule_in_turn if in_turn else page_rule)(new, n_keywords=n_keywords))
 
 
 def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: datetime,
-            target: int = K.DAILY_TARGET, n_keywords: int | None = None) -> DataFrame:
+            target: int = K.DAILY_TARGET, n_keywords: int | None = None, in_turn: bool = False) -> DataFrame:
     """Stubs with description and date, up to what the day's target leaves room for.
 
     ``pages`` are result pages with ``keyword, keyword_ord, page, html``,
@@ -49,7 +50,7 @@ def harvest(pages: DataFrame, details: DataFrame, jobs: DataFrame, as_of: dateti
     done = count_jobs_on(jobs, as_of.date()).first()["n"]
     if done >= target:
         return pages.sparkSession.createDataFrame([], STUB_SCHEMA)
-    kept = staged(daily_quota(new_stubs(pages, jobs, n_keywords), done, target), "stubs")
+    kept = staged(daily_quota(new_stubs(pages, jobs, n_keywords, in_turn), done, target), "stubs")
     ids = kept.select("id")
     if target - done <= BROADCAST_ROWS:  # no more rows than the quota leaves
         ids = F.broadcast(ids)
@@ -114,7 +115,7 @@ class RunCounts:
 def run_all(spark: SparkSession, pages: DataFrame, details: DataFrame, jobs_path: str,
             vectors_path: str, *, as_of: datetime | None = None,
             target: int = K.DAILY_TARGET, model: Callable[[str, str], str] | None = None,
-            embedder: Embedder | None = None, n_keywords: int | None = None,
+            embedder: Embedder | None = None, n_keywords: int | None = None, in_turn: bool = False,
             stages: str | None = None, run_id: str = "run", skills: Sequence[str] = SKILLS) -> RunCounts:
     """All stages in order; scratch copies go when the run ends.
 
@@ -133,7 +134,7 @@ def run_all(spark: SparkSession, pages: DataFrame, details: DataFrame, jobs_path
 
     with scratch_scope(spark):
         stubs = handed("stubs", STUB_SCHEMA, lambda: harvest(
-            pages, details, read_jobs(spark, jobs_path), as_of, target, n_keywords))
+            pages, details, read_jobs(spark, jobs_path), as_of, target, n_keywords, in_turn))
         rows = handed("extracted", EXTRACTED_SCHEMA, lambda: run_extract(stubs, model, skills=skills))
         rows = staged(rows, "extracted")
         loaded = load_jobs(spark, jobs_path, rows, as_of)

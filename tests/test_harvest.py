@@ -1,9 +1,11 @@
+import random
 from datetime import date, datetime
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from joblode import constants as K
-from joblode.functions.html import attribute, visible_text
+from joblode.functions.html import Css, attribute, short_inner, visible_text
 from joblode.operators import harvest as H
 from joblode.plans import ingest as P
 from joblode.session import shared_dir
@@ -81,6 +83,82 @@ def test_page_rule(spark):
     assert kept(4) == set() and kept(0) == set() and kept(5) == {"b"} and kept(5, 1) == {"b"}
 
 
+def loop(rows, max_pages=2, least=5):
+    """The rule as a loop over keywords and pages."""
+    seen, opened = set(), set()
+    for k in sorted({r[1] for r in rows}):
+        ids = set()
+        for p in range(max_pages):
+            fresh = [r[0] for r in rows if r[1] == k and r[2] == p and r[0] not in seen]
+            opened.add((k, p))
+            ids |= set(fresh)
+            if len(fresh) < least:
+                break
+        seen |= ids
+    return {tuple(r) for r in rows if (r[1], r[2]) in opened}
+
+
+def test_page_rule_in_turn(spark):
+    draw = random.Random(3)
+    for n_ids, n_keywords, n_pages in ((25, 8, 2), (40, 6, 3), (12, 10, 2), (1, 4, 2)):
+        rows = [(f"j{draw.randrange(n_ids)}", draw.randrange(n_keywords), draw.randrange(n_pages + 1), i)
+                for i in range(9 * n_keywords * n_pages)]
+        rows += [("hot", i % n_keywords, 0, 1000 + i) for i in range(len(rows) // 2)]  # a third of the cards
+        found = H.page_rule_in_turn(cards(spark, rows), n_pages, 5, n_keywords=n_keywords)
+        assert {tuple(r) for r in found.select("id", "keyword_ord", "page", "position").collect()} == loop(rows, n_pages)
+    # A chain: whether a keyword opens its second page turns on whether the one before it did.
+    chain = []
+    for k in range(7):
+        chain += [(f"{k}-{i}", k, 0, i) for i in range(3)] + [(f"{k - 1}-x{i}", k, 0, 3 + i) for i in range(2)]
+        chain += [(f"{k}-x{i}", k, 1, 10 + i) for i in range(2)]
+    found = H.page_rule_in_turn(cards(spark, chain)).select("keyword_ord").filter("page = 1").distinct()
+    assert {r[0] for r in found.collect()} == {r[1] for r in loop(chain) if r[2] == 1} == {0, 2, 4, 6}
+    assert H.page_rule_in_turn(cards(spark, chain).limit(0)).count() == 0
+
+
+class Inside(HTMLParser):
+    """Text of the first element of a class, by depth."""
+
+    def __init__(self, cls):
+        super().__init__()
+        self.cls, self.name, self.depth, self.text = cls, None, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if self.name is None and self.cls in (dict(attrs).get("class") or "").split():
+            self.name, self.depth = tag, 1
+        elif tag == self.name and self.depth:
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        if tag == self.name and self.depth:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if self.depth:
+            self.text.append(data)
+
+
+def test_elements_of_any_tag_nest(spark):
+    draw = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return f" w{draw.randrange(99)} "
+        tag = draw.choice(["span", "SPAN", "b", "spanner", "s"])
+        return f"<{tag} id='q'>" + "".join(tree(depth - 1) for _ in range(draw.randrange(3))) + f"</{tag.lower()}>"
+
+    htmls = [f"<div>{tree(2)}<{t} class='a x'>{''.join(tree(4) for _ in range(3))}</{t} >{tree(2)}</div>{tree(3)}"
+             for t in ("span", "b", "Span", "s", "spanner") for _ in range(12)]
+    htmls += ["<b>no</b>", "<span class='x'>open", "<span class='x'></span>after", "", None]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in htmls], "h string").select(
+        visible_text(short_inner(F.col("h"), Css("[a-z][a-z0-9]*", "x")))).collect()]
+    for html, text in zip(htmls[:-5], got):
+        parser = Inside("x")
+        parser.feed(html)
+        assert text == " ".join("".join(parser.text).split()), html
+    assert got[-5:] == [None, "", "", None, None]
+
+
 def test_quota(spark):
     five = cards(spark, [(str(i), i, 0, 0) for i in range(5)])
     assert [r["id"] for r in H.daily_quota(five, 48, 50).orderBy("id").collect()] == ["0", "1"]

@@ -92,6 +92,27 @@ def _(spark, sf):
         "id", "keyword_ord", "page", "position")
 
 
+def _in_turn() -> str:
+    """One keyword after another: does it open its second page, and what has been taken then."""
+    steps = ["least AS (SELECT count(*) // 18 AS n FROM documents)", "t0 AS MATERIALIZED (SELECT id FROM cards WHERE false)"]
+    for k in range(N_KEYWORDS):
+        steps.append(f"""o{k} AS MATERIALIZED (SELECT {k} AS keyword_ord, count(*) >= any_value(least.n) AS more
+  FROM cards, least WHERE keyword_ord = {k} AND page = 0 AND id NOT IN (SELECT id FROM t{k}))""")
+        steps.append(f"""t{k + 1} AS MATERIALIZED (SELECT id FROM t{k} UNION SELECT id FROM cards, o{k}
+  WHERE cards.keyword_ord = {k} AND (page = 0 OR (page = 1 AND more)))""")
+    opened = " UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(N_KEYWORDS))
+    return ", ".join([*steps, f"opened AS ({opened})"])
+
+
+@case("page_rule_in_turn", f"""WITH {CARDS}, {_in_turn()} SELECT id, cards.keyword_ord, page, position
+  FROM cards JOIN opened ON opened.keyword_ord = cards.keyword_ord WHERE page = 0 OR (page = 1 AND more)""")
+def _(spark, sf):
+    """Second pages open for keywords that show many postings no earlier keyword took."""
+    least = table(spark, sf, "documents").count() // 18
+    return H.page_rule_in_turn(cards(spark, sf), min_cards=least, n_keywords=N_KEYWORDS).select(
+        "id", "keyword_ord", "page", "position")
+
+
 @case("harvest_stats", f"""WITH {CARDS}, {_FIRST}, c AS (SELECT keyword, count(*) AS cards,
     count(*) AS fetched, avg(n_chars / 1000.0) AS avg_seconds FROM cards GROUP BY keyword),
   n AS (SELECT keyword, count(*) AS n FROM first GROUP BY keyword)
