@@ -25,32 +25,56 @@ from pyspark.sql import functions as F
 from joblode.llm.registry import case, documents
 from joblode.session import staged
 
-# Bytes of a string that count for its order: as many as a double holds exactly.
-ORDER_BYTES = 6
+# A string dimension stays a string; all others are ordered as doubles.
 
 
-def ordered_number(df: DataFrame, column: str) -> Column:
-    """A double in the order of the column's values; strings by their first bytes."""
+def ordered_value(df: DataFrame, column: str) -> Column:
+    """The column as it is ordered: strings by their bytes, others by their number."""
     kind = dict(df.dtypes)[column]
     if kind == "string":
-        digits = F.substring(F.hex(F.encode(column, "UTF-8")), 1, 2 * ORDER_BYTES)
-        return F.conv(F.rpad(digits, 2 * ORDER_BYTES, "0"), 16, 10).cast("double")
+        return F.col(column)
     if kind in ("timestamp", "date"):
         return F.col(column).cast("timestamp").cast("double")
     return F.col(column).cast("double")
 
 
+def string_cuts(df: DataFrame, dim: str, bits: int) -> list[tuple[str, int]]:
+    """(value, by how much the bucket grows there): fewer than 2**bits, from the exact ranks of all rows.
+
+    Values are counted, dealt by ranges and summed up there, each range adding the rows of the
+    ranges before it; only the values at which a bucket begins come to the driver.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(dim).isNotNull()).groupBy(dim).agg(F.count("*").alias("_n"))
+    placed = staged(counts.repartitionByRange(ranges, dim).withColumn("_part", F.spark_partition_id()), "curve-values")
+    # One row per range: few enough for one task.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    starts = totals.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    total = totals.agg(F.sum("_rows")).first()[0] or 1
+    own = Window.partitionBy("_part").orderBy(dim)
+    through = placed.join(F.broadcast(starts), "_part").withColumn("_to", F.col("_start") + F.sum("_n").over(own))
+
+    def level(rows: Column) -> Column:
+        return F.least(F.floor(rows * F.lit(2**bits) / F.lit(total)), F.lit(2**bits - 1))
+
+    grown = through.select(dim, (level(F.col("_to")) - level(F.col("_to") - F.col("_n"))).cast("int").alias("grown"))
+    return sorted((r[0], r[1]) for r in grown.filter("grown > 0").collect())
+
+
 def cells(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """``df`` with each dimension (a double) replaced by its bucket, 0 to 2**bits - 1.
+    """``df`` with each dimension (a double or a string) replaced by its bucket, 0 to 2**bits - 1.
 
-    The cut points are quantiles of all rows: fewer than 2**bits numbers for each dimension.
+    The cut points are quantiles of all rows: fewer than 2**bits values for each dimension.
     """
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(d, shares, 10_000).alias(d) for d in dims]).first()
+    strings = [d for d in dims if dict(df.dtypes)[d] == "string"]
+    numbers = [F.percentile_approx(d, shares, 10_000).alias(d) for d in dims if d not in strings]
+    cuts = df.agg(*numbers).first().asDict() if numbers else {}
     for d in dims:
         # A value that many rows have is a cut point several times: it takes as much of the axis.
-        points = Counter(c for c in cuts[d] or [] if c == c)
-        over = [F.when(F.col(d) >= F.lit(c), n).otherwise(0) for c, n in sorted(points.items())]
+        points = string_cuts(df, d, bits) if d in strings else sorted(Counter(c for c in cuts[d] or [] if c == c).items())
+        over = [F.when(F.col(d) >= F.lit(c), n).otherwise(0) for c, n in points]
         df = df.withColumn(d, reduce(lambda a, b: a + b, over, F.lit(0)))
     return df
 
@@ -127,7 +151,7 @@ def curve_shards(docs: DataFrame, dims: list[str], shards: int, bits: int = 5, i
     own = [F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
            F.crc32(text).alias("text_crc32")]
     names = [f"_dim{n}" for n in range(len(dims))]
-    values = [ordered_number(docs, d).alias(n) if d != "size" else
+    values = [ordered_value(docs, d).alias(n) if d != "size" else
               (F.octet_length(text) + 8).cast("double").alias(n) for d, n in zip(dims, names)]
     rows = staged(docs.select(*own, *values), "curve-rows")  # texts are read once
     rows = hilbert_index(cells(rows, names, bits), names, bits, "curve")

@@ -56,3 +56,19 @@ def test_shards_can_be_skipped(spark, tmp_path):
     # A reader of one language skips most shards, and so does one of short texts.
     assert sum("de" in r.langs for r in spans) <= 12
     assert sum(r.low <= 300 for r in spans) <= 20
+
+
+def test_strings_are_cut_by_rank(spark):
+    """Values that differ after a long common prefix are told apart, a hot one takes its share of the axis."""
+    values = [f"https://example.org/a/very/long/prefix/{i % 61:03d}" for i in range(700)] + ["hot"] * 350 + [None] * 9 + ["é", "z" * 5000]
+    df = spark.createDataFrame([(v, v) for v in values], "d string, given string").repartition(7)
+    got = [(r.given, r.d) for r in curve.cells(df, ["d"], 4).collect()]
+    known = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+    through = {v.encode(): n for n, v in enumerate(known, 1)}
+    want = {v: min(15, through[v.encode()] * 16 // len(known)) for v in known}
+    assert all(bucket == (0 if v is None else want[v]) for v, bucket in got)
+    assert len({b for v, b in got if v and v.startswith("https")}) >= 10
+    sharded = curve.curve_shards(df.withColumn("doc_id", F.monotonically_increasing_id()).withColumnRenamed("given", "text"),
+                                 ["d"], 6, bits=4).collect()
+    law(sharded, 6)
+    assert curve.string_cuts(df.filter("d IS NULL"), "d", 3) == [] == curve.string_cuts(df.limit(0), "d", 3)
