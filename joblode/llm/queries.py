@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from joblode.llm import (audit, curve, dualtree, exact, idfiles, licenses, metric, neardup, packing, pii,  # noqa: F401
+from joblode.llm import (audit, bases, curve, dualtree, exact, idfiles, licenses, metric, neardup, packing, pii,  # noqa: F401
                          quality, ratio, tokens)
 from joblode.llm.registry import ORACLE, QUERIES  # noqa: F401
 
