@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +39,23 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
+    """The folder all executors see: ``spark.checkpoint.dir``, else one beside the warehouse's tables.
+
+    On a cluster a warehouse on the driver's own disk is refused: executors would not find its files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and (urlsplit(warehouse).scheme or "file") == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors see; {warehouse} is local")
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/joblode/{name}-{uuid.uuid4().hex}"
-    files, place = _file(spark, path)
+    files, place = file_at(spark, path)
     files.deleteOnExit(place)
     if _SCOPES:
         _SCOPES[-1].append(path)
@@ -65,11 +74,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, place = _file(spark, path)
+    files, place = file_at(spark, path)
     files.delete(place, True)
 
 
-def _file(spark: SparkSession, path: str):
+def file_at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 

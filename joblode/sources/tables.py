@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -31,6 +31,7 @@ from joblode.operators.ann import Planes, cell_of, layout_of
 from joblode.operators.keys import first_by, fits_broadcast, unknown_rows
 from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
 from joblode.session import stage
+from joblode.sources.idindex import add_to_index, index_buckets, stored_among
 
 _JOBS_LAYOUT = T.StructType([*JOBS_SCHEMA.fields, T.StructField("scraped_on", T.DateType())])
 _VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("layout", T.StringType()),
@@ -153,22 +154,32 @@ def new_jobs(incoming: DataFrame, jobs: DataFrame, arrival: Sequence[str] = (),
 
 
 def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
-                as_of: datetime | str | Column, arrival: Sequence[str] = (), pending: bool = False) -> LoadCounts:
+                as_of: datetime | str | Column, arrival: Sequence[str] = (), pending: bool = False,
+                by_index: bool | None = None) -> LoadCounts:
     """Append postings whose id is not stored yet.
 
     The batch is staged first, so that extraction and load time are computed
     once and a repeat after a failure sees the same rows. ``pending`` logs the batch's ids
-    before, for :func:`pending_vectors`.
+    before, for :func:`pending_vectors`. If the table has an index of its ids
+    (:func:`joblode.sources.idindex.build_index`), a batch too large to broadcast (any batch, with
+    ``by_index``) reads only the folders that may hold one of its ids, and new rows are indexed
+    before they are appended.
     """
-    with stage(conform_jobs(incoming, as_of, arrival), "jobs") as batch:
+    with ExitStack() as steps:
+        batch = steps.enter_context(stage(conform_jobs(incoming, as_of, arrival), "jobs"))
         if pending:
             _log_pending(spark, path, batch)
-        fresh = new_jobs(batch, read_jobs(spark, path), arrival,
-                         small_batch=fits_broadcast(batch))
+        stored, small = read_jobs(spark, path), fits_broadcast(batch)
+        indexed = index_buckets(spark, path) is not None
+        if indexed and (by_index or by_index is None and not small):
+            stored = steps.enter_context(stored_among(spark, path, batch, stored))
+        fresh = new_jobs(batch, stored, arrival, small_batch=small).select(
+            *JOBS_SCHEMA.names, F.to_date("scraped_at").alias("scraped_on"))
+        if indexed:
+            fresh = steps.enter_context(stage(fresh, "fresh"))
+            add_to_index(spark, path, fresh)
         seen = Observation()
-        rows = fresh.select(*JOBS_SCHEMA.names,
-                            F.to_date("scraped_at").alias("scraped_on")).hint(
-            "rebalance", "scraped_on").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = fresh.hint("rebalance", "scraped_on").observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("append").partitionBy("scraped_on").parquet(path)
         return LoadCounts(sent=batch.count(), inserted=seen.get["n"])
 

@@ -16,6 +16,7 @@ from joblode.session import scratch
 from joblode.sources import frontier as R
 from joblode.sources import stages as G
 from joblode.sources import tables as B
+from joblode.sources.idindex import build_index, read_index
 from workload.registry import case
 from workload.texts import sql_role
 from workload.views import (CARDS, DETAILS, JOBS, STUBS, cards, jobs, posting_page_html, q,
@@ -162,6 +163,27 @@ def _(spark, sf):
     return B.read_jobs(spark, path).select("id", "title", "keyword", F.col("scraped_on").alias("day"))
 
 
+@case("insert_indexed", f"""WITH {JOBS}, {_INCOMING},
+  old AS (SELECT id, title, keyword, CAST(scraped_at AS DATE) AS day FROM jobs
+    WHERE id IN (SELECT id FROM stored)),
+  new AS (SELECT id, title, keyword, CAST(scraped_at AS DATE) AS day FROM incoming
+    WHERE id NOT IN (SELECT id FROM stored)),
+  loaded AS (SELECT id, title, keyword, coalesce(day, DATE '2024-03-10') AS day FROM (
+    SELECT * FROM old UNION ALL SELECT * FROM new))
+  SELECT *, 1 AS times_indexed FROM loaded""")
+def _(spark, sf):
+    """The same loads, looked up in an index of the ids; also how often each posting is indexed."""
+    path = scratch(spark, "jobs-table")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    B.insert_jobs(spark, path, jobs(spark, sf).join(labels, "id", "left_semi"), as_of=NOW)
+    build_index(spark, path, B.read_jobs(spark, path))
+    for _ in range(2):  # delivered twice, as after a failure
+        B.insert_jobs(spark, path, _incoming(spark, sf), as_of=NOW, arrival=("keyword", "seen"), by_index=True)
+    loaded = B.read_jobs(spark, path).select("id", "title", "keyword", F.col("scraped_on").alias("day"))
+    times = read_index(spark, path).groupBy("hash").agg(F.count(F.lit(1)).alias("times_indexed"))
+    return loaded.join(times, F.xxhash64("id") == F.col("hash"), "left").drop("hash")
+
+
 @case("load_counters", f"""WITH {JOBS}, {_INCOMING} SELECT (SELECT count(*) FROM jobs) AS sent,
   (SELECT count(*) FROM incoming) AS inserted""")
 def _(spark, sf):
