@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 HIT_COLUMNS = ("id", "title", "company", "role", "location", "url")
 
 
-def like_anywhere(column: str, text: str) -> Column:
-    """Case-blind substring; ``%`` and ``_`` in ``text`` act as wildcards.
+def like_pattern(text: str) -> str:
+    """The lower-cased LIKE pattern of a substring; ``%`` and ``_`` in ``text`` act as wildcards.
 
     A backslash before an ordinary character stands for that character.
     """
-    pattern = re.sub(r"\\(.)", lambda m: m[0] if m[1] in r"%_\\" else m[1], f"%{text}%",
-                     flags=re.S)
-    return F.lower(F.col(column)).like(pattern.lower())
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in r"%_\\" else m[1], f"%{text}%", flags=re.S).lower()
+
+
+def like_anywhere(column: str, text: str) -> Column:
+    """Case-blind substring, see :func:`like_pattern`."""
+    return F.lower(F.col(column)).like(like_pattern(text))
 
 
 def any_word(column: str, words: str) -> Column:

@@ -7,10 +7,13 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from joblode.operators import aggregates as A
-from joblode.operators.criteria import search_jobs_by_criteria
+from joblode.operators.criteria import HIT_COLUMNS, any_word, like_anywhere, search_jobs_by_criteria
 from joblode.operators.keys import rows_with_ids
 from joblode.plans.tools import TOOLS, get_job_details
 from joblode.schemas import STAGED_COLUMNS
+from joblode.session import scratch
+from joblode.sources import tables as B
+from joblode.sources.grams import read_jobs_like, refresh_grams
 from workload.registry import case
 from workload.views import JOBS, joined, jobs, sql_joined, table
 
@@ -86,6 +89,18 @@ def _(spark, sf):
     return search_jobs_by_criteria(jobs(spark, sf), company="AcmeXYZCorp999", max_experience=47)
 
 
+@case("criteria_pruned", f"""WITH {JOBS} {_HITS} WHERE lower(company) LIKE '%s_c1%'
+  AND (lower(title) LIKE '%data%' OR lower(title) LIKE '%lead%')""")
+def _(spark, sf):
+    """All postings of a stored table that meet two filters, read from the files that may hold one."""
+    path = scratch(spark, "jobs-table")
+    B.insert_jobs(spark, path, jobs(spark, sf), as_of="2024-03-10 02:00:00")
+    stored = B.read_jobs(spark, path)
+    refresh_grams(spark, path, stored)
+    some = read_jobs_like(spark, path, stored, company="S_C1", title=["data", "lead"])
+    return some.filter(like_anywhere("company", "S_C1") & any_word("title", "data lead")).select(*HIT_COLUMNS)
+
+
 @case("job_details", f"""WITH {JOBS}, hits AS ({_WANTED})
   SELECT id, title, role, seniority, company, location, url, description, yearsexperience, keyword,
     source, posted_at, scraped_at, {', '.join(map(sql_joined, LISTS))}
