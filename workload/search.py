@@ -170,9 +170,9 @@ def _sql_cell(vector: str) -> str:
 def _(spark, sf):
     """How many of the exact ten nearest the pruned search finds, for every fiftieth vector."""
     cells, asked = _cells(spark, sf), _queries(spark, sf).filter("query_id % 50 = 0")
-    exact = knn.search_batch(cells, asked, 10).select("query_id", "vector_id")
-    near = ann.search_cells_batch(cells, PLANES, asked, 10, flips=4).select("query_id", "vector_id", F.lit(1).alias("hit"))
-    return exact.join(near, ["query_id", "vector_id"], "left").groupBy("query_id").agg(
+    exact = staged(knn.search_batch(cells, asked, 10).select("query_id", "vector_id"), "exact")
+    near = staged(ann.search_cells_batch(cells, PLANES, asked, 10, flips=4).select("query_id", "vector_id"), "near")
+    return exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vector_id"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
 
 
@@ -193,14 +193,16 @@ def _trained(spark, rows):
 
 def _recall(stored, cells, asked):
     """Of each query: the ten nearest, how many of them the search at its default finds, and the rows it reads."""
-    near = ann.search_cells_batch(stored, cells, asked, 10).select("query_id", "vector_id", F.lit(1).alias("hit"))
-    counted = knn.search_batch(stored, asked, 10).join(near, ["query_id", "vector_id"], "left").groupBy("query_id").agg(
+    # Searches end before what is joined to them begins: a broadcast that waits for one's tasks runs out of time.
+    near = staged(ann.search_cells_batch(stored, cells, asked, 10).select("query_id", "vector_id"), "near")
+    exact = staged(knn.search_batch(stored, asked, 10).select("query_id", "vector_id"), "exact")
+    counted = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vector_id"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
     # A row for each cell.
-    sizes = F.broadcast(stored.groupBy(F.col("bucket").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
-    read = asked.select("query_id", F.explode(cells.cells_near("embedding")).alias("cell")).join(sizes, "cell").groupBy(
-        "query_id").agg(F.sum("n").alias("rows_read"))
-    every = stored.agg(F.count(F.lit(1)).alias("rows"))
+    sizes = staged(stored.groupBy(F.col("bucket").alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    read = staged(asked.select("query_id", F.explode(cells.cells_near("embedding")).alias("cell")).join(
+        F.broadcast(sizes), "cell").groupBy("query_id").agg(F.sum("n").alias("rows_read")), "rows-read")
+    every = sizes.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("rows"))
     return counted.join(read, "query_id").join(F.broadcast(every)).select("query_id", "exact", "found", "rows_read", "rows")
 
 
