@@ -166,3 +166,47 @@ def test_default_flips_reach_nine_of_ten(bits):
     near = (sides[::50, None, :] != sides[None]).sum(axis=2) <= ann.default_flips(bits)
     nearest = np.argsort(-(unit[::50] @ unit.T), axis=1)[:, :10]
     assert np.take_along_axis(near, nearest, axis=1).mean() >= 0.9
+
+
+def test_copies_of_rows_do_not_grow_with_the_table():
+    """Each row goes to so many blocks; the groups stay bounded."""
+    for rows in (10_256, 102_564, 615_384):
+        q, v = knn._block_counts(rows, rows, 64, 1 << 13, 1 << 11, 12)
+        assert q + v <= 20 and q * v >= 12
+        assert max(-(-rows // q), -(-rows // v)) * 64 <= knn.HELD_NUMBERS + 64
+    q, v = knn._block_counts(10**7, 10**7, 64, 1 << 13, 1 << 11, 12)
+    assert max(-(-10**7 // q), -(-10**7 // v)) * 64 <= knn.HELD_NUMBERS + 64
+
+
+@pytest.mark.parametrize("width", [3, 384])
+def test_scorer_is_exact(width):
+    """Close scores, ties, copies, vectors without length and several tiles, against a whole product in double precision."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(width)
+    given = rng.normal(size=(2500, width)).astype(np.float32)
+    given[500:1200] = given[500]
+    given[1200:1900] = given[1200] + rng.normal(size=(700, width)).astype(np.float32) * 1e-3
+    given[7:20] = 0
+    place = rng.permutation(2500)
+
+    def lists(rows):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(rows.ravel()))
+
+    names = np.array([f"v{i:04d}" for i in place])
+    asked = pa.table({"query_id": pa.array(range(2500), pa.int64()), "embedding": lists(given)})
+    whole = np.array([f"v{i:04d}" for i in range(2500)])
+    norms = np.linalg.norm(given.astype(float), axis=1, keepdims=True)
+    unit_ = np.divide(given.astype(float), norms, out=np.zeros((2500, width)), where=norms > 0)
+    for distinct in (False, True):
+        start, add, result = knn._scorer(6, pa.string())
+        best = start(asked, distinct)
+        for at in range(0, 2500, 900):
+            add(best, pa.array(names[at:at + 900]), lists(given[place][at:at + 900]))
+        found = result(asked, best).to_pydict()
+        assert found["query_id"] == sorted(list(range(2500)) * 6)
+        for i in [*range(0, 2500, 101), 7, 8, 500, 501, 1200, 1201]:
+            scores = np.round(unit_ @ unit_[i], 6)
+            order = np.lexsort((whole, -scores))[:6]
+            got = [(found["vector_id"][6 * i + j], found["score"][6 * i + j]) for j in range(6)]
+            assert sorted(got, key=lambda p: (-p[1], p[0])) == [(whole[j], scores[j]) for j in order], i

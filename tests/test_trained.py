@@ -158,3 +158,40 @@ def test_odd_tables(spark, vectors):
     same = train_cells(alike, 8)
     assert same.probes == 1 and len(same) <= 8
     assert len(train_cells(vectors.filter("vector_id = 'v001'"))) >= 1
+
+
+def test_recall_joins_what_is_written(spark, stored, data, cells, plan):
+    """No search runs beside the broadcasts of the joins, which would wait for its tasks and run out of time."""
+    from workload.search import _recall
+
+    found = _recall(stored, cells, asked(spark, data, [1, 310, 700]))
+    assert not re.search("MapInArrow|FlatMapCoGroups|ArrowEvalPython", plan(found))
+    rows = {r["query_id"]: r for r in found.collect()}
+    assert set(rows) == {1, 310, 700} and all(r["exact"] == 10 and r["rows"] == COUNT + 1 for r in rows.values())
+    homes = (data.astype(float) @ cells.centroids.T).argmax(axis=1)
+    for i, r in rows.items():
+        near = set(cells.order(data[i])[:cells.probes])
+        among = [j for j in range(COUNT) if homes[j] in near]
+        assert r["rows_read"] == len(among)
+        assert r["found"] == len({v for v, _ in brute(data, data[i], 10, among)} & {v for v, _ in brute(data, data[i], 10, range(COUNT))})
+
+
+def test_bundles_hold_every_group():
+    """Small groups share a block, a large one has blocks of its own, and blocks are as few as were asked for."""
+    made = knn._bundles({5: 1, 1: 100, 2: 3, 9: 4, 7: 250}, 4)
+    spans = {g: range(f, f + p) for g, f, p in zip(made["group"], made["first"], made["parts"])}
+    assert list(spans) == [1, 2, 5, 7, 9] and len(spans[7]) == 3 and len(spans[1]) == 2
+    assert spans[2] == spans[5] and not set(spans[7]) & set(spans[9]) and not set(spans[7]) & set(spans[5])
+    many = knn._bundles(dict.fromkeys(range(784), 784), 7)
+    assert len(set(many["first"])) <= 8 and set(many["parts"]) == {1}
+
+
+def test_a_query_goes_once_to_a_block(spark, vectors, data, plan):
+    """All groups asked for: rows sent to blocks are a few for each row, not one for each group."""
+    grouped = vectors.withColumn("group", F.expr("try_cast(job_id AS int) % 90"))
+    queries = asked(spark, data, range(200)).withColumn("groups", F.expr("sequence(0, 89)").cast("array<int>"))
+    found = knn.search_grouped(grouped, queries, 5, shared_numbers=WIDTH, block_vectors=10)
+    assert by_query(found) == {i: brute(data, data[i], 5, range(COUNT)) for i in range(200)}
+    assert "FlatMapCoGroupsInArrow" in plan(found)
+    q, v = knn._block_counts(200, COUNT, WIDTH, WIDTH, 10, spark.sparkContext.defaultParallelism)
+    assert q + v <= 2 + 2 * knn.GROUPS_PER_CORE * spark.sparkContext.defaultParallelism
