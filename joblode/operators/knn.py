@@ -22,6 +22,8 @@ BLOCK_VECTORS = 1 << 15
 # Most numbers of a block, of queries or of vectors, and the groups of blocks for each core.
 HELD_NUMBERS = 8 << 20
 GROUPS_PER_CORE = 4
+# Vectors that are scored at once against one query.
+ONE_SLICE = 1 << 10
 
 
 def where_column(where: Column | Mapping[str, str] | None) -> Column | None:
@@ -60,18 +62,24 @@ def cosine(column: str, query: Sequence[float]) -> Column:
     """Cosine similarity to one vector; 0 if either has no length, NULL for NULL."""
     target = list(map(float, query))
 
+    step = ONE_SLICE
+
     def score(arrays):
         import numpy as np
         import pyarrow as pa
         given = arrays.is_valid().to_numpy(zero_copy_only=False)
-        rows = np.asarray(arrays.drop_null().flatten(), dtype=np.float64)
-        if len(rows) != given.sum() * len(target):
-            raise ValueError(f"vectors are not all {len(target)} wide")
-        rows = rows.reshape(-1, len(target))
-        lengths = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt(np.dot(target, target))
-        dots = rows @ np.asarray(target)
+        vector, length = np.asarray(target), np.sqrt(np.dot(target, target))
         scores = np.zeros(len(arrays))
-        scores[given] = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+        # In slices: a whole batch of wide vectors in double precision is many times the batch.
+        for at in range(0, len(arrays), step):
+            rows = np.asarray(arrays[at:at + step].drop_null().flatten(), dtype=np.float64)
+            on = np.flatnonzero(given[at:at + step]) + at
+            if len(rows) != len(on) * len(target):
+                raise ValueError(f"vectors are not all {len(target)} wide")
+            rows = rows.reshape(-1, len(target))
+            lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * length
+            dots = rows @ vector
+            scores[on] = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
         return pa.array(scores, mask=~given)
 
     return F.arrow_udf(score, "double")(F.col(column))

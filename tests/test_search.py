@@ -210,3 +210,10 @@ def test_scorer_is_exact(width):
             order = np.lexsort((whole, -scores))[:6]
             got = [(found["vector_id"][6 * i + j], found["score"][6 * i + j]) for j in range(6)]
             assert sorted(got, key=lambda p: (-p[1], p[0])) == [(whole[j], scores[j]) for j in order], i
+
+
+def test_one_query_in_slices(spark, vectors, data, monkeypatch):
+    """A batch is scored slice by slice, nulls and vectors without length among them."""
+    monkeypatch.setattr(knn, "ONE_SLICE", 7)
+    found = knn.search(vectors.coalesce(1), list(data[3]), 12)
+    assert pairs(found) == brute(data, data[3], 12)
