@@ -55,14 +55,16 @@ REACH = 1 - SIMILARITY
 # Keys that each depth deals nodes out by; depths of regions before every node is its own.
 LEVELS, DEPTH = 3, 2
 SLACK = 1e-9
-# Counters of shingles, by which prefixes are ordered; places of the filter on shingles of regions with members.
-COUNTERS, PLACES = 1 << 18, 1 << 22
+# Counters of shingles, by which prefixes are ordered.
+COUNTERS = 1 << 18
+# Places of the filter on shingles of regions with members: so many for each shingle, and their bits within bounds.
+PLACES_EACH, LEAST_BITS, MOST_BITS = 16, 22, 28
 # Parity bits of a set, in 64-bit numbers.
 MARKS = 8
 # Bytes of a text that are hashed at once, and of texts that are shingled at once.
 STEP = 1 << 20
 # Bytes that are sent to every task to pick rows; more are joined by a shuffle. A row has five numbers at most.
-BROADCAST_BYTES, ROW_BYTES = 16 << 20, 40
+BROADCAST_BYTES, ROW_BYTES, ID_BYTES = 16 << 20, 40, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_101).integers(1 << 62, size=2 * LEVELS * DEPTH, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -242,10 +244,17 @@ def possible(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
     return both.filter(may_reach("a", "b", least)).select(*pairs.columns)
 
 
+def sets_in(sets: DataFrame, pairs: DataFrame, node: str) -> DataFrame:
+    """The sets that the pairs name in ``node``: a set is large, and only those are shuffled."""
+    ids = pairs.select(F.col(node).alias("node")).distinct()
+    return sets.join(F.broadcast(ids), "node", "left_semi") if ids.count() * ID_BYTES <= BROADCAST_BYTES else sets
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds dist, the distance, and linked to the pairs (u, v)."""
-    a = sets.select(F.col("node").alias("u"), F.col("elements").alias("_ea"))
-    b = sets.select(F.col("node").alias("v"), F.col("elements").alias("_eb"))
+    pairs = staged(pairs, "measured-pairs")
+    a = sets_in(sets, pairs, "u").select(F.col("node").alias("u"), F.col("elements").alias("_ea"))
+    b = sets_in(sets, pairs, "v").select(F.col("node").alias("v"), F.col("elements").alias("_eb"))
     out = pairs.join(a, "u").join(b, "v").withColumn("_both", F.size(F.array_intersect("_ea", "_eb")))
     all_ = F.size("_ea") + F.size("_eb") - F.col("_both")
     return out.withColumns({"dist": 1 - F.col("_both") / all_, "linked": 100 * F.col("_both") >= round(100 * SIMILARITY) * all_}).drop(
@@ -331,7 +340,7 @@ def prefixes(pivots: DataFrame, counters: np.ndarray, extra: bool, places: np.nd
                 order = np.lexsort((own, rank[(own % np.uint64(COUNTERS)).astype("int64")]))[:count]
                 first, at = own[order], np.arange(len(order))
                 if places is not None and r == 0:
-                    spot = (first % np.uint64(PLACES)).astype("int64")
+                    spot = (first % np.uint64(8 * len(places))).astype("int64")
                     keep = (at < prefix_of(len(own), SIMILARITY)) | ((places[spot >> 3] >> (spot & 7).astype("uint8")) & 1 > 0)
                     first, at = first[keep], at[keep]
                 chosen.append(first.view("int64"))
@@ -348,11 +357,15 @@ def prefixes(pivots: DataFrame, counters: np.ndarray, extra: bool, places: np.nd
 
 
 def places_of(tokens: DataFrame) -> np.ndarray:
-    """A bit for each place that an element falls on: a table of fixed size."""
-    held = tokens.select(F.pmod(F.col("element"), F.lit(PLACES)).cast("int").alias("p")).distinct().toArrow()
-    out = np.zeros(PLACES, "uint8")
-    out[held["p"].to_numpy()] = 1
-    return np.packbits(out, bitorder="little")
+    """A bit for each place that an element falls on. The table grows with the elements, so that as few
+    places are taken by chance at any size; the driver sees numbers of 64 places."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (PLACES_EACH * tokens.count()).bit_length()))
+    place = F.pmod(F.col("element"), F.lit(1 << bits))
+    held = tokens.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(pmod(element, {1 << bits}L) & 63))")).alias("held")).toArrow()
+    out = np.zeros((1 << bits) // 64, "<i8")
+    out[held["w"].to_numpy()] = held["held"].to_numpy()
+    return out.view("uint8")
 
 
 def near_pivots(tokens: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ from joblode.session import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-# Words whose hashes a worker keeps; shingles that go through one signature step.
-CACHE, STEP = 500_000, 200_000
+# Words whose hashes a worker keeps, for as long as it lives; shingles that go through one signature step.
+CACHE, STEP = 100_000, 100_000
 # Node numbers, of 8 bytes each, that are sent to every task.
 BROADCAST_IDS = 2_000_000
 # Counters of the shingle frequencies by which the prefix filter orders.

@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from joblode.llm import metric as M
 from tests.llm.conftest import frame
@@ -106,3 +108,24 @@ def test_words_over_parts(monkeypatch):
     assert [len(s) for s in whole] == [len(set_of(t)) for t in texts]
     monkeypatch.setattr(M, "STEP", 64)
     assert all((a == b).all() for a, b in zip(whole, M.sets_of(texts)))
+
+
+@pytest.mark.parametrize("rows", [0, 1_000, 600_000])
+def test_places_stay_sparse(spark, rows):
+    """Every element's place is marked, and few others by chance, however many elements there are."""
+    tokens = spark.range(rows).select(F.xxhash64("id").alias("element"))
+    places = M.places_of(tokens)
+    own = tokens.toArrow()["element"].to_numpy().view("uint64") % np.uint64(8 * len(places))
+    bits = np.unpackbits(places, bitorder="little")
+    assert bits[own.astype("int64")].all() and bits.sum() == len(np.unique(own))
+    assert bits.mean() <= 1 / 8
+
+
+def test_only_sets_of_pairs_are_measured(spark, plan):
+    """Sets that no pair names stay where they are: they are ruled out before the shuffle."""
+    sets = spark.createDataFrame([(i, list(range(i, i + 20))) for i in range(50)], "node long, elements array<long>")
+    pairs = spark.createDataFrame([(1, 2), (30, 3), (4, 4)], "u long, v long")
+    assert {r["node"] for r in M.sets_in(sets, pairs, "u").collect()} == {1, 30, 4}
+    assert "LeftSemi" in plan(M.measured(pairs, sets))
+    got = {(r["u"], r["v"]): (r["dist"], r["linked"]) for r in M.measured(pairs, sets).collect()}
+    assert got == {(1, 2): (1 - 19 / 21, True), (30, 3): (1.0, False), (4, 4): (0.0, True)}

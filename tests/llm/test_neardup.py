@@ -128,3 +128,19 @@ def test_components(spark):
         group[b] = a
     want = {(n, root(n)) for n in group if root(n) != n}
     assert {tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == want
+
+
+def test_workers_keep_few_words():
+    """What stays in a worker after many different words is small: it adds to the memory of every later stage."""
+    import gc
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}-{j}" for j in range(10_000)) for i in range(40)]
+    neardup._WORDS.clear()
+    tracemalloc.start()
+    neardup._signed(texts, neardup.BANDS, neardup.ROWS)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    neardup._WORDS.clear()
+    assert held < 24 << 20
