@@ -14,7 +14,8 @@ minus the Jaccard similarity is a metric d; two texts are linked if d is at most
    d(p, q) <= r(p) + e + r(q). Such pivots must share one of their rarest shingles
    (prefix, length and position filters for just that distance): in a space as sparse as
    this nearly all distances are 1, and only shared shingles tell the others.
-   Only pivots of different classes are paired.
+   Only pivots of different classes are paired, and parity marks, as many as a set has
+   elements, rule out most pairs before any whole set is made or moved.
 4. Boundary. For near pivots whose classes still differ, a member x of p goes over to
    q if d(x, q) <= e + r(q); the triangle inequality rules out those with
    d(x, p) < d(p, q) - e - r(q), and parities of element counts most others, before any set
@@ -59,8 +60,8 @@ SLACK = 1e-9
 COUNTERS = 1 << 18
 # Places of the filter on shingles of regions with members: so many for each shingle, and their bits within bounds.
 PLACES_EACH, LEAST_BITS, MOST_BITS = 16, 22, 28
-# Parity bits of a set, in 64-bit numbers.
-MARKS = 8
+# Parity bits of a set, in 64-bit numbers: of every set, and the most that a large set has.
+MARKS, MOST_MARKS = 8, 1 << 18
 # Bytes of a text that are hashed at once, and of texts that are shingled at once.
 STEP = 1 << 20
 # Bytes that are sent to every task to pick rows; more are joined by a shuffle. A row has five numbers at most.
@@ -150,12 +151,18 @@ def keys_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([mix(a ^ mix(b)) for a, b in zip(least[::2], least[1::2])], 1).view("int64")
 
 
-def marks_of(own: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of elements that fall on each of 64 * ``MARKS`` places."""
-    odd = np.bincount((own >> np.uint64(40)).astype("int64") % (64 * MARKS), minlength=64 * MARKS) & 1
+def marks_of(own: np.ndarray, numbers: int = MARKS) -> np.ndarray:
+    """Parities of the numbers of elements that fall on each of 64 * ``numbers`` places."""
+    odd = np.bincount((own >> np.uint64(40)).astype("int64") % (64 * numbers), minlength=64 * numbers) & 1
     return np.packbits(odd.astype("uint8"), bitorder="little").view("int64")
 
 
+def fine_marks_of(own: np.ndarray) -> np.ndarray:
+    """Parities on one to two places for each element: few places tell large sets not apart. The numbers are a
+    power of two, so the exclusive or of both halves is what half of them would be."""
+    return marks_of(own, min(MOST_MARKS, max(MARKS, 1 << (len(own) // 64).bit_length())))
+
+
 def ragged(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()),
                                     pa.array(np.concatenate([np.empty(0, "int64"), *rows]), kind))
@@ -213,16 +220,18 @@ def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select(*rows.columns, "text")
 
 
-def set_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, n, elements, marks). ``rows``: node, doc, tag."""
+def set_table(docs: DataFrame, rows: DataFrame, elements: bool = True) -> DataFrame:
+    """(node, n, marks, fine, elements); without ``elements`` a small part of it. ``rows``: node, doc, tag."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch.column("text").to_pylist())
+            listed = [[marks_of(s) for s in sets], [fine_marks_of(s) for s in sets]]
+            listed += [[s.view("int64") for s in sets]] if elements else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                 ragged([s.view("int64") for s in sets], pa.int64()), ragged([marks_of(s) for s in sets], pa.int64())],
-                names=["node", "n", "elements", "marks"])
-    return texts_of(docs, rows).select("node", "text").mapInArrow(run, "node long, n long, elements array<long>, marks array<long>")
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), *[ragged(x, pa.int64()) for x in listed]],
+                names=["node", "n", "marks", "fine", "elements"][:2 + len(listed)])
+    return texts_of(docs, rows).select("node", "text").mapInArrow(
+        run, "node long, n long, marks array<long>, fine array<long>" + ", elements array<long>" * elements)
 
 
 def signs_of(sets: DataFrame, node: str, prefix: str) -> DataFrame:
@@ -231,13 +240,25 @@ def signs_of(sets: DataFrame, node: str, prefix: str) -> DataFrame:
                        *[F.get("marks", k).alias(f"{prefix}{k}") for k in range(MARKS)])
 
 
-def may_reach(a: str, b: str, least: Column) -> Column:
+def may_reach(a: str, b: str, least: Column, unlike: Column | None = None) -> Column:
     """Whether sizes and parities allow the similarity: sets differ in at least as many elements as in parities."""
-    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(MARKS)])
+    if unlike is None:
+        unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(MARKS)])
     m, n = F.col(f"{a}n"), F.col(f"{b}n")
     return (F.least(m, n) >= least * F.greatest(m, n) - SLACK) & (m + n - unlike >= least * (m + n + unlike) - SLACK)
 
 
+def fine_unlike(a: str, b: str) -> Column:
+    """How many parities of two lists of fine marks differ; the longer one is folded to the length of the other."""
+    numbers = F.least(F.size(a), F.size(b))
+
+    def folded(marks: str, at: Column) -> Column:
+        return F.aggregate(F.sequence(at, F.size(marks) - 1, numbers), F.lit(0).cast("long"),
+                           lambda x, k: x.bitwiseXOR(F.get(marks, k)))
+    return F.aggregate(F.sequence(F.lit(0), numbers - 1), F.lit(0),
+                       lambda x, at: x + F.bit_count(folded(a, at).bitwiseXOR(folded(b, at))))
+
+
 def possible(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
     """The pairs (u, v) whose sizes and parities allow the similarity."""
     both = pairs.join(signs_of(sets, "u", "a"), "u").join(signs_of(sets, "v", "b"), "v")
@@ -250,6 +271,16 @@ def sets_in(sets: DataFrame, pairs: DataFrame, node: str) -> DataFrame:
     return sets.join(F.broadcast(ids), "node", "left_semi") if ids.count() * ID_BYTES <= BROADCAST_BYTES else sets
 
 
+def finely_possible(pairs: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
+    """The pairs (u, v) whose fine marks allow the similarity. A set's fine marks are a small part of its elements,
+    so large sets that only share a shingle are told apart before their elements are shuffled for each pair."""
+    def signs(node: str, prefix: str) -> DataFrame:
+        return sets_in(sets, pairs, node).select(F.col("node").alias(node), F.col("n").alias(f"{prefix}n"),
+                                                 F.col("fine").alias(f"{prefix}f"))
+    both = pairs.join(signs("u", "a"), "u").join(signs("v", "b"), "v")
+    return both.filter(may_reach("a", "b", least, fine_unlike("af", "bf"))).select(*pairs.columns)
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds dist, the distance, and linked to the pairs (u, v)."""
     pairs = staged(pairs, "measured-pairs")
@@ -433,8 +464,16 @@ def region_links(nodes: DataFrame, docs: DataFrame, sets: DataFrame | None, coun
         lacking = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         lacking = staged(nodes.join(lacking, "node", "left_semi").join(own.select("node"), "node", "left_anti").select(
             "node", "doc", "tag"), "lacking")
-        own = own.unionByName(staged(set_table(docs, lacking), "more-sets"))
-    pairs = possible(pairs, own, F.lit(SIMILARITY) - F.col("ru") - F.col("rv") - SLACK)
+        signs = own.drop("elements").unionByName(staged(set_table(docs, lacking, elements=False), "more-marks"))
+    else:
+        signs = own
+    least = F.lit(SIMILARITY) - F.col("ru") - F.col("rv") - SLACK
+    pairs = staged(possible(pairs, signs, least), "possible-pairs")
+    pairs = staged(finely_possible(pairs, signs, least), "fine-pairs")
+    if sets is None:
+        # Pairs by a shared shingle grow faster than the input; whole sets are made only for those that marks let through.
+        asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        own = own.unionByName(staged(set_table(docs, staged(lacking.join(asked, "node", "left_semi"), "asked")), "more-sets"))
     near = staged(measured(pairs, own).filter(F.col("dist") <= REACH + F.col("ru") + F.col("rv") + SLACK), "near-measured")
     links = near.filter("linked").select("u", "v")
     if not links.isEmpty():

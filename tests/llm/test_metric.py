@@ -129,3 +129,39 @@ def test_only_sets_of_pairs_are_measured(spark, plan):
     assert "LeftSemi" in plan(M.measured(pairs, sets))
     got = {(r["u"], r["v"]): (r["dist"], r["linked"]) for r in M.measured(pairs, sets).collect()}
     assert got == {(1, 2): (1 - 19 / 21, True), (30, 3): (1.0, False), (4, 4): (0.0, True)}
+
+
+def test_fine_marks_tell_large_sets_apart(spark):
+    """Large sets that share little pass the coarse marks but not the fine ones; no pair that is near is ruled out."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(1 << 63, size=9000, dtype="uint64"))
+    sets = [base, np.unique(np.concatenate([base[:8500], rng.integers(1 << 63, size=300, dtype="uint64")])),
+            np.unique(rng.integers(1 << 63, size=9000, dtype="uint64")), base[:4000], base[:4600], base[:5]]
+    table = spark.createDataFrame(
+        [(i, len(s), M.marks_of(s).tolist(), M.fine_marks_of(s).tolist()) for i, s in enumerate(sets)],
+        "node long, n long, marks array<long>, fine array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(i)], "u long, v long")
+
+    def alike(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return both / (len(sets[i]) + len(sets[j]) - both)
+    for least in (0.9, 0.8, 0.7):
+        coarse = {tuple(r) for r in M.possible(pairs, table, F.lit(least)).collect()}
+        fine = {tuple(r) for r in M.finely_possible(pairs, table, F.lit(least)).collect()}
+        near = {(i, j) for i in range(6) for j in range(i) if alike(i, j) >= least}
+        assert near <= fine <= coarse and (2, 0) in coarse and (2, 0) not in fine
+    # A longer list is folded to the shorter one's length.
+    assert len(M.fine_marks_of(sets[3])) * 2 == len(M.fine_marks_of(sets[4]))
+    both = table.filter("node = 3").select(F.col("fine").alias("a")).crossJoin(table.filter("node = 4").select(F.col("fine").alias("b")))
+    want = np.unpackbits((M.marks_of(sets[3], 64) ^ M.marks_of(sets[4], 64)).view("uint8")).sum()
+    assert both.select(M.fine_unlike("a", "b")).first()[0] == want
+
+
+def test_whole_sets_only_of_pairs_that_marks_allow(spark, monkeypatch):
+    """Large texts of which any two share a passage: no whole set is made of them."""
+    made, inner = [], M.set_table
+    monkeypatch.setattr(M, "set_table", lambda docs, rows, elements=True: (
+        made.append(rows.count()) if elements else None, inner(docs, rows, elements))[1])
+    rows = [(k, " ".join(f"{min(j, k)}and{max(j, k)}at{i}" for j in range(4) if j != k for i in range(2000))) for k in range(4)]
+    assert got(M.jaccard_classes(frame(spark, rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(made) == 0
