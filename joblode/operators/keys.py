@@ -34,6 +34,20 @@ def fits_broadcast(ids: DataFrame, id_col: str = "id") -> bool:
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
+def first_rows(df: DataFrame, order: Sequence[str | Column], id_col: str = "id") -> DataFrame:
+    """The first row of every id, for wide rows: ids alone are counted, and only rows whose id comes again are ranked.
+
+    More of such ids than can be broadcast: all rows are ranked. A null id is an id of its own.
+    """
+    again = staged(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(
+        F.col(id_col).alias("_again")), "repeated-ids")
+    if not fits_broadcast(again, "_again"):
+        return first_by(df, [id_col], order)
+    same = df[id_col].eqNullSafe(again["_again"])
+    return df.join(F.broadcast(again), same, "left_anti").unionByName(
+        first_by(df.join(F.broadcast(again), same, "left_semi"), [id_col], order))
+
+
 def unknown_rows(batch: DataFrame, known: DataFrame, id_col: str = "id", *,
                  small_batch: bool = False) -> DataFrame:
     """Rows of ``batch`` whose id is not among ``known``.

@@ -84,7 +84,7 @@ def load_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
     if ids is not None:
         jobs = rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
     missing = missing_vectors(jobs, read_vectors(spark, vectors_path))
-    return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
+    return upsert_vectors(spark, vectors_path, missing, build=lambda rows: build_vectors(rows, embedder))
 
 
 def load_pending_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
@@ -103,7 +103,7 @@ def load_pending_vectors(spark: SparkSession, jobs_path: str, vectors_path: str,
         jobs = read_jobs(spark, jobs_path).filter(F.col("scraped_on").isin(days))
         jobs = rows_with_ids(jobs, F.broadcast(ids) if fits_broadcast(ids) else ids)
         missing = missing_vectors(jobs, read_vectors(spark, vectors_path))
-        return upsert_vectors(spark, vectors_path, build_vectors(missing, embedder), unique=True)
+        return upsert_vectors(spark, vectors_path, missing, build=lambda rows: build_vectors(rows, embedder))
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from datetime import datetime
@@ -28,15 +28,17 @@ from pyspark.sql import types as T
 from joblode import constants as K
 from joblode.functions.dates import moment
 from joblode.operators.ann import Planes, cell_of, layout_of
-from joblode.operators.keys import first_by, fits_broadcast, unknown_rows
+from joblode.operators.keys import first_by, first_rows, fits_broadcast, unknown_rows
 from joblode.schemas import JOBS_SCHEMA, VECTOR_SCHEMA
-from joblode.session import stage
+from joblode.session import stage, staged
 from joblode.sources.idindex import add_to_index, index_buckets, stored_among
 
 _JOBS_LAYOUT = T.StructType([*JOBS_SCHEMA.fields, T.StructField("scraped_on", T.DateType())])
 _VECTOR_LAYOUT = T.StructType([*VECTOR_SCHEMA.fields, T.StructField("layout", T.StringType()),
                                T.StructField("bucket", T.IntegerType())])
 
+# The most vectors of a posting: the whole and its fields.
+PARTS = 1 + len(K.FIELD_VECTORS)
 # Vectors of a new table's first load for each of its folders, and the least number of folders.
 BUCKET_VECTORS = 250_000
 VECTOR_BUCKETS = 64
@@ -142,15 +144,20 @@ def conform_jobs(incoming: DataFrame, as_of: datetime | str | Column,
 
 
 def new_jobs(incoming: DataFrame, jobs: DataFrame, arrival: Sequence[str] = (), *,
-             small_batch: bool = False) -> DataFrame:
+             small_batch: bool = False, written: bool = False) -> DataFrame:
     """Incoming rows to insert: the first of each id by ``arrival``, unless the id is stored.
 
     Rows without an id are not kept. Rows that arrived together are told apart by all their columns,
-    so that a repeat keeps the same one.
+    so that a repeat keeps the same one. Of a batch that was ``written`` before, ids alone meet each other
+    and the stored ones; its rows stay where they are unless their id comes again.
     """
     keyed = incoming.filter(F.col("id").isNotNull())
-    first = first_by(keyed, ["id"], [*arrival, *[c for c in keyed.columns if c not in ("id", *arrival)]])
-    return unknown_rows(first, jobs, small_batch=small_batch)
+    order = [*arrival, *[c for c in keyed.columns if c not in ("id", *arrival)]]
+    if not written:
+        return unknown_rows(first_by(keyed, ["id"], order), jobs, small_batch=small_batch)
+    ids = keyed.select("id")
+    known = staged(jobs.select("id").join(F.broadcast(ids) if small_batch else ids, "id", "left_semi").distinct(), "known-ids")
+    return first_rows(keyed, order).join(F.broadcast(known) if fits_broadcast(known) else known, "id", "left_anti")
 
 
 def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
@@ -173,7 +180,7 @@ def insert_jobs(spark: SparkSession, path: str, incoming: DataFrame, *,
         indexed = index_buckets(spark, path) is not None
         if indexed and (by_index or by_index is None and not small):
             stored = steps.enter_context(stored_among(spark, path, batch, stored))
-        fresh = new_jobs(batch, stored, arrival, small_batch=small).select(
+        fresh = new_jobs(batch, stored, arrival, small_batch=small, written=True).select(
             *JOBS_SCHEMA.names, F.to_date("scraped_at").alias("scraped_on"))
         if indexed:
             fresh = steps.enter_context(stage(fresh, "fresh"))
@@ -307,8 +314,54 @@ def _layout(stored: DataFrame, kind: str, asked: int | None, rows: int) -> str:
     return known["layout"]
 
 
+def _version(number: int) -> str:
+    return f"{number}-{uuid.uuid4().hex[:8]}"
+
+
+def _written(spark: SparkSession, path: str, layout: str, version: str) -> list[str]:
+    """The folders that a version has."""
+    return [f"layout={layout}/{folder}" for folder in _names(spark, f"{path}/data/version={version}/layout={layout}") or ()]
+
+
+def _build_vectors(spark: SparkSession, path: str, jobs: DataFrame,
+                   build: Callable[[DataFrame], DataFrame]) -> LoadCounts:
+    """:func:`upsert_vectors` with ``build``: no copy of the vectors is made or shuffled."""
+    number, folders = _manifest(spark, path)
+    stored = read_vectors(spark, path)
+    layout = _layout(stored, "hash", None, 0 if folders else PARTS * jobs.select("id").count())
+    buckets = int(layout.split("-")[1])
+    place = lambda name: F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+    seen, version = Observation(), _version(number + 1)
+    dealt = jobs.withColumn("_bucket", place("id")).hint("rebalance", "_bucket").drop("_bucket")
+    rows = build(dealt).select(*VECTOR_SCHEMA.names).withColumns({"layout": F.lit(layout), "bucket": place("job_id")})
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("layout", "bucket").parquet(f"{path}/data/version={version}")
+    sent, fresh = seen.get["n"], _written(spark, path, layout, version)
+    table, replaced = dict(folders), 0
+    if folders and fresh:
+        new = (spark.read.schema(_VECTOR_LAYOUT).parquet(f"{path}/data/version={version}").select("vector_id"))
+        ids = F.broadcast(new) if fits_broadcast(new, "vector_id") else new
+        clash = stored.select("vector_id", "bucket").join(ids, "vector_id", "left_semi")
+        # One row per folder at most.
+        touched = {r["bucket"]: r["n"] for r in clash.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+        replaced = sum(touched.values())
+        if touched:
+            # What else the folders of replaced vectors hold stands in a version beside.
+            others = _version(number + 1)
+            stored.filter(F.col("bucket").isin(list(touched))).join(ids, "vector_id", "left_anti").hint(
+                "rebalance", "bucket").write.partitionBy("layout", "bucket").parquet(f"{path}/data/version={others}")
+            table = {f: held for f, held in folders.items() if int(f.rpartition("=")[2]) not in touched}
+            for folder in _written(spark, path, layout, others):
+                table[folder] = [others]
+    for folder in fresh:
+        table[folder] = [*table.get(folder, ()), version]
+    _commit(spark, path, number + 1, table)
+    _drop_old(spark, path, number + 1)
+    return LoadCounts(sent=sent, inserted=sent - replaced)
+
+
 def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets: int | None = None,
-                   unique: bool = False, arrival: Sequence[str] = (), planes: Planes | None = None) -> LoadCounts:
+                   unique: bool = False, arrival: Sequence[str] = (), planes: Planes | None = None,
+                   build: Callable[[DataFrame], DataFrame] | None = None) -> LoadCounts:
     """Write vectors by id; a vector that is stored already is replaced.
 
     Pass ``unique`` if ``rows`` holds each vector id once, as the vectors of
@@ -320,7 +373,14 @@ def upsert_vectors(spark: SparkSession, path: str, rows: DataFrame, *, buckets:
     an error. Folders in which a vector is replaced are written anew with what else
     they hold; to others the new rows are added. The table is the old one until the
     version's manifest stands.
+
+    With ``build`` the rows are postings of distinct ids and ``build`` makes vectors of them, at most ``PARTS``
+    of each: postings are dealt out to the folders, and each one's vectors are built where they are written.
     """
+    if build is not None:
+        if planes is not None or buckets is not None:
+            raise ValueError("vectors built in place are laid out by job id, in as many folders as their number asks for")
+        return _build_vectors(spark, path, rows, build)
     if not unique:
         rows = first_by(rows, ["vector_id"], [*[F.desc_nulls_last(a) for a in arrival], "document", "embedding"])
     with stage(rows.select(*VECTOR_SCHEMA.names), "vectors") as staged_rows:

@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from joblode.operators import keys
 from joblode.operators.aggregates import count_jobs_on
 from joblode.operators.vectors import build_vectors, missing_vectors, vector_texts
 from joblode.schemas import JOBS_SCHEMA, STUB_SCHEMA, VECTOR_SCHEMA
@@ -201,3 +202,51 @@ def test_stopped_upsert(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         B._commit(spark, path, number, folders)
     assert now() == {"a": "newer", "b": "last", "c": "new"} and held.schema == B.read_vectors(spark, path).schema
+
+
+def test_built_vectors_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Vectors are built where they are written: once, after their postings were dealt out, and staged nowhere."""
+    path, jobs, copies = str(tmp_path / "v"), full_job(spark, [f"{n}" for n in range(40)]), []
+    monkeypatch.setattr(B, "stage", lambda df, name: copies.append(name))
+    plans = []
+
+    def build(rows):
+        plans.append(build_vectors(rows)._jdf.queryExecution().optimizedPlan().toString())
+        return build_vectors(rows)
+    assert B.upsert_vectors(spark, path, jobs, build=build) == B.LoadCounts(320, 320)
+    assert not copies and len(plans) == 1 and plans[0].index("Generate") < plans[0].index("Rebalance")
+    assert {r["vector_id"]: r["embedding"] for r in B.read_vectors(spark, path).collect()} == {
+        r["vector_id"]: r["embedding"] for r in build_vectors(jobs).collect()}
+
+
+@pytest.mark.parametrize("bound", [0, keys.BROADCAST_ROWS])
+def test_built_vectors_replace_stored_ones(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", bound)
+    path = str(tmp_path / "v")
+    build = build_vectors
+    assert B.upsert_vectors(spark, path, full_job(spark, []), build=build) == B.LoadCounts(0, 0)
+    B.upsert_vectors(spark, path, full_job(spark, [f"{n}" for n in range(100)]), build=build)
+    B.upsert_vectors(spark, path, build_vectors(full_job(spark, ["x"])).filter("type = 'field'"), unique=True)
+    # One vector id of "x" and all of "7" are stored; "x_role" is not built anew and stays.
+    again = B.upsert_vectors(spark, path, full_job(spark, ["7", "x", "y"], title="New", role=None), build=build)
+    assert again == B.LoadCounts(21, 21 - 7 - 6)
+    rows = B.read_vectors(spark, path).select("vector_id", "document").collect()
+    texts = {r["vector_id"]: r["document"] for r in rows}
+    assert len(rows) == len(texts) == 100 * 8 + 8 + 7
+    assert [texts[i] for i in ("7_title", "x_title", "y_title", "8_title", "x_role", "7_role")] == ["New"] * 3 + ["T", "R", "R"]
+
+
+@pytest.mark.parametrize("bound", [0, keys.BROADCAST_ROWS])
+def test_postings_meet_by_their_ids(spark, tmp_path, monkeypatch, bound):
+    """Rows whose id comes once are not ranked, and none is compared with the stored postings but by its id."""
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", bound)
+    ranked, inner = [], keys.first_by
+    monkeypatch.setattr(keys, "first_by", lambda df, *a: (ranked.append(df.count()), inner(df, *a))[1])
+    path = str(tmp_path / "j")
+    B.insert_jobs(spark, path, incoming(spark, [("a", "old", 0)]), as_of=NOW)
+    ranked.clear()
+    rows = [(f"{n}", "t", 1) for n in range(50)] + [("a", "new", 0), ("b", "b2", 2), ("b", "b1", 1), (None, "x", 0), (None, "x", 0)]
+    assert B.insert_jobs(spark, path, incoming(spark, rows), as_of=NOW, arrival=("n",)) == B.LoadCounts(55, 51)
+    stored = {r["id"]: r["title"] for r in B.read_jobs(spark, path).collect()}
+    assert len(stored) == 52 and (stored["a"], stored["b"]) == ("old", "b1")
+    assert bound == 0 or ranked == [2]
